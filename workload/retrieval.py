@@ -321,9 +321,10 @@ UNION ALL SELECT query_id, -1, 0.0, n FROM (SELECT q.query_id, (SELECT count(*)
     "tokenize": f"SELECT doc_id, len(t) AS n_tokens, array_to_string(t, '|') AS tokens FROM (SELECT doc_id, {B.TOKENS.format('text')} AS t FROM documents)",
     "query_keywords": f"WITH {B.KEYWORD} SELECT query_id, len(kws) AS n, array_to_string(kws, '|') AS keywords FROM kq",
     "keyword_search": f"WITH {B.KEYWORD} SELECT *, 'keyword' AS retrieval_type FROM kw_hits",
-    "substring_search": f"""WITH {B.DOCS}, low AS (SELECT keyword AS term, doc_id, lower(content) AS c, lower(keyword) AS k, length(keyword) AS n FROM docs JOIN lex ON contains(lower(content), lower(keyword))),
-p AS (SELECT term, doc_id, list_filter(range(0, length(c) - n + 1), lambda i: c[i + 1:i + n] = k) AS pos FROM low)
-SELECT term, doc_id, len(pos) AS match_count, array_to_string(pos[1:5], '|') AS positions FROM p""",
+    "substring_search": f"""WITH RECURSIVE {B.DOCS}, low AS (SELECT keyword AS term, doc_id, lower(content) AS c, lower(keyword) AS k FROM docs JOIN lex ON contains(lower(content), lower(keyword))),
+o AS (SELECT term, doc_id, k, strpos(c, k) AS pos, substr(c, strpos(c, k) + 1) AS rest FROM low
+  UNION ALL SELECT term, doc_id, k, pos + strpos(rest, k), substr(rest, strpos(rest, k) + 1) FROM o WHERE strpos(rest, k) > 0)
+SELECT term, doc_id, count(*) AS match_count, array_to_string(list(pos - 1 ORDER BY pos)[1:5], '|') AS positions FROM o GROUP BY term, doc_id""",
     "cosine_pairs": """SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0.0 AS similarity
   FROM embeddings a JOIN (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label) f USING (label) JOIN embeddings b ON b.vec_id = f.vec_id""",
     "semantic_search": """WITH cells AS (SELECT label, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS pos FROM embeddings),
