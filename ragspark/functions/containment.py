@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragspark.functions.sizing import fits
+from ragspark.functions.sizing import fits, spread
 
 try:
     import ahocorasick
@@ -25,18 +25,21 @@ MAX_TERM_BYTES = 16 * 1024 * 1024
 JVM_TERMS = 48
 
 
-def term_hits(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str = "term") -> DataFrame:
-    """(key, terms): per text the distinct terms it contains. Texts without a hit keep an empty array."""
+def term_hits(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str = "term", keep: bool = False) -> DataFrame:
+    """(key, terms[, text]): per text the distinct terms it contains. Texts without a hit keep an empty array."""
     wanted = terms.select(F.col(term).alias("term")).where(F.length("term") > 0).distinct()
     rows = texts.select(F.col(key), F.col(text).alias("_text"))
-    if not fits(wanted, MAX_TERMS, MAX_TERM_BYTES):
-        return _substring_join(rows, key, wanted)
-    listed = sorted(r["term"] for r in wanted.collect())  # bounded by the check above
+    shown = [F.col("_text").alias(text)] if keep else []
+    listed = _bounded_terms(wanted)
+    if listed is None:
+        found = _substring_join(rows, key, wanted)
+        return found.join(texts.select(key, text), key) if keep else found
     if not listed:
-        return rows.select(key, F.array().cast("array<string>").alias("terms"))
+        return rows.select(key, F.array().cast("array<string>").alias("terms"), *shown)
     if len(listed) <= JVM_TERMS or ahocorasick is None:
         literal = F.array(*[F.lit(t) for t in listed])
-        return rows.select(key, F.filter(literal, lambda t: F.contains(F.col("_text"), t)).alias("terms"))
+        found = F.filter(literal, lambda t: F.contains(F.col("_text"), t))
+        return spread(rows, key).select(key, found.alias("terms"), *shown)
     shared = rows.sparkSession.sparkContext.broadcast(listed)
 
     @F.pandas_udf("array<string>")
@@ -48,8 +51,16 @@ def term_hits(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str
         for batch in batches:
             yield batch.map(lambda t: sorted({w for _, w in automaton.iter(t)}) if t else [])
 
-    placed = rows.repartition(key)  # texts may sit in few large splits; the scan should use every core
-    return placed.select(key, scan("_text").alias("terms"))
+    return spread(rows, key).select(key, scan("_text").alias("terms"), *shown)
+
+
+def _bounded_terms(wanted: DataFrame) -> list[str] | None:
+    """The terms, if they stay below the bounds. The list is computed once for the check and the fetch."""
+    head = wanted.limit(MAX_TERMS + 1).persist()
+    try:
+        return sorted(r["term"] for r in head.collect()) if fits(head, MAX_TERMS, MAX_TERM_BYTES) else None
+    finally:
+        head.unpersist()
 
 
 def _substring_join(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:

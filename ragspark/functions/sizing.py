@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragspark.session import checkpoint_root
+
 MAX_ROWS = 500_000
 MAX_BYTES = 64 * 1024 * 1024
 
@@ -46,3 +48,26 @@ def fits(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) ->
 
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
     return F.broadcast(df) if fits(df, max_rows, max_bytes) else df
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The frame, computed once into the shared checkpoint folder; for short results with several uses."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint()
+
+
+def settled_broadcast(df: DataFrame) -> DataFrame:
+    """Like `broadcast_if_small`, for a frame too costly to compute for the check and again for the join."""
+    return broadcast_if_small(settled(df))
+
+
+SPREAD_BYTES = 2 * 1024**3
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Redistribute a small input for a CPU-heavy step; a small table often sits in a single split.
+
+    Larger inputs are read in many splits anyway and are left where they are, without a shuffle.
+    """
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(*keys) if int(str(estimate)) <= SPREAD_BYTES else df

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragspark.functions.ranking import top_k
-from ragspark.functions.sizing import broadcast_if_small
+from ragspark.functions.sizing import broadcast_if_small, settled_broadcast
 from ragspark.functions.text import excerpt, label_of, reading_time
 from ragspark.lexicons import (
     AGENT_NAMES,
@@ -112,7 +112,7 @@ def context_block(asked: DataFrame, blocks: DataFrame, hits: DataFrame, docs: Da
     The fact block of (category, entity), then the k best documents cut to `chars`, numbered; a fixed
     sentence when there is neither. `hits` are (query_id, category, doc_id, rank).
     """
-    best = hits.where(F.col("rank") <= k)
+    best = settled_broadcast(hits.where(F.col("rank") <= k))
     texts = docs.select("doc_id", excerpt(F.col(content), chars, always=True).alias("_x")).join(best, "doc_id")
     line = F.struct("rank", F.concat(F.col("rank").cast("string"), F.lit(". "), "_x").alias("line"))
     evidence = texts.groupBy("query_id", "category").agg(F.sort_array(F.collect_list(line)).alias("_l"))
@@ -269,11 +269,12 @@ def profile_table(spark, profiles: Sequence[tuple] = PROFILES) -> DataFrame:
 def adapt_profile(answers: DataFrame, profiles: DataFrame, column: str = "user_profile", text: str = "content",
                   default: str = DEFAULT_PROFILE) -> DataFrame:
     """Adds profile_name, depth, length_range, focus and length_ok; an unknown profile takes the default."""
-    known = profiles.select("id").agg(F.collect_set("id")).scalar()
-    keyed = answers.withColumn("_p", F.when(F.array_contains(known, F.col(column)), F.col(column)).otherwise(default))
-    dim = profiles.select(F.col("id").alias("_p"), F.col("name").alias("profile_name"), "depth", "length_range", "focus")
-    return keyed.join(F.broadcast(dim), "_p", "left").withColumn(
-        "length_ok", F.length(text).between(F.col("length_range.min"), F.col("length_range.max"))).drop("_p")
+    fields = F.struct(F.col("name").alias("profile_name"), "depth", "length_range", "focus")
+    fallback = profiles.where(F.col("id") == default).agg(F.first(fields)).scalar()
+    dim = profiles.select(F.col("id").alias(column), fields.alias("_own"))
+    found = answers.join(broadcast_if_small(dim), column, "left").withColumn("_p", F.coalesce("_own", fallback))
+    return found.select(*answers.columns, "_p.*").withColumn(
+        "length_ok", F.length(text).between(F.col("length_range.min"), F.col("length_range.max")))
 
 
 def finalize(answers: DataFrame, text: str = "content", report: str = "report") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragspark.functions.sizing import settled_broadcast
 from ragspark.functions.replies import parsed_object
 from ragspark.functions.text import fenced_json, label_of
 from ragspark.lexicons import COVERAGE_LABELS
@@ -124,7 +125,7 @@ def evidence_digest(questions: DataFrame, hits: DataFrame, docs: DataFrame, cont
 
     `hits` carry a rank; at most k short excerpts per question are ever gathered.
     """
-    best = hits.where(F.col("rank") <= k)
+    best = settled_broadcast(hits.where(F.col("rank") <= k))
     pieces = docs.select("doc_id", F.left(content, F.lit(chars)).alias("_x")).join(best, "doc_id")
     line = F.struct(F.col("rank"), F.concat(F.lit("文档"), F.col("rank").cast("string"), F.lit(": "), "_x").alias("line"))
     lines = pieces.groupBy("query_id").agg(F.sort_array(F.collect_list(line)).alias("_l"))

@@ -4,39 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragspark.functions.sizing import fits
+from ragspark.functions.containment import term_hits
+from ragspark.functions.sizing import broadcast_if_small
 from ragspark.lexicons import PROFILES
 
-MAX_FILTER_VALUES = 10_000
-
-
-def _values(filters: DataFrame, column: str) -> list[str]:
-    distinct = filters.select(column).where(F.col(column).isNotNull()).distinct()
-    if not fits(distinct, MAX_FILTER_VALUES):
-        raise ValueError(f"more than {MAX_FILTER_VALUES} distinct filter values")
-    return sorted(r[0] for r in distinct.collect())
-
-
-def _accepts(kind: str, doc_id: str, value: Column) -> Column:
-    return F.contains(F.coalesce(F.col(kind), F.lit("")), value) | F.contains(F.col(doc_id).cast("string"), value)
-
-
-def matched_values(docs: DataFrame, values: Sequence[str], kind: str = "type") -> DataFrame:
-    """(doc_id, filter_value) for values that occur in the document's type or id."""
-    listed = F.array(*[F.lit(v) for v in values]).cast("array<string>")
-    return docs.select("doc_id", F.explode(F.filter(listed, lambda v: _accepts(kind, "doc_id", v))).alias("filter_value"))
+def matched_values(docs: DataFrame, values: DataFrame, kind: str = "type") -> DataFrame:
+    """(doc_id, filter_value) for values (filter_value) that occur in the document's type or id."""
+    text = F.concat_ws("\u0000", F.coalesce(F.col(kind), F.lit("")), F.col("doc_id").cast("string"))
+    hits = term_hits(docs.select("doc_id", text.alias("_t")), "doc_id", "_t", values, "filter_value")
+    return hits.select("doc_id", F.explode("terms").alias("filter_value"))
 
 
 def filter_or_all(docs: DataFrame, filters: DataFrame, column: str = "type_filter", kind: str = "type") -> DataFrame:
     """(filter_value, doc_id): per distinct filter value the matching documents, or all when none matches."""
-    values = _values(filters, column)
+    values = filters.select(F.col(column).alias("filter_value")).where("filter_value is not null").distinct()
     matched = matched_values(docs, values, kind)
-    hit = [r[0] for r in matched.select("filter_value").distinct().collect()]  # at most len(values) rows
-    missed = F.array(*[F.lit(v) for v in values if v not in set(hit)]).cast("array<string>")
-    everything = docs.select("doc_id", F.explode(missed).alias("filter_value"))
+    missed = values.join(matched.select("filter_value").distinct(), "filter_value", "left_anti")
+    listed = missed.agg(F.sort_array(F.collect_list("filter_value"))).scalar()
+    everything = docs.select("doc_id", listed.alias("_m")).select("doc_id", F.explode("_m").alias("filter_value"))
     return matched.unionByName(everything).select("filter_value", "doc_id")
 
 
@@ -44,17 +32,18 @@ def filter_hits_or_all(hits: DataFrame, queries: DataFrame, docs: DataFrame, col
                        kind: str = "type") -> DataFrame:
     """The same rule applied to hits: a hit stays if it passes its query's filter, if the query has no
     filter, or if no document at all passes that filter."""
-    values = _values(queries, column)
-    hit = [r[0] for r in matched_values(docs, values, kind).select("filter_value").distinct().collect()]
-    wanted = queries.select("query_id", F.col(column).alias("_want"))
-    wanted = F.broadcast(wanted) if fits(wanted) else wanted
-    kinds = docs.select("doc_id", F.col(kind).alias("_kind"))
-    keep = F.col("_want").isNull() | ~F.col("_want").isin(hit) if hit else F.lit(True)
+    wanted = queries.select("query_id", F.col(column).alias("filter_value"))
+    values = wanted.select("filter_value").where("filter_value is not null").distinct()
+    known = matched_values(docs, values, kind).select("filter_value").distinct().withColumn("_some", F.lit(True))
+    wanted = wanted.join(broadcast_if_small(known), "filter_value", "left")
+    kinds = docs.select("doc_id", F.coalesce(F.col(kind), F.lit("")).alias("_kind"))
+    want = F.col("filter_value")
+    passes = F.contains(F.col("_kind"), want) | F.contains(F.col("doc_id").cast("string"), want)
     return (
-        hits.join(wanted, "query_id")
+        hits.join(broadcast_if_small(wanted), "query_id")
         .join(kinds, "doc_id")
-        .where(keep | _accepts("_kind", "doc_id", F.col("_want")))
-        .drop("_want", "_kind")
+        .where(want.isNull() | F.col("_some").isNull() | passes)
+        .drop("filter_value", "_some", "_kind")
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragspark.functions.ranking import DECIMALS, rank_rows, row_rank
+from ragspark.functions.ranking import DECIMALS, rank_rows, row_rank, top_k
 from ragspark.functions.sizing import broadcast_if_small
 
 # Fixed values.
@@ -50,7 +50,8 @@ def _ranked_lists(hits: DataFrame, lists: Sequence[str], ascending: Sequence[str
     return ranked.withColumn("_rank", (F.col("_rank") - 1).cast("long")).where(~blank)
 
 
-def _fuse(ranked: DataFrame, weight: Column, k: int, payload: str | None, trace: bool, limit: int | None) -> DataFrame:
+def _fuse(ranked: DataFrame, weight: Column, k: int, payload: str | None, trace: bool, limit: int | None,
+          bounded: bool) -> DataFrame:
     step = weight / (F.lit(k) + F.col("_rank"))
     measures = [F.round(F.sum(step), RRF_DECIMALS).alias("score"), F.count(F.lit(1)).alias("sources_count")]
     if payload:
@@ -60,9 +61,14 @@ def _fuse(ranked: DataFrame, weight: Column, k: int, payload: str | None, trace:
                          weight.cast("double").alias("weight"))
         measures.append(F.sort_array(F.collect_list(entry)).alias("sources"))
     fused = ranked.groupBy("query_id", "doc_id").agg(*measures)
-    place = row_rank(["query_id"], [F.desc("score"), F.asc("doc_id")]).cast("long")
-    fused = fused.withColumn("final_rank", place)
-    return fused if limit is None else fused.where(F.col("final_rank") <= limit)
+    order = [F.desc("score"), F.asc("doc_id")]
+    if limit is not None:
+        placed = top_k(fused, ["query_id"], order, limit, "final_rank")
+    elif bounded:
+        placed = fused.withColumn("final_rank", row_rank(["query_id"], order))
+    else:
+        placed = rank_rows(fused, ["query_id"], order, "final_rank")
+    return placed.withColumn("final_rank", F.col("final_rank").cast("long"))
 
 
 def rrf(hits: DataFrame, k: int = RRF_K, ascending: Sequence[str] = (), payload: str | None = None,
@@ -77,7 +83,7 @@ def rrf(hits: DataFrame, k: int = RRF_K, ascending: Sequence[str] = (), payload:
     bringing a list into one task.
     """
     ranked = _ranked_lists(hits, ["source", "query_id"], ascending, bounded)
-    return _fuse(ranked, F.lit(1.0), k, payload, trace, limit)
+    return _fuse(ranked, F.lit(1.0), k, payload, trace, limit, bounded)
 
 
 def weighted_rrf(hits: DataFrame, weights: dict[str, float] | None, sources: Sequence[str], k: int = RRF_K,
@@ -95,7 +101,7 @@ def weighted_rrf(hits: DataFrame, weights: dict[str, float] | None, sources: Seq
     table = spark.createDataFrame([(s, float(w)) for s, w in shares.items()], "source string, _weight double")
     ranked = _ranked_lists(hits, ["source", "query_id"], ascending, bounded)
     weighted = ranked.join(F.broadcast(table), "source")
-    return _fuse(weighted, F.col("_weight"), k, payload, trace, limit)
+    return _fuse(weighted, F.col("_weight"), k, payload, trace, limit, bounded)
 
 
 def normalize_scores(hits: DataFrame, method: str = "minmax", lists: Sequence[str] = ("source", "query_id"),

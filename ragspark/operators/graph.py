@@ -131,11 +131,13 @@ def find_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, max_length:
     found = front.join(closing, ["_node", "target"])
     result = found.select("source", "target", F.concat("path", F.array("target")).alias("path"))
     for used in range(1, max_length):
+        ahead = within[max_length - used - 1].withColumnRenamed("_node", "_to")
+        # Edges whose end still reaches the target, per target: joining these expands nothing in vain.
+        useful = links.join(ahead, "_to").select(F.col("_from").alias("_node"), "target", "_to")
         front = (
-            front.join(links.withColumnRenamed("_from", "_node"), "_node")
+            front.join(useful, ["_node", "target"])
             .where((F.col("_to") != F.col("target")) & ~F.array_contains("path", F.col("_to")))
             .select("source", "target", F.col("_to").alias("_node"), F.concat("path", F.array("_to")).alias("path"))
-            .join(within[max_length - used - 1], ["_node", "target"], "left_semi")
         )
         found = front.join(closing, ["_node", "target"])
         result = result.unionByName(found.select("source", "target", F.concat("path", F.array("target")).alias("path")))

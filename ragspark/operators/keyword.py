@@ -104,11 +104,10 @@ def substring_search(docs: DataFrame, terms: DataFrame, content: str = "content"
     """
     lowered = docs.select("doc_id", F.lower(content).alias("_c"))
     asked = terms.select("term", F.lower("term").alias("needle"))
-    hits = term_hits(lowered, "doc_id", "_c", asked, "needle")
-    pairs = hits.select("doc_id", F.explode("terms").alias("needle"))
+    hits = term_hits(lowered, "doc_id", "_c", asked, "needle", keep=True).where(F.size("terms") > 0)
     asked = F.broadcast(asked) if fits(asked) else asked
     return (
-        lowered.join(pairs, "doc_id")
+        hits.select("doc_id", "_c", F.explode("terms").alias("needle"))
         .join(asked, "needle")
         .select(
             "term",

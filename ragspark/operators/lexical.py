@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragspark.functions.ranking import DECIMALS, top_k
-from ragspark.functions.sizing import broadcast_if_small, fits
+from ragspark.functions.sizing import broadcast_if_small, fits, settled_broadcast
 from ragspark.functions.text import tokenize
 
 # The usual Okapi parameters.
@@ -232,7 +232,7 @@ def bm25_filtered(queries: DataFrame, index: Bm25Index, allowed: DataFrame, k: i
     if stage == "post":
         ranked = bm25_topk(queries, index, k, text, mode)
         # The hits are the small side (k rows per query), the allow-list may be any size.
-        return allowed.select("doc_id").join(broadcast_if_small(ranked), "doc_id").select(
+        return allowed.select("doc_id").join(settled_broadcast(ranked), "doc_id").select(
             "query_id", "doc_id", "score", "rank")
     if stage != "pre":
         raise ValueError(f"unknown stage {stage!r}")

@@ -84,12 +84,10 @@ def embed_missing(texts: DataFrame, store: DataFrame, vectorise: Callable[[DataF
 
 
 def corpus_summary(docs: DataFrame, content: str = "content", name: str = "craft_name") -> DataFrame:
-    """One row: documents, characters, and the sorted class names."""
-    return docs.agg(
-        F.count(F.lit(1)).alias("total_documents"),
-        F.sum(F.length(content)).cast("long").alias("total_characters"),
-        F.array_join(F.sort_array(F.collect_set(name)), ",").alias("crafts"),
-    )
+    """(class, total_documents, total_characters): a row per class name, and one with null for the whole."""
+    sized = docs.select(F.col(name).alias("class"), F.length(content).cast("long").alias("_n"))
+    return sized.groupingSets([[], ["class"]], "class").agg(
+        F.count(F.lit(1)).alias("total_documents"), F.sum("_n").alias("total_characters"))
 
 
 def top_keywords(docs: DataFrame, keywords: str = "keywords", k: int = 20) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ragspark.functions.containment import term_hits
 from ragspark.functions.ranking import DECIMALS, top_k
-from ragspark.functions.sizing import broadcast_if_small
+from ragspark.functions.sizing import broadcast_if_small, settled
 from ragspark.functions.vectors import cosine
 from ragspark.lexicons import STOPWORDS, SYNONYMS
 from ragspark.operators.dense import dense_topk, semantic_search
@@ -140,8 +140,5 @@ def hybrid_search(queries: DataFrame, index: Bm25Index, query_vectors: DataFrame
         .unionByName(_arm(graph_retrieve(queries, nodes, edges, docs, entities, fused), "graph"))
     )
     merged = rrf(lists, RRF_K, limit=fused).select("query_id", "doc_id", "score", F.col("final_rank").alias("rank"))
-    from ragspark.session import checkpoint_root
-
-    checkpoint_root(merged.sparkSession)
-    merged = merged.checkpoint()
+    merged = settled(merged)
     return rerank(merged, coverage_scores(merged, queries, index, mode=mode), k)

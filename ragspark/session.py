@@ -40,9 +40,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     A folder of our own is made only where the setting is absent, that is on a local master.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    existing = spark.sparkContext.getCheckpointDir()
     if root:
+        if existing is None:
+            spark.sparkContext.setCheckpointDir(root)
         return root
-    existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
     if not spark.sparkContext.master.startswith("local"):

@@ -15,6 +15,12 @@ def _of_type(nodes, kind):
     return nodes.where(F.col("type") == kind).select("id")
 
 
+def _written(spark, df, name):
+    path = work_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _delta_nodes(spark, sf):
     """A second version of every supplier, and a new node per region without a name."""
     table = B.table(spark, sf, "supplier")
@@ -80,7 +86,8 @@ def simple_paths(spark, sf):
     nodes, _ = B.graph(spark, sf)
     pairs = B.table(spark, sf, "customer").select(
         B._key("C:", "c_custkey").alias("source"), F.concat(F.lit("R:"), (F.col("c_custkey") % 5).cast("string")).alias("target"))
-    out = G.find_paths(pairs, nodes, B.trade_edges(spark, sf), 3)
+    # The search reads the edges once per step, so they are stored first.
+    out = G.find_paths(pairs, nodes, _written(spark, B.trade_edges(spark, sf), "trade"), 3)
     return out.select("source", "target", F.array_join("path", ">").alias("path"))
 
 

@@ -63,16 +63,16 @@ def format_quarantine(spark, sf):
 
 
 def profile_dim(spark, sf):
-    """A profile file with one profile per nation, nested preferences and example questions, read back."""
+    """Profile files, one per nation, with nested preferences and example questions, read back."""
     path = work_path(spark, "profiles")
     people = B.table(spark, sf, "customer").groupBy("c_nationkey").agg(
         F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("c_mktsegment")).alias("q"))
     rows = B.table(spark, sf, "nation").join(people, F.col("n_nationkey") == F.col("c_nationkey")).select(
         F.struct(
-            F.col("n_nationkey").alias("ord"), F.concat(F.lit("p"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"),
+            F.concat(F.lit("p"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"),
             F.struct(F.when(F.col("n") > 60, "long").otherwise("short").alias("length"), (F.col("n") % 2 == 0).alias("include_examples")).alias("content_preferences"),
             F.col("q").alias("example_questions")).alias("p"))
-    rows.agg(F.to_json(F.struct(F.sort_array(F.collect_list("p")).alias("profiles"))).alias("value")).write.text(path)
+    rows.select(F.to_json(F.struct(F.array("p").alias("profiles"))).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     out = graph_files.read_profiles(spark, path)
     return out.select("id", "name", "content_preferences.length", "content_preferences.include_examples", F.array_join("example_questions", "|").alias("questions"))
 
@@ -278,7 +278,7 @@ def profile_validate(spark, sf):
 # ---- statistics ----
 
 def corpus_summary(spark, sf):
-    return maintain.corpus_summary(B.documents(spark, sf), name="class")
+    return maintain.corpus_summary(B.documents(spark, sf), name="class").withColumn("class", F.coalesce("class", F.lit("*")))
 
 
 def top_keywords(spark, sf):
@@ -371,7 +371,7 @@ SELECT doc_id, CASE WHEN ok THEN 'i' || doc_id ELSE '根据关键词分析，该
     "bibliography": f"""SELECT doc_id, '1. ' || CASE WHEN lang <> 'es' THEN lang ELSE '未知来源' END || CASE WHEN doc_id % 2 = 0 THEN ' - ' || source ELSE '' END || {NL} || '2. ' || source AS text FROM documents""",
     "usable_responses": f"WITH {B.RESPONSES} SELECT question_id, ord, agent_name FROM rs WHERE success AND length(content) > 0",
     "profile_validate": "SELECT c_custkey, lower(c_mktsegment) AS user_profile, lower(c_mktsegment) IN ('building', 'machinery', 'household') AS is_valid FROM customer",
-    "corpus_summary": "SELECT count(*) AS total_documents, sum(length(text))::BIGINT AS total_characters, array_to_string(list_sort(list(DISTINCT lang)), ',') AS crafts FROM documents",
+    "corpus_summary": "SELECT coalesce(lang, '*') AS class, count(*) AS total_documents, sum(length(text))::BIGINT AS total_characters FROM documents GROUP BY GROUPING SETS ((), (lang))",
     "top_keywords": f"WITH {B.DOCS} SELECT keyword, count(*) AS freq FROM (SELECT unnest(keywords) AS keyword FROM docs) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
     "index_coverage": "SELECT count(*) AS total_documents, count(l.doc_id) AS indexed_documents, 5::BIGINT AS top_k, 0.7::DOUBLE AS similarity_threshold FROM documents d LEFT JOIN labels l USING (doc_id)",
     "index_count": "SELECT count(*) AS document_count FROM documents",
