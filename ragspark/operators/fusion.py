@@ -17,6 +17,10 @@ RRF_K = 60
 RRF_DECIMALS = 9
 
 
+def blend(keyword: Column, semantic: Column) -> Column:
+    return F.round(keyword * KEYWORD_WEIGHT + semantic * SEMANTIC_WEIGHT, DECIMALS)
+
+
 def merge_hybrid(keyword_hits: DataFrame, semantic_hits: DataFrame) -> DataFrame:
     """Full outer merge of two hit lists on (query_id, doc_id).
 
@@ -26,7 +30,7 @@ def merge_hybrid(keyword_hits: DataFrame, semantic_hits: DataFrame) -> DataFrame
     kw = keyword_hits.select("query_id", "doc_id", F.col("similarity").alias("_k"))
     sem = semantic_hits.select("query_id", "doc_id", F.col("similarity").alias("_s"))
     both = F.col("_k").isNotNull() & F.col("_s").isNotNull()
-    blended = F.round(F.col("_k") * KEYWORD_WEIGHT + F.col("_s") * SEMANTIC_WEIGHT, DECIMALS)
+    blended = blend(F.col("_k"), F.col("_s"))
     return kw.join(sem, ["query_id", "doc_id"], "full_outer").select(
         "query_id",
         "doc_id",

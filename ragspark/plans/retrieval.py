@@ -14,7 +14,7 @@ from ragspark.functions.vectors import cosine
 from ragspark.lexicons import STOPWORDS, SYNONYMS
 from ragspark.operators.dense import dense_topk, semantic_search
 from ragspark.operators.filters import filter_hits_or_all, min_similarity
-from ragspark.operators.fusion import RRF_K, merge_hybrid, rrf
+from ragspark.operators.fusion import RRF_K, blend, rrf
 from ragspark.operators.keyword import keyword_search
 from ragspark.operators.lexical import Bm25Index, bm25_topk
 from ragspark.operators.rerank import coverage_scores, rerank
@@ -36,23 +36,40 @@ def retrieve(queries: DataFrame, docs: DataFrame, k: int = TOP_K, threshold: flo
     """
     hits = keyword_search(queries, docs, doc_keywords=doc_keywords, stopwords=stopwords, with_matches=False)
     if query_vectors is not None and doc_vectors is not None:
-        qv = query_vectors.select("query_id", F.col("embedding").alias("_q"))
-        dv = doc_vectors.select("doc_id", F.col("embedding").alias("_d"))
-        known = (
-            hits.select("query_id", "doc_id")
-            .join(broadcast_if_small(qv), "query_id")
-            .join(dv, "doc_id")
-            .select("query_id", "doc_id", F.round(cosine(F.col("_q"), F.col("_d")), DECIMALS).alias("similarity"))
-        )
-        near = semantic_search(query_vectors, doc_vectors, min_similarity=threshold).select("query_id", "doc_id", "similarity")
-        hits = merge_hybrid(hits, known.unionByName(near).distinct())
+        hits = _merge_dense(hits, query_vectors, doc_vectors, threshold)
+    hits = min_similarity(hits, threshold)
     if type_filter is not None:
         hits = filter_hits_or_all(hits, queries, docs, type_filter, kind)
-    hits = min_similarity(hits, threshold)
     ranked = top_k(hits, ["query_id"], [F.desc("similarity"), F.asc("doc_id")], k)
     return ranked.select("query_id", "doc_id", "similarity", "retrieval_type", F.col("rank").cast("long"))
 
 
+def _merge_dense(hits: DataFrame, query_vectors: DataFrame, doc_vectors: DataFrame, floor: float) -> DataFrame:
+    """Keyword hits blended with their own similarity, and documents near the question that no keyword found.
+
+    This is `merge_hybrid` for a result that is cut at `floor` afterwards, reading the keyword hits once.
+    """
+    qv = query_vectors.select("query_id", F.col("embedding").alias("_q"))
+    dv = doc_vectors.select("doc_id", F.col("embedding").alias("_d"))
+    scored = (
+        hits.select("query_id", "doc_id", F.col("similarity").alias("_k"))
+        .join(broadcast_if_small(dv), "doc_id", "left")
+        .join(broadcast_if_small(qv), "query_id", "left")
+        .select("query_id", "doc_id", "_k", F.when(F.col("_q").isNotNull() & F.col("_d").isNotNull(),
+                                                   F.round(cosine(F.col("_q"), F.col("_d")), DECIMALS)).alias("_s"))
+    )
+    near = semantic_search(query_vectors, doc_vectors, min_similarity=floor).select(
+        "query_id", "doc_id", F.col("similarity").alias("_n"))
+    found = F.col("_k").isNotNull()
+    blended = blend(F.col("_k"), F.col("_s"))
+    return scored.join(near, ["query_id", "doc_id"], "full_outer").select(
+        "query_id",
+        "doc_id",
+        F.when(~found, F.col("_n")).when(F.col("_s").isNull(), F.col("_k")).otherwise(blended).alias("similarity"),
+        F.when(~found, "semantic").when(F.col("_s").isNull(), "keyword").otherwise("hybrid").alias("retrieval_type"),
+    )
+
+
 def routed_retrieve(routes: DataFrame, docs: DataFrame, k: int = TOP_K, threshold: float = THRESHOLD,
                     kind: str = "type", **options) -> DataFrame:
     """(query_id, category, doc_id, similarity, rank): basic retrieval once per (question, category), the

@@ -30,14 +30,14 @@ def _delta_nodes(spark, sf):
 
 
 def node_upsert(spark, sf):
-    nodes, _ = B.graph(spark, sf)
+    nodes, _ = B.stored_graph(spark, sf)
     out = G.upsert_nodes(nodes, _delta_nodes(spark, sf))
     return out.select("id", "name", "type", "ord")
 
 
 def edge_upsert(spark, sf):
     """Returned lines turn `supplies` into `returned_to`; suppliers also point to a region."""
-    _, edges = B.graph(spark, sf)
+    _, edges = B.stored_graph(spark, sf)
     returned = B.table(spark, sf, "lineitem").where("l_returnflag = 'R'").select("l_suppkey", "l_partkey").distinct()
     delta = G.edge_family(returned, B._key("S:", "l_suppkey"), B._key("P:", "l_partkey"), "returned_to", F.col("l_partkey"))
     extra = G.edge_family(B.table(spark, sf, "supplier"), B._key("S:", "s_suppkey"), F.concat(F.lit("R:"), (F.col("s_suppkey") % 5).cast("string")), "serves", F.col("s_suppkey"))
@@ -46,44 +46,44 @@ def edge_upsert(spark, sf):
 
 def implicit_nodes(spark, sf):
     """Edges of the whole graph against declared nodes without customers and regions."""
-    nodes, edges = B.graph(spark, sf)
+    nodes, edges = B.stored_graph(spark, sf)
     return G.implicit_nodes(nodes.where("type not in ('customer', 'region')"), edges)
 
 
 def node_lookup(spark, sf):
-    nodes, _ = B.graph(spark, sf)
+    nodes, _ = B.stored_graph(spark, sf)
     ids = B.table(spark, sf, "orders").select(F.concat(F.lit("C:"), (F.col("o_custkey") * 2).cast("string")).alias("id")).distinct()
     return G.get_nodes(ids, nodes).select("id", F.coalesce("name", F.lit("-")).alias("name"), F.coalesce("type", F.lit("-")).alias("type"))
 
 
 def neighbors(spark, sf):
-    nodes, edges = B.graph(spark, sf)
+    nodes, edges = B.stored_graph(spark, sf)
     return G.neighbors(nodes.select("id"), nodes, edges)
 
 
 def typed_neighbors(spark, sf):
-    nodes, edges = B.graph(spark, sf)
+    nodes, edges = B.stored_graph(spark, sf)
     return G.related_names(_of_type(nodes, "supplier"), nodes, edges, "supplies")
 
 
 def typed_pairs(spark, sf):
-    nodes, edges = B.graph(spark, sf)
+    nodes, edges = B.stored_graph(spark, sf)
     return G.related_pairs(_of_type(nodes, "nation"), nodes, edges, "part_of")
 
 
 def forward_lookup(spark, sf):
-    nodes, edges = B.graph(spark, sf)
+    nodes, edges = B.stored_graph(spark, sf)
     return G.related_names(_of_type(nodes, "customer"), nodes, edges, "located_in")
 
 
 def reverse_lookup(spark, sf):
-    nodes, edges = B.graph(spark, sf)
+    nodes, edges = B.stored_graph(spark, sf)
     return G.reverse_names(_of_type(nodes, "nation"), nodes, edges, "supplier", "located_in")
 
 
 def simple_paths(spark, sf):
     """Each customer to a region, over suppliers, nations and regions, in at most three edges."""
-    nodes, _ = B.graph(spark, sf)
+    nodes, _ = B.stored_graph(spark, sf)
     pairs = B.table(spark, sf, "customer").select(
         B._key("C:", "c_custkey").alias("source"), F.concat(F.lit("R:"), (F.col("c_custkey") % 5).cast("string")).alias("target"))
     # The search reads the edges once per step, so they are stored first.
@@ -92,17 +92,17 @@ def simple_paths(spark, sf):
 
 
 def ego_nodes(spark, sf):
-    nodes, edges = B.graph(spark, sf)
+    nodes, edges = B.stored_graph(spark, sf)
     return G.ego_nodes(nodes.where("type in ('supplier', 'customer')").select("id"), nodes, edges, 2)
 
 
 def ego_edges(spark, sf):
-    nodes, edges = B.graph(spark, sf)
+    nodes, edges = B.stored_graph(spark, sf)
     return G.ego_edges(G.ego_nodes(nodes.where("type in ('supplier', 'customer')").select("id"), nodes, edges, 2), edges)
 
 
 def graph_stats(spark, sf):
-    nodes, edges = B.graph(spark, sf)
+    nodes, edges = B.stored_graph(spark, sf)
     return G.graph_stats(nodes, edges).withColumn("label", F.coalesce("label", F.lit("*")))
 
 
@@ -113,7 +113,7 @@ def _terms(spark, sf):
 
 
 def node_search(spark, sf):
-    nodes, _ = B.graph(spark, sf)
+    nodes, _ = B.stored_graph(spark, sf)
     return G.search_nodes(nodes, _terms(spark, sf))
 
 
@@ -124,46 +124,46 @@ def _entities(spark, sf):
 
 
 def entity_resolve(spark, sf):
-    nodes, edges = B.graph(spark, sf)
+    nodes, edges = B.stored_graph(spark, sf)
     return G.related_entities(_entities(spark, sf), nodes, edges)
 
 
 def node_degree(spark, sf):
-    nodes, edges = B.graph(spark, sf)
+    nodes, edges = B.stored_graph(spark, sf)
     return G.node_degree(nodes, edges)
 
 
 def graph_view_nodes(spark, sf):
-    nodes, edges = B.graph(spark, sf)
+    nodes, edges = B.stored_graph(spark, sf)
     return G.graph_view_nodes(nodes, edges, {"part": "#2E7D32", "nation": "#7B1FA2", "unknown": "#757575"}, {"part": "Part", "nation": "Nation"})
 
 
 def graph_view_edges(spark, sf):
-    nodes, edges = B.graph(spark, sf)
+    nodes, edges = B.stored_graph(spark, sf)
     shown = edges.withColumn("relation", F.when(F.col("relation") == "supplies", "uses_material").otherwise(F.col("relation")))
     return G.graph_view_edges(nodes, shown, {"uses_material": "uses", "part_of": "within"})
 
 
 def graph_type_filter(spark, sf):
-    nodes, edges = B.graph(spark, sf)
+    nodes, edges = B.stored_graph(spark, sf)
     _, kept = G.filter_graph_by_type(nodes, edges, "supplier")
     return kept
 
 
 def compare_subgraph(spark, sf):
-    nodes, edges = B.graph(spark, sf)
+    nodes, edges = B.stored_graph(spark, sf)
     shown, inner = G.compare_nodes(_of_type(nodes, "supplier"), nodes, edges)
     rows = shown.select(F.lit("node").alias("kind"), "id", F.col("name").alias("other"), F.col("is_selected").cast("string").alias("info"))
     return rows.unionByName(inner.select(F.lit("edge").alias("kind"), F.col("source").alias("id"), F.col("target").alias("other"), F.col("relation").alias("info")))
 
 
 def graph_validate(spark, sf):
-    nodes, edges = B.graph(spark, sf)
+    nodes, edges = B.stored_graph(spark, sf)
     return G.validate_graph(nodes.where("type <> 'region'"), edges)
 
 
 def graph_merge(spark, sf):
-    nodes, edges = B.graph(spark, sf)
+    nodes, edges = B.stored_graph(spark, sf)
     more_nodes, more_edges = G.merge_graphs(nodes, edges, _delta_nodes(spark, sf), B.trade_edges(spark, sf).withColumn("relation", F.lit("other")))
     return more_nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.lit("").alias("b"), F.col("type").alias("label")).unionByName(
         more_edges.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), F.col("relation").alias("label")))
@@ -208,7 +208,7 @@ def graph_query(spark, sf):
     nation = B.table(spark, sf, "nation").select(
         (F.col("n_nationkey") + F.lit(1_000_000).cast("long")).alias("request_id"), F.lit(None).cast("string").alias("entity"),
         F.lit(None).cast("string").alias("relation"), F.lower("n_name").alias("term"))
-    nodes, edges = B.graph(spark, sf)
+    nodes, edges = B.stored_graph(spark, sf)
     return G.graph_query(supplier.unionByName(nation), nodes, edges)
 
 
