@@ -20,5 +20,5 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     """Cosine similarity; 0 when the lengths differ or a norm is zero. Norms may be given precomputed."""
     na = norm(a) if norm_a is None else norm_a
     nb = norm(b) if norm_b is None else norm_b
-    usable = (F.size(a) == F.size(b)) & (na > 0) & (nb > 0)
-    return F.when(usable, F.try_divide(dot(a, b), na * nb)).otherwise(F.lit(0.0))
+    # A zero norm makes the quotient null; each part is evaluated once.
+    return F.when(F.size(a) == F.size(b), F.coalesce(F.try_divide(dot(a, b), na * nb), F.lit(0.0))).otherwise(F.lit(0.0))

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ragspark.functions.ranking import DECIMALS, top_k
 from ragspark.functions.sizing import MAX_BYTES, fits, measured_size
-from ragspark.functions.vectors import cosine
+from ragspark.functions.vectors import cosine, norm
 
 CELLS = 4_000_000  # scores held at once by a task
 
@@ -134,8 +134,8 @@ def semantic_search(queries: DataFrame, docs: DataFrame, min_similarity: float |
 def pair_similarity(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Cosine similarity of given (left_id, right_id) pairs; nothing is paired here."""
     return (
-        pairs.join(left.select(F.col("vec_id").alias("left_id"), F.col("embedding").alias("_a")), "left_id")
-        .join(right.select(F.col("vec_id").alias("right_id"), F.col("embedding").alias("_b")), "right_id")
-        .withColumn("similarity", F.round(cosine(F.col("_a"), F.col("_b")), DECIMALS))
-        .drop("_a", "_b")
+        pairs.join(left.select(F.col("vec_id").alias("left_id"), F.col("embedding").alias("_a"), norm(F.col("embedding")).alias("_na")), "left_id")
+        .join(right.select(F.col("vec_id").alias("right_id"), F.col("embedding").alias("_b"), norm(F.col("embedding")).alias("_nb")), "right_id")
+        .withColumn("similarity", F.round(cosine(F.col("_a"), F.col("_b"), F.col("_na"), F.col("_nb")), DECIMALS))
+        .drop("_a", "_b", "_na", "_nb")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ragspark.functions.containment import term_hits
 from ragspark.functions.ranking import DECIMALS, top_k
 from ragspark.functions.sizing import broadcast_if_small, settled
-from ragspark.functions.vectors import cosine
+from ragspark.functions.vectors import cosine, norm
 from ragspark.lexicons import STOPWORDS, SYNONYMS
 from ragspark.operators.dense import dense_topk, semantic_search
 from ragspark.operators.filters import filter_hits_or_all, min_similarity
@@ -49,23 +49,26 @@ def _merge_dense(hits: DataFrame, query_vectors: DataFrame, doc_vectors: DataFra
 
     This is `merge_hybrid` for a result that is cut at `floor` afterwards, reading the keyword hits once.
     """
-    qv = query_vectors.select("query_id", F.col("embedding").alias("_q"))
-    dv = doc_vectors.select("doc_id", F.col("embedding").alias("_d"))
+    # Norms are computed once per vector, before the join.
+    qv = query_vectors.select("query_id", F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_qn"))
+    dv = doc_vectors.select("doc_id", F.col("embedding").alias("_d"), norm(F.col("embedding")).alias("_dn"))
+    similarity = F.round(cosine(F.col("_q"), F.col("_d"), F.col("_qn"), F.col("_dn")), DECIMALS)
     scored = (
         hits.select("query_id", "doc_id", F.col("similarity").alias("_k"))
         .join(broadcast_if_small(dv), "doc_id", "left")
         .join(broadcast_if_small(qv), "query_id", "left")
-        .select("query_id", "doc_id", "_k", F.when(F.col("_q").isNotNull() & F.col("_d").isNotNull(),
-                                                   F.round(cosine(F.col("_q"), F.col("_d")), DECIMALS)).alias("_s"))
+        .select("query_id", "doc_id", "_k", F.when(F.col("_q").isNotNull() & F.col("_d").isNotNull(), similarity).alias("_s"))
     )
+    # Below the floor a keyword hit only matters where it keeps a near document from counting as unmatched.
+    own = F.when(F.col("_s").isNull(), F.col("_k")).otherwise(blend(F.col("_k"), F.col("_s")))
+    scored = scored.withColumn("_own", own).where((F.col("_own") >= floor) | (F.col("_s") >= floor))
     near = semantic_search(query_vectors, doc_vectors, min_similarity=floor).select(
         "query_id", "doc_id", F.col("similarity").alias("_n"))
     found = F.col("_k").isNotNull()
-    blended = blend(F.col("_k"), F.col("_s"))
     return scored.join(near, ["query_id", "doc_id"], "full_outer").select(
         "query_id",
         "doc_id",
-        F.when(~found, F.col("_n")).when(F.col("_s").isNull(), F.col("_k")).otherwise(blended).alias("similarity"),
+        F.coalesce("_own", "_n").alias("similarity"),
         F.when(~found, "semantic").when(F.col("_s").isNull(), "keyword").otherwise("hybrid").alias("retrieval_type"),
     )
 
