@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragspark.functions.ranking import DECIMALS, top_k
-from ragspark.functions.sizing import MAX_BYTES, fits, measured_size
+from ragspark.functions.sizing import MAX_BYTES, fits, measured_size, settled
 from ragspark.functions.vectors import cosine, norm
 
 CELLS = 4_000_000  # scores held at once by a task
@@ -32,6 +32,7 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 def _chunks(queries: DataFrame) -> list[DataFrame]:
     if fits(queries, 1_000_000):
         return [queries]
+    queries = settled(queries)  # read once per part
     total = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
     parts = 1 + 2 * int(total["n"]) * (8 * int(total["d"]) + 64) // MAX_BYTES
     slot = F.pmod(F.xxhash64("query_id"), F.lit(parts))

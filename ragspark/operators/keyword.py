@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ragspark.functions.containment import term_hits
 from ragspark.functions.ranking import DECIMALS, top_k
-from ragspark.functions.sizing import fits
+from ragspark.functions.sizing import broadcast_if_small, fits, settled
 from ragspark.functions.text import extract_keywords, first_positions, occurrence_count
 from ragspark.lexicons import STOPWORDS
 
@@ -79,8 +79,9 @@ def keyword_search(queries: DataFrame, docs: DataFrame, text: str = "question",
     legs = F.broadcast(legs) if fits(legs) else legs
     joined = rows.join(legs, ["leg", "needle", *side])
     measures = [F.sum("points").alias("match_count")]
-    if with_matches:
-        measures.append(F.sort_array(F.collect_set(F.coalesce("keyword", "own"))).alias("matched_keywords"))
+    matched = F.sort_array(F.collect_set(F.coalesce("keyword", "own"))).alias("matched_keywords")
+    if with_matches and k is None:
+        measures.append(matched)
     scored = (
         joined.groupBy("query_id", "doc_id")
         .agg(*measures)
@@ -94,7 +95,13 @@ def keyword_search(queries: DataFrame, docs: DataFrame, text: str = "question",
     )
     if k is None:
         return scored
-    return top_k(scored, ["query_id"], [F.desc("similarity"), F.asc("doc_id")], k)
+    best = top_k(scored, ["query_id"], [F.desc("similarity"), F.asc("doc_id")], k)
+    if not with_matches:
+        return best
+    # Keywords are listed for the k kept rows only.
+    best = settled(best)
+    listed = joined.join(broadcast_if_small(best.select("query_id", "doc_id")), ["query_id", "doc_id"], "left_semi")
+    return best.join(listed.groupBy("query_id", "doc_id").agg(matched), ["query_id", "doc_id"])
 
 
 def substring_search(docs: DataFrame, terms: DataFrame, content: str = "content", n: int = 5) -> DataFrame:

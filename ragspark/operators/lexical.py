@@ -8,6 +8,7 @@ per query and task leave it.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,13 +52,28 @@ class Bm25Index:
         return Bm25Index(postings, doc_len, spark.read.parquet(f"{path}/term_stats"))
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> Bm25Index:
-        return Bm25Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "doc_len", "term_stats")))
+    def load(spark: SparkSession, path: str, buckets: int | None = None) -> Bm25Index:
+        """A stored index in a new session; with its bucket count, its placement by doc_id is known again."""
+        def read(part: str) -> DataFrame:
+            plain = spark.read.parquet(f"{path}/{part}")
+            if buckets is None:
+                return plain
+            name = _table_name(f"{path}/{part}")
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+                      f"CLUSTERED BY (doc_id) INTO {int(buckets)} BUCKETS LOCATION '{path}/{part}'")
+            return spark.table(name)
+
+        return Bm25Index(read("postings"), read("doc_len"), spark.read.parquet(f"{path}/term_stats"))
+
+
+def _table_name(path: str) -> str:
+    return "ragspark_" + hashlib.md5(path.encode()).hexdigest()
 
 
 def _store_bucketed(df: DataFrame, path: str, buckets: int) -> DataFrame:
-    name = "ragspark_" + path.replace("-", "_").strip("/").split("/", 1)[-1].replace("/", "_").replace(".", "_").replace(":", "_")
-    df.sparkSession.sql(f"DROP TABLE IF EXISTS `{name}`")
+    name = _table_name(path)
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     df.write.mode("overwrite").option("path", path).bucketBy(buckets, "doc_id").saveAsTable(name)
     return df.sparkSession.table(name)
 

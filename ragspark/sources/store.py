@@ -50,3 +50,8 @@ def scalarise_metadata(df: DataFrame, metadata: str = "metadata") -> DataFrame:
         nested = isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType))
         pairs += [F.lit(field.name), F.to_json(value) if nested else value.cast("string")]
     return df.withColumn(metadata, F.create_map(*pairs))
+
+
+def clear_table(spark: SparkSession, path: str) -> None:
+    """Empty a stored table, keeping its schema; the next `ensure_table` builds it anew."""
+    spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ragspark.functions import containment, ranking, sizing
 from ragspark.operators import dense, filters, fusion, keyword, lexical, maintain, rerank, rewrite
+from ragspark.operators.vectorize import hashed_tfidf
 from ragspark.plans.retrieval import retrieve
 from tests.conftest import rows
 
@@ -101,6 +102,22 @@ def test_stored_index_scores_without_a_shuffle_of_postings(spark, corpus, tmp_pa
     assert "hashpartitioning(query_id" not in plan.split("BroadcastExchange")[0]
 
 
+def test_loaded_index_keeps_its_placement(spark, corpus, tmp_path):
+    d, q = frames(spark, corpus)
+    stored = lexical.bm25_index(d).save(str(tmp_path / "ix"), 4)
+    want = rows(lexical.bm25_topk(q, stored, 5))
+    for buckets in (None, 4):
+        assert rows(lexical.bm25_topk(q, lexical.Bm25Index.load(spark, str(tmp_path / "ix"), buckets), 5)) == want
+
+
+def test_hashed_vectors_are_unit_and_equal_for_copies(spark, corpus):
+    d, _ = frames(spark, corpus)
+    got = {r.doc_id: np.array(r.embedding) for r in hashed_tfidf(d, 64).collect()}
+    assert len(got) == 90 and all(len(v) == 64 for v in got.values())
+    assert all(abs(np.linalg.norm(v) - 1) < 1e-9 or not v.any() for v in got.values())
+    assert all(np.allclose(got[3], got[i]) for i in range(60, 90))
+
+
 def test_index_add_and_remove_equal_a_rebuild(spark, corpus):
     d, _ = frames(spark, corpus)
     half = lexical.bm25_index(d.where("doc_id < 40"))

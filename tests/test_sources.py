@@ -78,6 +78,9 @@ def test_table_is_built_once(spark, tmp_path):
     table, reused = store.ensure_table(spark, path, lambda: spark.range(9))
     assert reused and table.count() == 3
     assert store.ensure_table(spark, path, lambda: spark.range(9), recreate=True)[0].count() == 9
+    store.clear_table(spark, path)
+    assert store.ensure_table(spark, path, lambda: spark.range(4))[1] is False
+    assert spark.read.parquet(path).count() == 4
 
 
 def test_metadata_scalars(spark):

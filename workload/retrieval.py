@@ -65,6 +65,11 @@ def keyword_search(spark, sf):
     return out.select("query_id", "doc_id", "match_count", "similarity", joined("matched_keywords").alias("matched_keywords"), "retrieval_type")
 
 
+def keyword_topk(spark, sf):
+    out = keyword.keyword_search(B.questions(spark, sf), B.tagged_documents(spark, sf), stopwords=P.STOP, k=5)
+    return out.select("query_id", "doc_id", "match_count", "similarity", joined("matched_keywords").alias("matched_keywords"), F.col("rank").cast("long"))
+
+
 def substring_search(spark, sf):
     terms = B.lexicon(spark).select(F.col("keyword").alias("term"))
     out = keyword.substring_search(B.documents(spark, sf), terms)
@@ -235,7 +240,7 @@ def tfidf_vectors(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     bm25_term_stats, bm25_topk, bm25_all_scores, bm25_post_filter, bm25_pre_filter, bm25_pair_scores, query_keywords,
-    keyword_search, substring_search, cosine_pairs, semantic_search, semantic_floor, dense_topk, dense_filtered,
+    keyword_search, keyword_topk, substring_search, cosine_pairs, semantic_search, semantic_floor, dense_topk, dense_filtered,
     hybrid_merge, basic_retrieve, similarity_floor, filter_or_all, rrf_fusion, rrf_unbounded, weighted_rrf, score_minmax,
     score_zscore, query_expand, rewrite_batch, rerank_topk, pair_scores, multi_query_rrf, graph_retrieve, hybrid_search,
     routed_retrieve, tfidf_vectors)}
@@ -321,6 +326,7 @@ UNION ALL SELECT query_id, -1, 0.0, n FROM (SELECT q.query_id, (SELECT count(*)
     "tokenize": f"SELECT doc_id, len(t) AS n_tokens, array_to_string(t, '|') AS tokens FROM (SELECT doc_id, {B.TOKENS.format('text')} AS t FROM documents)",
     "query_keywords": f"WITH {B.KEYWORD} SELECT query_id, len(kws) AS n, array_to_string(kws, '|') AS keywords FROM kq",
     "keyword_search": f"WITH {B.KEYWORD} SELECT *, 'keyword' AS retrieval_type FROM kw_hits",
+    "keyword_topk": f"WITH {B.KEYWORD} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM kw_hits) WHERE rank <= 5",
     "substring_search": f"""WITH RECURSIVE {B.DOCS}, low AS (SELECT keyword AS term, doc_id, lower(content) AS c, lower(keyword) AS k FROM docs JOIN lex ON contains(lower(content), lower(keyword))),
 o AS (SELECT term, doc_id, k, strpos(c, k) AS pos, substr(c, strpos(c, k) + 1) AS rest FROM low
   UNION ALL SELECT term, doc_id, k, pos + strpos(rest, k), substr(rest, strpos(rest, k) + 1) FROM o WHERE strpos(rest, k) > 0)
