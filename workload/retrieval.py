@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ragspark.functions.sizing import settled
 from ragspark.functions.text import tokenize
 from ragspark.operators import dense, filters, fusion, keyword, lexical, rerank, rewrite
 from ragspark.operators.vectorize import hashed_tfidf
@@ -189,7 +190,7 @@ def rewrite_batch(spark, sf):
 
 def rerank_topk(spark, sf):
     index = B.stored_index(spark, sf)
-    best = lexical.bm25_topk(B.questions(spark, sf), index, 10, fill=False)
+    best = settled(lexical.bm25_topk(B.questions(spark, sf), index, 10, fill=False))  # scored and then sorted
     return rerank.rerank(best, rerank.coverage_scores(best, B.questions(spark, sf), index), 5)
 
 
