@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from ragspark.llm.innerproduct import topk_inner_product
 from ragspark.llm.jaccard import jaccard_groups
+from ragspark.llm.licenses import scan_licenses
 from ragspark.llm.mixing import mix_sources
 from ragspark.llm.packing import pack_documents
+from ragspark.llm.perplexity import judge_perplexity
+from ragspark.llm.quality import judge_quality
 from ragspark.llm.repeats import remove_repeats
 from ragspark.llm.sharding import shard_documents
+from ragspark.llm.urls import filter_urls
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -27,15 +31,27 @@ def op1_karmarkar_karp(spark: SparkSession, sf: str) -> DataFrame:
     return shard_documents(table(spark, sf, "documents"), shards=40, overhead=16)
 
 
+def op2_js_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return judge_quality(table(spark, sf, "documents"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_groups(table(spark, sf, "documents"), length=5, percent=80)
 
 
+def op4_markov_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_urls(table(spark, sf, "pages"))
+
+
 def op5_binary_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(table(spark, sf, "documents"), tokenizer_file(), length=2048).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_kneser_ney(spark: SparkSession, sf: str) -> DataFrame:
+    return judge_perplexity(table(spark, sf, "documents"), table(spark, sf, "labels").where("quality = 1 AND toxic = 0"))
+
+
 def op7_block_anchors(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeats(table(spark, sf, "documents").select("doc_id", "text"), window=20).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -50,13 +66,21 @@ def op9_norm_sorted_topk(spark: SparkSession, sf: str) -> DataFrame:
     return topk_inner_product(vectors, vectors.where("vec_id % 20 = 0"), k=20, scale=64)
 
 
+def op10_license_bands(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_licenses(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_karmarkar_karp": op1_karmarkar_karp,
+    "op2_js_divergence": op2_js_divergence,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_markov_ratio": op4_markov_ratio,
     "op5_binary_packing": op5_binary_packing,
+    "op6_kneser_ney": op6_kneser_ney,
     "op7_block_anchors": op7_block_anchors,
     "op8_fair_queueing": op8_fair_queueing,
     "op9_norm_sorted_topk": op9_norm_sorted_topk,
+    "op10_license_bands": op10_license_bands,
 }
 
 WORD = r"[^\x20\x09-\x0D]+"

@@ -24,7 +24,23 @@ NUMBER_ROWS = 50_000  # rows numbered by one task
 
 
 def differencing(sizes: np.ndarray, parts: int) -> np.ndarray:
-    """The part of each item, by the differencing method; deterministic, ties by position."""
+    """The part of each item, by the differencing method; deterministic, ties by position.
+
+    An item of at least the mean of the parts still open gets a part of its own first: beside it, differencing would
+    level the other parts against it and not among each other.
+    """
+    alone = np.full(len(sizes), -1, dtype=np.int64)
+    total, taken = int(sizes.sum()), 0
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        if taken + 1 >= parts or int(sizes[i]) * (parts - taken) < total:
+            break
+        alone[i], taken, total = taken, taken + 1, total - int(sizes[i])
+    rest = alone < 0
+    alone[rest] = taken + _differenced(sizes[rest], parts - taken)
+    return alone
+
+
+def _differenced(sizes: np.ndarray, parts: int) -> np.ndarray:
     n = len(sizes)
     if not n:
         return np.zeros(0, np.int64)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragspark.functions.sizing import broadcast_if_small
-from ragspark.session import checkpoint_root
+from ragspark.session import checkpoint_root, work_path
 
 SHARD_BYTES = 32 << 20  # text behind one shard of a packed exchange
 
@@ -43,3 +43,10 @@ def numbered(df: DataFrame, groups: list[str], order: list[Column], bucket: Colu
     same = [placed[c].eqNullSafe(starts[c]) for c in [*groups, "_bucket"]]
     return placed.join(starts, same).select(
         *[placed[c] for c in df.columns], (F.col("_start") + F.col("_at")).cast("long").alias(number))
+
+
+def work_table(df: DataFrame) -> DataFrame:
+    """The frame written as Parquet into the shared folder and read again."""
+    path = work_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
