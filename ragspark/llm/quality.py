@@ -29,7 +29,8 @@ def _let(value: Column, body) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words of a text; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
+    inside = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(inside == "", F.array().cast("array<string>")).otherwise(F.split(inside, f"[{SPACE}]+"))
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -118,9 +119,10 @@ def judge_quality(docs: DataFrame, common: int = 20, min_words: int = 50, min_ch
     top = small_side(common_words(docs, most))
     rows = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("language"))
     rows = rows.join(top, "language", "left").withColumn("words", words_of(F.col("text")))
-    marks = F.lit("".join(MARKS))
-    place = lambda w: F.coalesce(F.array_position(F.col("common"), F.lower(w)), F.lit(0)).cast("int")
-    spelled = F.array_join(F.filter(F.transform("words", lambda w: F.when(place(w) > 0, F.substr(marks, place(w), F.lit(1))).otherwise("")), lambda m: m != ""), "")
+    marks = F.array(*[F.lit(m) for m in MARKS])
+    # array_join leaves out the nulls of words that are not common.
+    mark = lambda w: F.get(marks, (F.array_position(F.col("common"), F.lower(w)) - 1).cast("int"))
+    spelled = F.coalesce(F.array_join(F.transform("words", mark), ""), F.lit(""))
     classes = char_classes(F.col("text"))
     counted = rows.select(
         "doc_id", "lang", "language", F.size("words").cast("long").alias("n_words"),
