@@ -23,6 +23,7 @@ from ragspark.llm.wordhash import chunks, mix
 ORDER = 5
 START, STOP = 2, 3
 SHARD_ROWS = 4_000_000
+CHUNK = 1 << 19  # bytes of text handled at once; a task holds about a hundred times that
 CONTEXT = 16  # added to the order in the key of a context
 
 
@@ -46,7 +47,7 @@ def gram_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the n-grams of a chunk; Spark adds them up."""
-    for _, data, offsets in chunks(batches):
+    for _, data, offsets in chunks(batches, most=CHUNK):
         codes, counts = np.unique(gram_codes(data, offsets)[1], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts.astype(np.int64))], names=["gram", "n"])
 
@@ -161,7 +162,7 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
         table = spark.sparkContext.broadcast(Table(rows["key"].to_numpy(), rows["value"].to_numpy()))
 
         def sums(batches: Iterator[pa.RecordBatch], s: int = s, table=table) -> Iterator[pa.RecordBatch]:
-            for rows, data, offsets in chunks(batches):
+            for rows, data, offsets in chunks(batches, most=CHUNK):
                 owner, codes = gram_codes(data, offsets)
                 mine = (codes >> 8 & 255) % shards == s
                 total = np.bincount(owner[mine], log_probabilities(codes[mine], table.value), minlength=rows.num_rows)
