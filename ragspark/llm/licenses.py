@@ -19,7 +19,7 @@ from ragspark.llm.tables import settle
 from ragspark.llm.wordhash import mix
 
 SHINGLE = 3
-WINDOW = 16  # shingles
+WINDOW = 8  # shingles
 
 # Short notices of public licenses.
 TEMPLATES = (
@@ -48,7 +48,13 @@ def _let(value: Column, body) -> Column:
 
 
 def license_words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+    """Only the first and the last part of a split can be empty."""
+    def inner(parts: Column) -> Column:
+        first = F.when(F.element_at(parts, 1) == "", 2).otherwise(1)
+        last = F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
+        return F.slice(parts, first, F.greatest(F.lit(0), F.size(parts) - last - first + 1))
+
+    return _let(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), inner)
 
 
 def shingles(words: Column, length: int = SHINGLE) -> Column:
@@ -57,6 +63,12 @@ def shingles(words: Column, length: int = SHINGLE) -> Column:
         F.transform(F.sequence(F.lit(1), F.size(words) - (length - 1)), lambda i: F.slice(words, i, length)))
 
 
+def shingle_hashes(words: Column, length: int = SHINGLE) -> Column:
+    """xxhash64 of each of `shingles`, without making them."""
+    return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).when(F.size(words) < length, F.array(F.xxhash64(words))).otherwise(
+        F.transform(F.sequence(F.lit(1), F.size(words) - (length - 1)), lambda i: F.xxhash64(F.slice(words, i, length))))
+
+
 def template_table(spark: SparkSession, templates) -> DataFrame:
     """license, shingles (distinct), n_words; templates without a word are left out."""
     rows = spark.createDataFrame(list(templates), "license string, text string").withColumn("words", license_words(F.col("text")))
@@ -89,20 +101,29 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, containment: float = 0.8
                 keys[band].add(key)
                 pieces.append((band, key, name, words))
     retrieved = spark.createDataFrame(sorted(set(pieces)), "band int, key long, license string, n_words int")
-    settings = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(c).cast("long").alias("c"), F.array(*[F.lit(k).cast("long") for k in sorted(keys[b])]).alias("keys"))
-                         for b, c in enumerate(constants)]) if constants else F.array().cast("array<struct<band:int,c:bigint,keys:array<bigint>>>")
+    nothing = F.array().cast("array<struct<at:int,band:int,key:bigint>>")
 
-    def in_band(hashes: Column, band: Column) -> Column:
+    def in_band(blocks: Column, band: int) -> Column:
         """Windows of this band that share a value with a template: (window, band, key)."""
-        low = F.transform(F.sequence(F.lit(0), ((F.size(hashes) - 1) / half).cast("int")), lambda i: F.array_min(
-            F.transform(F.slice(hashes, i * half + 1, half), lambda h: h.bitwiseXOR(band["c"]))))
-        return _let(low, lambda mins: F.filter(
-            F.transform(mins, lambda x, i: F.struct(i.alias("at"), band["band"].alias("band"), F.least(x, F.get(mins, i + 1)).alias("key"))),
-            lambda w: F.array_contains(band["keys"], w["key"])))
+        wanted = F.array(*[F.lit(k).cast("long") for k in sorted(keys[band])])
+        c = F.lit(constants[band]).cast("long")
+        low = F.transform(blocks, lambda block: F.array_min(F.transform(block, lambda h: h.bitwiseXOR(c))))
+        least = _let(low, lambda mins: F.transform(mins, lambda x, i: F.least(x, F.get(mins, i + 1))))
+
+        def met(values: Column) -> Column:
+            cells = F.transform(values, lambda x, i: F.struct(i.alias("at"), F.lit(band).alias("band"), x.alias("key")))
+            return F.when(F.arrays_overlap(values, wanted), F.filter(cells, lambda w: F.array_contains(wanted, w["key"]))).otherwise(nothing)
+
+        return _let(least, met)
 
     def windows(words: Column) -> Column:
-        hashes = F.transform(shingles(words), lambda s: F.xxhash64(s))
-        return _let(hashes, lambda h: F.when(F.size(h) > 0, F.flatten(F.transform(settings, lambda band: in_band(h, band)))))
+        def cut(h: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), ((F.size(h) - 1) / half).cast("int")), lambda i: F.slice(h, i * half + 1, half))
+
+        def found(h: Column) -> Column:
+            return F.when(F.size(h) > 0, _let(cut(h), lambda blocks: F.concat(nothing, *[in_band(blocks, b) for b in range(len(constants))])))
+
+        return _let(shingle_hashes(words), found)
 
     # One expression binds each intermediate array once; explode_outer keeps the optimizer from computing it a second time in a filter.
     hits = docs.select("doc_id", "text", _let(license_words(F.col("text")), windows).alias("hits"))
