@@ -38,7 +38,7 @@ TEMPLATES = (
 )
 
 
-def bands_for(shortest: int, window: int = WINDOW, sure: float = 0.99) -> int:
+def bands_for(shortest: int, window: int = WINDOW, sure: float = 0.999) -> int:
     """Bands at which a window shares a value with a template of `shortest` shingles that it holds, with probability `sure`."""
     return math.ceil(math.log(1 - sure) / math.log(1 - shortest / window))
 
@@ -75,7 +75,7 @@ def template_table(spark: SparkSession, templates) -> DataFrame:
     return rows.where(F.size("words") > 0).select("license", F.size("words").alias("n_words"), F.array_distinct(shingles(F.col("words"))).alias("wanted"))
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, containment: float = 0.8, sure: float = 0.99) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates=TEMPLATES, containment: float = 0.8, sure: float = 0.999) -> DataFrame:
     """doc_id, license, word_start, containment, for each license of `templates` (pairs of name and text) found in a row of (doc_id, text).
 
     containment is the largest share of the template's distinct shingles that the text holds in and around one retrieving window, at least

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ragspark.llm.tables import settle, small_side
 
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 
 
 def word_count(text: str) -> Column:
