@@ -33,9 +33,9 @@ def fixed_vectors(vectors: DataFrame, scale: int) -> DataFrame:
         F.col("vec_id").cast("long").alias("vec_id"), F.transform(scaled, lambda x: F.floor(x).cast("long")).alias("v"))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
     values = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.int64)
-    return values.reshape(len(column), -1)
+    return values.reshape(len(column), width)
 
 
 def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +44,7 @@ def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = rows.column(0)
         sizes = np.asarray(column.value_lengths())
         for width in np.unique(sizes).tolist():
-            x = _matrix(column.filter(pa.array(sizes == width))).astype(np.float64)
+            x = _matrix(column.filter(pa.array(sizes == width)), width).astype(np.float64)
             sums[width] = sums.get(width, 0) + x.T @ x
     for width, g in sums.items():
         at = np.arange(g.size)
@@ -77,7 +77,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         sizes = np.asarray(column.value_lengths())
         for width in np.unique(sizes).tolist():
             mine = sizes == width
-            x = _matrix(column.filter(pa.array(mine))) if width else np.zeros((int(mine.sum()), 0), np.int64)
+            x = _matrix(column.filter(pa.array(mine)), width)
             parts = held.setdefault(width, ([], []))
             parts[0].append(ids[mine])
             parts[1].append(x)
@@ -151,7 +151,7 @@ def topk_inner_product(vectors: DataFrame, queries: DataFrame, k: int = 20, scal
             for r in batch.itertuples(index=False):
                 q_ids, q = _unpack(r.ids, r.x, r.width)
                 c_ids, c = _unpack(r.c_ids, r.c_x, r.width)
-                n, _, scores = block_topk(q_ids, q, np.full(len(q), -np.inf), c_ids, c, basis.value[r.width], k)
+                n, _, scores = block_topk(q_ids, q, np.full(len(q), -np.inf), c_ids, c, basis.value.get(r.width, np.zeros((0, 0))), k)
                 counts = np.bincount(n, minlength=len(q))
                 low = np.full(len(q), -np.inf)
                 full = counts == k
@@ -175,7 +175,7 @@ def topk_inner_product(vectors: DataFrame, queries: DataFrame, k: int = 20, scal
             for r in batch.itertuples(index=False):
                 q_ids, q = _unpack(r.ids, r.x, r.width)
                 c_ids, c = _unpack(r.c_ids, r.c_x, r.width)
-                n, at, s = block_topk(q_ids, q, np.frombuffer(r.floors, np.float64), c_ids, c, basis.value[r.width], k)
+                n, at, s = block_topk(q_ids, q, np.frombuffer(r.floors, np.float64), c_ids, c, basis.value.get(r.width, np.zeros((0, 0))), k)
                 yield pd.DataFrame({"query_id": q_ids[n], "vec_id": c_ids[at], "score": s})
 
     scored = pairs.mapInPandas(scores, "query_id long, vec_id long, score long")

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20  # text handled at once by a task; one longer text is a chunk of its own
+CHUNK_BYTES = 1 << 20  # text handled at once by a task; one longer text is a chunk of its own
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
