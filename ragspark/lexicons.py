@@ -24,8 +24,6 @@ AGENT_TYPES = {
 }
 UNKNOWN_AGENT_TYPE = "未知专家"
 
-AGENT_AVATARS = {"craft_expert": "🎨", "history_expert": "📜", "heritage_expert": "🏛️"}
-
 NARRATIVE_WORDS = ("讲讲", "说说", "听听", "师傅", "传承人", "口述", "故事")
 
 ENTITIES = ("景泰蓝", "苏绣", "龙泉青瓷", "宜兴紫砂", "芜湖铁画", "蜀锦")
@@ -87,15 +85,6 @@ CLASS_NAMES = {
     "shujin": "蜀锦",
 }
 
-CLASS_KEYWORDS = {
-    "jingtailan": ("掐丝", "珐琅", "点蓝", "烧蓝", "磨光", "镀金"),
-    "suxiu": ("刺绣", "绣针", "丝线", "针法", "绷面"),
-    "longquan_ci": ("青瓷", "釉色", "烧制", "拉坯", "釉料"),
-    "yixing_zisha": ("紫砂", "壶", "泥料", "成型", "窑"),
-    "wuhu_tiehua": ("铁画", "锻造", "铁锤", "焊接", "退火"),
-    "shujin": ("蜀锦", "织机", "丝绸", "图案", "花楼"),
-}
-
 # (id, name, description, depth, min length, max length, focus)
 PROFILES = (
     ("curious", "好奇者", "对非遗技艺有初步兴趣，想要了解基本情况", "shallow", 300, 500,

@@ -27,6 +27,7 @@ def routed_categories(text: Column, routes: Routes = ROUTES) -> Column:
 
 
 def analysis_of(categories: Column, display: dict[str, str] = AGENT_NAMES) -> dict[str, Column]:
+    # The sentences are fixed values.
     n = F.size(categories)
     shown = F.array_join(F.transform(categories, lambda c: label_of(c, display)), "、")
     return {

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragspark.functions.ranking import DECIMALS, top_k
-from ragspark.functions.sizing import broadcast_if_small, fits, settled_broadcast
+from ragspark.functions.sizing import broadcast_if_small, fits, settled, settled_broadcast
 from ragspark.functions.text import tokenize
 
 # The usual Okapi parameters.
@@ -166,44 +166,38 @@ def bm25_matches(queries: DataFrame, index: Bm25Index, text: str = "question", m
 
 
 def bm25_topk(queries: DataFrame, index: Bm25Index, k: int = 5, text: str = "question", mode: str = "mixed",
-              fill: bool = True, filler_depth: int | None = None) -> DataFrame:
+              fill: bool = True) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents of every query.
 
-    With `fill`, a query matched by fewer than k documents is completed with zero-scored documents in
-    id order. While matching scores are positive, the 2k lowest ids always hold enough unmatched ones.
-    On toy corpora the idf floor can be negative; the plan then stops with an error unless
-    `filler_depth` (at least the number of documents) is given.
+    With `fill`, a query with fewer than k positive scores is completed: documents that score zero come next, in id order,
+    whether they match (a term held by half of the documents has idf 0) or not, and then negative scores. Zeros are drawn from the lowest ids,
+    as many of them as leave k after the matches that do not score zero; nothing is read of other queries.
     """
     order = [F.desc("score"), F.asc("doc_id")]
-    depth = filler_depth or 2 * k
-    best = top_k(bm25_matches(queries, index, text, mode), ["query_id"], order, depth if fill else k)
+    best = top_k(bm25_matches(queries, index, text, mode), ["query_id"], order, k)
+    kept = ["query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank")]
     if not fill:
-        return best.select("query_id", "doc_id", "score", F.col("rank").cast("long"))
-    # From here on a query holds at most `depth` rows, and the filler list has `depth` entries in all.
-    lost = F.col("score") if filler_depth else F.when(F.col("score") <= 0, F.raise_error(
-        F.lit("non-positive BM25 score: give filler_depth for a corpus this small"))).otherwise(F.col("score"))
-    hit = F.struct((-lost).alias("loss"), F.col("doc_id").alias("doc_id"))
-    held = best.groupBy("query_id").agg(F.collect_list(hit).alias("held"))
-    lowest = index.doc_len.select("doc_id").orderBy("doc_id").limit(depth)
-    ids = lowest.agg(F.sort_array(F.collect_list("doc_id"))).scalar()
-    held_or_none = F.coalesce(F.col("held"), F.array().cast(held.schema["held"].dataType))
-    spare = F.transform(
-        F.array_except(F.col("ids"), F.col("held.doc_id")),
-        lambda d: F.struct(F.lit(0.0).alias("loss"), d.alias("doc_id")),
-    )
-    filled = F.when(F.size("held") < depth, F.concat(F.col("held"), spare)).otherwise(F.col("held"))
-    return (
-        queries.select("query_id")
-        .join(held, "query_id", "left")
-        .select("query_id", held_or_none.alias("held"), ids.alias("ids"))
-        .select("query_id", F.posexplode(F.slice(F.sort_array(filled), 1, k)).alias("pos", "hit"))
-        .select(
-            "query_id",
-            F.col("hit.doc_id").alias("doc_id"),
-            (F.lit(0.0) - F.col("hit.loss")).alias("score"),
-            (F.col("pos") + 1).cast("long").alias("rank"),
-        )
-    )
+        return best.select(*kept)
+    good = settled(best.where("score > 0").select(*kept))
+    enough = good.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    short = settled(queries.join(broadcast_if_small(enough), "query_id", "left_anti"))
+    if short.isEmpty():
+        return good
+    nonzero = settled(bm25_matches(short, index, text, mode).where("score <> 0"))
+    lowest, total, depth = index.doc_len.select("doc_id"), index.doc_len.count(), 2 * k
+    while True:
+        ids = [r["doc_id"] for r in lowest.orderBy("doc_id").limit(depth).collect()]  # `depth` ids, whatever the table holds
+        if depth >= total:
+            break
+        taken = nonzero.where(F.col("doc_id") <= ids[-1]).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        if depth - (taken.agg(F.max("n")).first()[0] or 0) >= k:
+            break
+        depth *= 4
+    low = F.array(*map(F.lit, ids)).cast(f"array<{lowest.schema['doc_id'].dataType.simpleString()}>")
+    zeros = short.select("query_id", F.explode(low).alias("doc_id")).distinct()
+    zeros = zeros.join(nonzero.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
+    filled = top_k(zeros.unionByName(nonzero.select("query_id", "doc_id", "score")), ["query_id"], order, k).select(*kept)
+    return good.join(broadcast_if_small(short.select("query_id").distinct()), "query_id", "left_anti").unionByName(filled)
 
 
 def bm25_scores(queries: DataFrame, index: Bm25Index, text: str = "question", mode: str = "mixed") -> DataFrame:

@@ -73,18 +73,24 @@ def test_bm25_without_the_broadcast_bound_gives_the_same(spark, corpus, monkeypa
     assert rows(lexical.bm25_topk(q, index, 5)) == want
 
 
-def test_toy_corpus_needs_a_filler_depth(spark):
-    docs = [(0, "a b"), (1, "a c"), (2, "a")]
+@pytest.mark.parametrize("docs", [
+    [(0, "a b"), (1, "a c"), (2, "a")],
+    [(i, "aa bb" if i % 2 else f"cc{i}") for i in range(20)],  # idf of aa and bb is 0
+    [(i, "aa bb" if i < 15 else f"cc{i}") for i in range(20)],  # negative scores in the lowest ids
+])
+def test_topk_with_scores_that_are_not_positive(spark, docs):
     d = spark.createDataFrame(docs, "doc_id long, content string")
-    q = spark.createDataFrame([(0, "a")], "query_id long, question string")
     index = lexical.bm25_index(d)
-    scores, floor = okapi(docs, "a")
-    if floor <= 0:
-        with pytest.raises(Exception, match="filler_depth"):
-            lexical.bm25_topk(q, index, 2).collect()
-    got = [(r.doc_id, r.score) for r in lexical.bm25_topk(q, index, 2, filler_depth=10).orderBy("rank").collect()]
-    want = sorted(scores.items(), key=lambda x: (-round(x[1], 6), x[0]))[:2]
-    assert [g[0] for g in got] == [w[0] for w in want]
+    for k in (2, 7, 30):
+        asked = ["aa", "a", "cc16", "nothing"]
+        q = spark.createDataFrame(list(enumerate(asked)), "query_id long, question string")
+        got = {}
+        for r in lexical.bm25_topk(q, index, k).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.doc_id, r.rank))
+        for i, question in enumerate(asked):
+            scores = okapi(docs, question)[0]
+            want = sorted((-round(scores.get(n, 0.0), 6) + 0.0, n) for n, _ in docs)[:k]
+            assert got[i] == [(n, r) for r, (_, n) in enumerate(want, 1)]
 
 
 def test_all_scores_account_for_every_document(spark, corpus):

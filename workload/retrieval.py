@@ -144,7 +144,7 @@ def rrf_unbounded(spark, sf):
     sem = dense.semantic_search(B.label_centroids(spark, sf), B.doc_vectors(spark, sf))
     lists = plans._arm(kw.withColumnRenamed("similarity", "score"), "keyword").unionByName(
         plans._arm(sem.withColumnRenamed("similarity", "score"), "dense"))
-    return fusion.rrf(lists, bounded=False, limit=20).select("query_id", "doc_id", "score", "sources_count", "final_rank")
+    return fusion.rrf(lists, bounded=False).select("query_id", "doc_id", "score", "sources_count", "final_rank")
 
 
 def weighted_rrf(spark, sf):
@@ -362,7 +362,7 @@ h AS (SELECT 'keyword' AS source, query_id, doc_id, score FROM plain UNION ALL
   SELECT 'dense', c.label::BIGINT, e.vec_id, round(list_cosine_similarity(c.embedding, e.embedding::DOUBLE[]), 6) FROM c, embeddings e),
 r AS (SELECT *, row_number() OVER (PARTITION BY source, query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM h),
 f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, count(*) AS sources_count FROM r GROUP BY ALL),
-o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS final_rank FROM f) SELECT * FROM o WHERE final_rank <= 20""",
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS final_rank FROM f) SELECT * FROM o""",
     "weighted_rrf": f"""WITH {LISTS}, f AS (SELECT query_id, doc_id, round(sum(CASE WHEN source = 'bm25' THEN 0.4::DOUBLE ELSE 0.6::DOUBLE END / (59 + rank)), 9) AS score, count(*) AS sources_count FROM hits GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS final_rank FROM f""",
     "score_minmax": f"WITH {LISTS} " + NORM.format("CASE WHEN hi - lo = 0 THEN score ELSE round((score - lo) / (hi - lo), 6) END"),
