@@ -8,6 +8,7 @@ sequence, none crosses documents, and none is padded.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,10 @@ class Encoder:
         import re
 
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
-        self.plain = Tokenizer.from_file(path)
+        self.path = path
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spelled = {chr(b): b for b in printable}
         spelled |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
@@ -46,6 +46,13 @@ class Encoder:
         self.fast = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.odd = re.compile("|".join(["[^\\x00-\\u024f]", *map(re.escape, sorted(special))]))
 
+    @cached_property
+    def plain(self):
+        """Loaded by the tasks that meet a text for it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> np.ndarray:
         if self.odd.search(text):
             return np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype=np.uint32)

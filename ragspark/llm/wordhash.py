@@ -89,7 +89,7 @@ class Words:
 
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    texts = (pc.fill_null(texts, "") if texts.null_count else texts).cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
