@@ -28,7 +28,8 @@ def rank_rows(df: DataFrame, groups: Sequence[str], order: Sequence[Column], ran
 
     The rows are range-partitioned on (groups, order), so a group that holds much of the table is spread
     over many tasks. Positions are made global by adding the row counts of the earlier partitions, and the
-    first position of a group is subtracted. The sorted rows are checkpointed: range bounds are sampled,
+    first position of a group is subtracted. That position comes back per (partition, group), so the rows of a hot group
+    stay apart in this join too. The sorted rows are checkpointed: range bounds are sampled,
     so partition numbers may not be computed twice.
     """
     from ragspark.session import checkpoint_root
@@ -56,9 +57,10 @@ def rank_rows(df: DataFrame, groups: Sequence[str], order: Sequence[Column], ran
     positioned = placed.join(F.broadcast(offsets), "_part").withColumn(
         "_pos", F.col("_before") + F.col("_at") - F.col("_first")
     )
-    starts = positioned.groupBy(*groups).agg(F.min("_pos").alias("_start"))
+    pieces = positioned.groupBy("_part", *groups).agg(F.min("_pos").alias("_from"))  # a group has at most one per partition
+    starts = pieces.withColumn("_start", F.min("_from").over(Window.partitionBy(*groups))).drop("_from")
     return (
-        positioned.join(starts, list(groups))
+        positioned.join(starts, ["_part", *groups])
         .withColumn(rank, (F.col("_pos") - F.col("_start") + 1).cast("long"))
         .drop("_at", "_part", "_first", "_before", "_pos", "_start")
     )

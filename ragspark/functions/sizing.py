@@ -1,8 +1,8 @@
 """Broadcast only what has been measured.
 
-`broadcast_if_small` adds the hint only when both rows and bytes stay below the limits. Tables whose files are
-tiny are known to; anything else is counted by one bounded job that stops one row past the limit. Above them the frame is returned as
-it is and the join shuffles, with AQE splitting hot keys.
+`broadcast_if_small` adds the hint only when both rows and bytes stay below the limits. Rows given by the driver are known
+to; anything else is counted by one bounded job that stops one row past the limit, as the size of a file says
+little about the rows in it. Above the limits the frame is returned as it is and the join shuffles, with AQE splitting hot keys.
 """
 
 from __future__ import annotations
@@ -45,19 +45,20 @@ def _estimate(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-# Plan nodes that can return more data than they read.
-GROWING = ("Generate", "Join", "Expand", "Union", "Map", "LogicalRDD", "pandas_udf", "explode")
+# Plan nodes that read data, or can return more of it than they read.
+GROWING = ("Generate", "Join", "Expand", "Union", "Map", "LogicalRDD", "pandas_udf", "explode", "Relation [", "Relation[", "Range")
 SURELY_SMALL = 2 * 1024 * 1024
 
 
 def _known_small(df: DataFrame) -> bool:
-    """Files or local rows of a few kilobytes to two megabytes, only projected, filtered or aggregated."""
+    """Up to two megabytes of rows the driver itself has given, only projected, filtered or aggregated."""
     plan = df._jdf.queryExecution().analyzed().toString()
-    return not any(node in plan for node in GROWING) and _estimate(df) <= SURELY_SMALL
+    leaves = plan.replace("LocalRelation", "")
+    return "LocalRelation" in plan and not any(node in leaves for node in GROWING) and _estimate(df) <= SURELY_SMALL
 
 
 def fits(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
-    """Whether the frame stays below both limits: by its file sizes where they say so, else by counting."""
+    """Whether the frame stays below both limits."""
     if max_rows >= MAX_ROWS and max_bytes >= MAX_BYTES and _known_small(df):
         return True
     rows, size = measured_size(df, max_rows)

@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragspark.functions.ranking import DECIMALS, top_k
-from ragspark.functions.sizing import MAX_BYTES, fits, measured_size, settled
+from ragspark.functions.sizing import MAX_BYTES, fits, settled
 from ragspark.functions.vectors import cosine, norm
 
-CELLS = 4_000_000  # scores held at once by a task
+QUERY_ROWS, DOC_ROWS = 1_024, 4_096  # a task holds the scores of one such tile at once
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -30,26 +30,25 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 
 
 def _chunks(queries: DataFrame) -> list[DataFrame]:
+    """Parts of even row counts, each below the bound whatever the ids are: rows are dealt out by position."""
     if fits(queries, 1_000_000):
         return [queries]
-    queries = settled(queries)  # read once per part
     total = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
     parts = 1 + 2 * int(total["n"]) * (8 * int(total["d"]) + 64) // MAX_BYTES
-    slot = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-    return [queries.where(slot == i) for i in range(parts)]
+    # Written before it is split, so that a row keeps its part and is read once per part.
+    dealt = settled(queries.select("query_id", "embedding", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).alias("_part")))
+    return [dealt.where(F.col("_part") == i).drop("_part") for i in range(parts)]
 
 
 def _score_blocks(queries: DataFrame, docs: DataFrame, k: int | None, floor: float | None) -> DataFrame:
-    """One pass over the documents for one bounded query chunk."""
-    rows, size = measured_size(queries, 1_000_000)
-    if size > 4 * MAX_BYTES:
-        raise ValueError(f"query chunk of {rows} rows and {size} bytes exceeds the broadcast bound")
-    local = queries.select("query_id", "embedding").toPandas()  # bounded by the check above
-    by_width = {}
-    for width, group in local.groupby(local["embedding"].map(len)):
-        ids = group["query_id"].to_numpy()
-        by_width[int(width)] = (ids, _unit(np.stack(group["embedding"].to_numpy()).astype("float64")))
+    """One pass over the documents for one bounded query chunk. What cannot reach a query's k-th best score so far is dropped per tile."""
+    local = queries.select("query_id", "embedding").toPandas()  # bounded by `_chunks`
     every_id = local["query_id"].to_numpy()
+    by_width = {}
+    for width, at in local.groupby(local["embedding"].map(len)).indices.items():
+        places = np.full(len(local), -1)
+        places[at] = np.arange(len(at))
+        by_width[int(width)] = (places, _unit(np.stack(local["embedding"].to_numpy()[at]).astype("float64")))
     shared = docs.sparkSession.sparkContext.broadcast((by_width, every_id))
     query_type, doc_type = queries.schema["query_id"].dataType, docs.schema["doc_id"].dataType
     schema = T.StructType([
@@ -60,47 +59,53 @@ def _score_blocks(queries: DataFrame, docs: DataFrame, k: int | None, floor: flo
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         widths, all_ids = shared.value
-        best: pd.DataFrame | None = None
+        held, waiting, floors = [], 0, np.full(len(all_ids), -np.inf)  # floors: the k-th best score of each query so far
         for batch in batches:
             for width, group in batch.groupby(batch["embedding"].map(len)):
-                ids, matrix = widths.get(int(width), (all_ids[:0], np.zeros((0, int(width)))))
+                places, matrix = widths.get(int(width), (np.full(len(all_ids), -1), np.zeros((0, int(width)))))
                 vectors = _unit(np.stack(group["embedding"].to_numpy()).astype("float64"))
-                others = all_ids[~np.isin(all_ids, ids)]  # another length: similarity 0
-                step = max(1, CELLS // max(1, len(all_ids)))
                 doc_ids = group["doc_id"].to_numpy()
-                for at in range(0, len(vectors), step):
-                    block_ids = doc_ids[at:at + step]
-                    scores = np.round(matrix @ vectors[at:at + step].T, DECIMALS) + 0.0
-                    if len(others):
-                        scores = np.vstack([scores, np.zeros((len(others), len(block_ids)))])
-                    found = _select(np.concatenate([ids, others]), block_ids, scores, k, floor)
+                for rows, at in _tiles(len(all_ids), len(vectors)):
+                    inside = places[rows] >= 0  # a query of another length has similarity 0
+                    scores = np.zeros((len(inside), min(DOC_ROWS, len(vectors) - at)))
+                    scores[inside] = np.round(matrix[places[rows][inside]] @ vectors[at:at + DOC_ROWS].T, DECIMALS) + 0.0
+                    least = floors[rows] if floor is None else np.maximum(floors[rows], floor)
+                    q, d = _select(scores, k, least)
                     if k is None:
-                        yield found
-                    else:
-                        best = found if best is None else _best(pd.concat([best, found]), k)
-        if best is not None:
-            yield best
+                        yield pd.DataFrame({"query_id": all_ids[rows][q], "doc_id": doc_ids[at + d], "similarity": scores[q, d]})
+                        continue
+                    held.append(pd.DataFrame({"_q": q + rows.start, "doc_id": doc_ids[at + d], "similarity": scores[q, d]}))
+                    waiting += len(q)
+                    if waiting > 4 * k * len(all_ids) + DOC_ROWS:
+                        best = _best(pd.concat(held), k)
+                        full = best.groupby("_q")["similarity"].agg(["size", "min"])
+                        full = full[full["size"] == k]
+                        floors[full.index.to_numpy()] = full["min"].to_numpy()
+                        held, waiting = [best], 0
+        if k is not None and held:
+            best = _best(pd.concat(held), k)
+            yield pd.DataFrame({"query_id": all_ids[best["_q"].to_numpy()], "doc_id": best["doc_id"].to_numpy(),
+                                "similarity": best["similarity"].to_numpy()})
 
     return docs.select("doc_id", "embedding").mapInPandas(blocks, schema)
 
 
-def _select(query_ids, doc_ids, scores, k, floor) -> pd.DataFrame:
+def _tiles(queries: int, docs: int) -> Iterator[tuple[slice, int]]:
+    for at in range(0, docs, DOC_ROWS):
+        for first in range(0, queries, QUERY_ROWS):
+            yield slice(first, min(first + QUERY_ROWS, queries)), at
+
+
+def _select(scores: np.ndarray, k: int | None, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the scores that reach `least` of their row and, with k, the k-th best of the row; ties stay in."""
     if k is not None and scores.shape[1] > 4 * k:
-        # Everything at least as good as the k-th best survives, so ties are kept for the exact cut below.
-        cut = np.partition(scores, -k, axis=1)[:, -k][:, None]
-        keep = scores >= (cut if floor is None else np.maximum(cut, floor))
-    elif floor is not None:
-        keep = scores >= floor
-    else:
-        keep = np.ones_like(scores, dtype=bool)
-    q, d = np.nonzero(keep)
-    found = pd.DataFrame({"query_id": query_ids[q], "doc_id": doc_ids[d], "similarity": scores[q, d]})
-    return found if k is None else _best(found, k)
+        least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k])
+    return np.nonzero(scores >= least[:, None])
 
 
 def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:
     ordered = found.sort_values(["similarity", "doc_id"], ascending=[False, True], kind="stable")
-    return ordered.groupby("query_id", sort=False).head(k)
+    return ordered.groupby("_q", sort=False).head(k)
 
 
 def _scored(queries: DataFrame, docs: DataFrame, k: int | None, floor: float | None) -> DataFrame:

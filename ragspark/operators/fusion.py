@@ -54,17 +54,22 @@ def _ranked_lists(hits: DataFrame, lists: Sequence[str], ascending: Sequence[str
     return ranked.withColumn("_rank", (F.col("_rank") - 1).cast("long")).where(~blank)
 
 
-def _fuse(ranked: DataFrame, weight: Column, k: int, payload: str | None, trace: bool, limit: int | None,
-          bounded: bool) -> DataFrame:
+def _fuse(ranked: DataFrame, weight: Column, k: int, payload: str | Sequence[str] | None, trace: bool, limit: int | None,
+          bounded: bool, sources: Sequence[str] | None) -> DataFrame:
     step = weight / (F.lit(k) + F.col("_rank"))
     measures = [F.round(F.sum(step), RRF_DECIMALS).alias("score"), F.count(F.lit(1)).alias("sources_count")]
-    if payload:
-        measures.append(F.min_by(F.col(payload), F.struct("source", "_rank")).alias(payload))
+    kept = [payload] if isinstance(payload, str) else list(payload or ())
+    if kept:
+        place = F.array_position(F.array(*map(F.lit, sources)), F.col("source")) if sources else F.lit(0)
+        first = F.min_by(F.struct(*kept), F.struct(place.alias("place"), "source", "_rank"))
+        measures.append(first.alias("_first"))
     if trace:
         entry = F.struct("source", F.col("_rank").alias("rank"), F.col("score").alias("original_score"),
                          weight.cast("double").alias("weight"))
         measures.append(F.sort_array(F.collect_list(entry)).alias("sources"))
     fused = ranked.groupBy("query_id", "doc_id").agg(*measures)
+    if kept:
+        fused = fused.select("*", *[F.col(f"_first.{c}").alias(c) for c in kept]).drop("_first")
     order = [F.desc("score"), F.asc("doc_id")]
     if limit is not None:
         placed = top_k(fused, ["query_id"], order, limit, "final_rank")
@@ -75,25 +80,27 @@ def _fuse(ranked: DataFrame, weight: Column, k: int, payload: str | None, trace:
     return placed.withColumn("final_rank", F.col("final_rank").cast("long"))
 
 
-def rrf(hits: DataFrame, k: int = RRF_K, ascending: Sequence[str] = (), payload: str | None = None,
-        trace: bool = False, limit: int | None = None, bounded: bool = True) -> DataFrame:
+def rrf(hits: DataFrame, k: int = RRF_K, ascending: Sequence[str] = (), payload: str | Sequence[str] | None = None,
+        trace: bool = False, limit: int | None = None, bounded: bool = False, sources: Sequence[str] | None = None) -> DataFrame:
     """Reciprocal rank fusion of long (source, query_id, doc_id, score) hits.
 
     Every list is sorted by score (descending, or ascending for the sources named in `ascending`, whose
     scores are distances); a row at 0-based rank r adds 1/(k + r). An id repeated in one list counts again.
-    `payload` keeps a column of the first list a document was seen in, `trace` the contributing rows.
+    `payload` keeps columns (content, metadata) of the first list a document was seen in, the lists being in the order of `sources`
+    (by name where that is not given); `trace` keeps the contributing rows.
 
-    Set `bounded=False` for lists that are not top-k results: their ranks are then computed without
-    bringing a list into one task.
+    Ranks are computed without bringing a list into one task. Set `bounded=True` for top-k lists, which are
+    short by construction: a plain window is cheaper there.
     """
     ranked = _ranked_lists(hits, ["source", "query_id"], ascending, bounded)
-    return _fuse(ranked, F.lit(1.0), k, payload, trace, limit, bounded)
+    return _fuse(ranked, F.lit(1.0), k, payload, trace, limit, bounded, sources)
 
 
 def weighted_rrf(hits: DataFrame, weights: dict[str, float] | None, sources: Sequence[str], k: int = RRF_K,
-                 ascending: Sequence[str] = (), payload: str | None = None, trace: bool = False,
-                 limit: int | None = None, bounded: bool = True) -> DataFrame:
-    """RRF with a weight per source. Given weights are scaled to sum 1; without weights each list counts 1."""
+                 ascending: Sequence[str] = (), payload: str | Sequence[str] | None = None, trace: bool = False,
+                 limit: int | None = None, bounded: bool = False) -> DataFrame:
+    """RRF with a weight per source, `sources` being the order of the lists. Given weights are scaled to sum 1; without
+    weights each list counts 1."""
     if weights is None:
         shares = {s: 1.0 for s in sources}
     else:
@@ -105,7 +112,7 @@ def weighted_rrf(hits: DataFrame, weights: dict[str, float] | None, sources: Seq
     table = spark.createDataFrame([(s, float(w)) for s, w in shares.items()], "source string, _weight double")
     ranked = _ranked_lists(hits, ["source", "query_id"], ascending, bounded)
     weighted = ranked.join(F.broadcast(table), "source")
-    return _fuse(weighted, F.col("_weight"), k, payload, trace, limit, bounded)
+    return _fuse(weighted, F.col("_weight"), k, payload, trace, limit, bounded, sources)
 
 
 def normalize_scores(hits: DataFrame, method: str = "minmax", lists: Sequence[str] = ("source", "query_id"),

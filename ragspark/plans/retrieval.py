@@ -44,21 +44,25 @@ def retrieve(queries: DataFrame, docs: DataFrame, k: int = TOP_K, threshold: flo
     return ranked.select("query_id", "doc_id", "similarity", "retrieval_type", F.col("rank").cast("long"))
 
 
-def _merge_dense(hits: DataFrame, query_vectors: DataFrame, doc_vectors: DataFrame, floor: float) -> DataFrame:
-    """Keyword hits blended with their own similarity, and documents near the question that no keyword found.
-
-    This is `merge_hybrid` for a result that is cut at `floor` afterwards, reading the keyword hits once.
-    """
+def hit_similarity(hits: DataFrame, query_vectors: DataFrame, doc_vectors: DataFrame, column: str = "similarity") -> DataFrame:
+    """Hits with the cosine of their question and document; null where either has no vector."""
     # Norms are computed once per vector, before the join.
     qv = query_vectors.select("query_id", F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_qn"))
     dv = doc_vectors.select("doc_id", F.col("embedding").alias("_d"), norm(F.col("embedding")).alias("_dn"))
     similarity = F.round(cosine(F.col("_q"), F.col("_d"), F.col("_qn"), F.col("_dn")), DECIMALS)
-    scored = (
-        hits.select("query_id", "doc_id", F.col("similarity").alias("_k"))
-        .join(broadcast_if_small(dv), "doc_id", "left")
+    return (
+        hits.join(broadcast_if_small(dv), "doc_id", "left")
         .join(broadcast_if_small(qv), "query_id", "left")
-        .select("query_id", "doc_id", "_k", F.when(F.col("_q").isNotNull() & F.col("_d").isNotNull(), similarity).alias("_s"))
+        .select(*hits.columns, F.when(F.col("_q").isNotNull() & F.col("_d").isNotNull(), similarity).alias(column))
     )
+
+
+def _merge_dense(hits: DataFrame, query_vectors: DataFrame, doc_vectors: DataFrame, floor: float) -> DataFrame:
+    """Keyword hits blended with their own similarity, and documents near the question that no keyword found.
+
+    This is `merge_hybrid` for a result that is cut at `floor` afterwards, reading the keyword hits once.
+    """
+    scored = hit_similarity(hits.select("query_id", "doc_id", F.col("similarity").alias("_k")), query_vectors, doc_vectors, "_s")
     # Below the floor a keyword hit only matters where it keeps a near document from counting as unmatched.
     own = F.when(F.col("_s").isNull(), F.col("_k")).otherwise(blend(F.col("_k"), F.col("_s")))
     scored = scored.withColumn("_own", own).where((F.col("_own") >= floor) | (F.col("_s") >= floor))
@@ -130,7 +134,7 @@ def variant_hits(queries: DataFrame, index: Bm25Index, k: int, synonyms=SYNONYMS
     variants = query_variants(queries, synonyms=synonyms)
     key = F.struct("query_id", "variant")
     keyed = variants.select(key.alias("query_id"), "question")
-    hits = bm25_topk(keyed, index, k, mode=mode, fill=False)
+    hits = bm25_topk(keyed, index, k, mode=mode)
     return hits.select(
         F.concat(F.lit("bm25:"), F.col("query_id.variant").cast("string")).alias("source"),
         F.col("query_id.query_id").alias("query_id"),
@@ -144,7 +148,7 @@ def multi_query_search(queries: DataFrame, index: Bm25Index, query_vectors: Data
     """Every expanded variant through BM25, the question through dense search, fused by rank."""
     lists = variant_hits(queries, index, k, synonyms, mode).unionByName(
         _arm(dense_topk(query_vectors, doc_vectors, k), "dense"))
-    return rrf(lists, RRF_K, limit=limit)
+    return rrf(lists, RRF_K, limit=limit, bounded=True)
 
 
 def hybrid_search(queries: DataFrame, index: Bm25Index, query_vectors: DataFrame, doc_vectors: DataFrame,
@@ -159,6 +163,6 @@ def hybrid_search(queries: DataFrame, index: Bm25Index, query_vectors: DataFrame
         .unionByName(_arm(dense_topk(query_vectors, doc_vectors, fused), "dense"))
         .unionByName(_arm(graph_retrieve(queries, nodes, edges, docs, entities, fused), "graph"))
     )
-    merged = rrf(lists, RRF_K, limit=fused).select("query_id", "doc_id", "score", F.col("final_rank").alias("rank"))
+    merged = rrf(lists, RRF_K, limit=fused, bounded=True).select("query_id", "doc_id", "score", F.col("final_rank").alias("rank"))
     merged = settled(merged)
     return rerank(merged, coverage_scores(merged, queries, index, mode=mode), k)

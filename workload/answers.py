@@ -26,10 +26,8 @@ def question_route(spark, sf):
 
 
 def entity_identify(spark, sf):
-    """Entities supplied with the question are its two last words."""
-    words = F.split("question", r"\s+")
-    supplied = F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2))
-    name = C.identify_entity(F.col("question"), P.ENTITIES, supplied)
+    """Entities supplied with the question are its words."""
+    name = C.identify_entity(F.col("question"), P.ENTITIES, F.split("question", r"\s+"))
     return B.user_turns(spark, sf).select("query_id", F.coalesce(name, F.lit("-")).alias("entity"))
 
 
@@ -297,7 +295,7 @@ ORACLES = {
 SELECT query_id, '根据关键词分析，该问题涉及' || array_to_string(list_transform(cats, lambda x: {NAMES}), '、') || '领域' AS intent_analysis, array_to_string(cats, '|') AS experts,
   '问题中检测到相关领域关键词，因此分配' || len(cats) || '个专家Agent处理' AS reasoning, (['simple', 'medium', 'complex'])[len(cats)] AS complexity FROM c""",
     "entity_identify": f"""WITH {B.USER_TURNS}, w AS (SELECT *, string_split_regex(question, '\\s+') AS ws FROM us),
-s AS (SELECT *, list_filter(ws[greatest(len(ws) - 1, 1):len(ws)], lambda x: list_contains({P.texts(P.ENTITIES)}, x)) AS sup FROM w)
+s AS (SELECT *, list_filter(ws, lambda x: list_contains({P.texts(P.ENTITIES)}, x)) AS sup FROM w)
 SELECT query_id, CASE WHEN len(sup) > 0 THEN sup[1] ELSE {ENT.format('question')} END AS entity FROM s""",
     "entity_in_answer": f"SELECT a.conv_id, a.turn, {ENT2} AS entity FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user'",
     "debate_mode": f"""WITH {B.USER_TURNS}, c AS (SELECT *, lower(question) AS low, len({CATS}) AS n, {' + '.join(f"contains(question, {P.text(e)})::INT" for e in P.ENTITIES)} AS named FROM us)

@@ -234,15 +234,11 @@ edges AS (SELECT DISTINCT 'S:' || l_suppkey AS source, 'P:' || l_partkey AS targ
 
 # ---- a graph of words that follow each other in the benchmark texts ----
 
-WORD_LEN = 6
-
-
 def word_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes are benchmark words of at least WORD_LEN letters, edges lead from a word to the next one."""
+    """Nodes are the benchmark words, edges lead from a word to the next one."""
     from ragspark.functions.text import tokenize
 
-    items = table(spark, sf, "benchmark").select(
-        F.filter(tokenize(F.col("text"), "words"), lambda t: F.length(t) >= WORD_LEN).alias("w"))
+    items = table(spark, sf, "benchmark").select(tokenize(F.col("text"), "words").alias("w"))
     words = items.select(F.explode("w").alias("name")).distinct()
     nodes = words.select(F.concat(F.lit("W:"), "name").alias("id"), "name", F.lit("word").alias("type"))
     pairs = items.where(F.size("w") >= 2).select(
@@ -252,7 +248,7 @@ def word_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-WORD_GRAPH = f"""wi AS (SELECT item_id, list_filter({TOKENS.format('text')}, lambda x: length(x) >= {WORD_LEN}) AS w FROM benchmark),
+WORD_GRAPH = f"""wi AS (SELECT item_id, {TOKENS.format('text')} AS w FROM benchmark),
 wl AS (SELECT item_id, unnest(w) AS name, unnest(range(1, len(w) + 1)) AS pos FROM wi),
 wnodes AS (SELECT DISTINCT name FROM wl),
 wedges AS (SELECT DISTINCT a.name AS source, b.name AS target FROM wl a JOIN wl b ON a.item_id = b.item_id AND b.pos = a.pos + 1),

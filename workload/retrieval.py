@@ -105,8 +105,12 @@ def dense_filtered(spark, sf):
 
 
 def hybrid_merge(spark, sf):
+    """Keyword hits with their similarity whatever it is, and documents at 0.2 or above that no keyword found."""
     kw = keyword.keyword_search(B.questions(spark, sf), B.tagged_documents(spark, sf), stopwords=P.STOP, with_matches=False)
-    sem = dense.semantic_search(B.query_vectors(spark, sf), B.doc_vectors(spark, sf), min_similarity=0.2)
+    kw = settled(kw)  # merged, and scored by vectors
+    near = dense.semantic_search(B.query_vectors(spark, sf), B.doc_vectors(spark, sf), min_similarity=0.2)
+    known = plans.hit_similarity(kw.select("query_id", "doc_id"), B.query_vectors(spark, sf), B.doc_vectors(spark, sf))
+    sem = known.where("similarity IS NOT NULL").unionByName(near.drop("retrieval_type")).distinct()
     return fusion.merge_hybrid(kw, sem)
 
 
@@ -127,28 +131,36 @@ def filter_or_all(spark, sf):
 # ---- fusion ----
 
 def _lists(spark, sf, k=10):
-    bm = lexical.bm25_topk(B.questions(spark, sf), B.stored_index(spark, sf), k, fill=False)
+    bm = lexical.bm25_topk(B.questions(spark, sf), B.stored_index(spark, sf), k)
     dn = dense.dense_topk(B.query_vectors(spark, sf), B.doc_vectors(spark, sf), k)
     return plans._arm(bm, "bm25").unionByName(plans._arm(dn, "dense"))
 
 
 def rrf_fusion(spark, sf):
-    out = fusion.rrf(_lists(spark, sf), trace=True)
+    out = fusion.rrf(_lists(spark, sf), trace=True, bounded=True)
     trace = F.transform("sources", lambda s: F.concat(s["source"], F.lit(":"), s["rank"].cast("string")))
     return out.select("query_id", "doc_id", "score", "sources_count", "final_rank", F.array_join(trace, "|").alias("sources"))
 
 
+def rrf_payload(spark, sf):
+    """Text and metadata of the first list a document is in, the dense list being the first."""
+    texts = B.documents(spark, sf).select("doc_id", "content", F.concat(F.lit("class="), "class").alias("said"))
+    hits = _lists(spark, sf).join(texts, "doc_id", "left").withColumn("metadata", F.create_map(F.lit("from"), "source", F.lit("about"), "said"))
+    out = fusion.rrf(hits, payload=["content", "metadata"], bounded=True, sources=["dense", "bm25"])
+    return out.select("query_id", "doc_id", "score", "final_rank", "content", F.col("metadata")["from"].alias("seen_in"), F.col("metadata")["about"].alias("about"))
+
+
 def rrf_unbounded(spark, sf):
     """Whole keyword and label-centroid lists, ranked without gathering a list."""
     kw = keyword.keyword_search(B.questions(spark, sf), B.documents(spark, sf), doc_keywords=None, stopwords=P.STOP, with_matches=False)
     sem = dense.semantic_search(B.label_centroids(spark, sf), B.doc_vectors(spark, sf))
     lists = plans._arm(kw.withColumnRenamed("similarity", "score"), "keyword").unionByName(
         plans._arm(sem.withColumnRenamed("similarity", "score"), "dense"))
-    return fusion.rrf(lists, bounded=False).select("query_id", "doc_id", "score", "sources_count", "final_rank")
+    return fusion.rrf(lists).select("query_id", "doc_id", "score", "sources_count", "final_rank")
 
 
 def weighted_rrf(spark, sf):
-    out = fusion.weighted_rrf(_lists(spark, sf), {"bm25": 2.0, "dense": 3.0}, ["bm25", "dense"])
+    out = fusion.weighted_rrf(_lists(spark, sf), {"bm25": 2.0, "dense": 3.0}, ["bm25", "dense"], bounded=True)
     return out.select("query_id", "doc_id", "score", "sources_count", "final_rank")
 
 
@@ -190,7 +202,7 @@ def rewrite_batch(spark, sf):
 
 def rerank_topk(spark, sf):
     index = B.stored_index(spark, sf)
-    best = settled(lexical.bm25_topk(B.questions(spark, sf), index, 10, fill=False))  # scored and then sorted
+    best = settled(lexical.bm25_topk(B.questions(spark, sf), index, 10))  # scored and then sorted
     return rerank.rerank(best, rerank.coverage_scores(best, B.questions(spark, sf), index), 5)
 
 
@@ -242,7 +254,7 @@ def tfidf_vectors(spark, sf):
 QUERIES = {f.__name__: f for f in (
     bm25_term_stats, bm25_topk, bm25_all_scores, bm25_post_filter, bm25_pre_filter, bm25_pair_scores, query_keywords,
     keyword_search, keyword_topk, substring_search, cosine_pairs, semantic_search, semantic_floor, dense_topk, dense_filtered,
-    hybrid_merge, basic_retrieve, similarity_floor, filter_or_all, rrf_fusion, rrf_unbounded, weighted_rrf, score_minmax,
+    hybrid_merge, basic_retrieve, similarity_floor, filter_or_all, rrf_fusion, rrf_payload, rrf_unbounded, weighted_rrf, score_minmax,
     score_zscore, query_expand, rewrite_batch, rerank_topk, pair_scores, multi_query_rrf, graph_retrieve, hybrid_search,
     routed_retrieve, tfidf_vectors)}
 QUERIES["tokenize"] = tokenize_documents
@@ -250,8 +262,18 @@ QUERIES["tokenize"] = tokenize_documents
 BM = B.QUESTIONS + ",\n" + B.bm25_sql()
 BM_TOP = BM + ",\nbm_top AS (SELECT qk AS query_id, doc_id, score, row_number() OVER (PARTITION BY qk ORDER BY score DESC, doc_id) AS rank FROM bm_scores)"
 DN_TOP = B.DENSE + ",\ndn_top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dn_scores)"
-LISTS = BM_TOP + ",\n" + DN_TOP + """,
-hits AS (SELECT 'bm25' AS source, query_id, doc_id, score, rank FROM bm_top WHERE rank <= 10
+
+
+def filled_sql(name: str, keys: str, scores: str, k: int) -> str:
+    """CTE `{name}` (qk, doc_id, score, rank): the k best of `scores` for the `qk` in `keys`, completed with zeros."""
+    return f"""{name}_all AS (SELECT qk, doc_id, score FROM {scores} UNION ALL SELECT k.qk, f.doc_id, 0.0 FROM ({keys}) k, (SELECT doc_id FROM documents ORDER BY doc_id LIMIT {2 * k}) f
+  WHERE NOT EXISTS (SELECT 1 FROM {scores} s WHERE s.qk = k.qk AND s.doc_id = f.doc_id)),
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qk ORDER BY score DESC, doc_id) AS rank FROM {name}_all) WHERE rank <= {k})"""
+
+
+BM_TEN = BM + ",\n" + filled_sql("bm_ten", "SELECT query_id AS qk FROM qs", "bm_scores", 10)
+LISTS = BM_TEN + ",\n" + DN_TOP + """,
+hits AS (SELECT 'bm25' AS source, qk AS query_id, doc_id, score, rank FROM bm_ten
   UNION ALL SELECT 'dense', query_id, doc_id, score, rank FROM dn_top WHERE rank <= 10)"""
 FILLED = """need AS (SELECT q.query_id, f.doc_id FROM qs q, (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 10) f
   WHERE NOT EXISTS (SELECT 1 FROM bm_scores s WHERE s.qk = q.query_id AND s.doc_id = f.doc_id)),
@@ -283,9 +305,9 @@ def variants_sql(source: str) -> str:
 
 
 PAIRS = "pairs AS (SELECT doc_id, doc_id AS query_id FROM labels WHERE doc_id IN (SELECT query_id FROM qs))"
-VARIANT_BM = B.QUESTIONS + ",\nvar AS (" + variants_sql("qs") + "),\n" + B.bm25_sql("SELECT query_id || '/' || variant AS qk, question FROM var", "vb") + """,
-vb_top AS (SELECT split_part(qk, '/', 1)::BIGINT AS query_id, split_part(qk, '/', 2) AS variant, doc_id, score,
-  row_number() OVER (PARTITION BY qk ORDER BY score DESC, doc_id) AS rank FROM vb_scores)"""
+VARIANT_BM = (B.QUESTIONS + ",\nvar AS (" + variants_sql("qs") + "),\n" + B.bm25_sql("SELECT query_id || '/' || variant AS qk, question FROM var", "vb")
+              + ",\n" + filled_sql("vb_ten", "SELECT query_id || '/' || variant AS qk FROM var", "vb_scores", 10) + """,
+vb_top AS (SELECT split_part(qk, '/', 1)::BIGINT AS query_id, split_part(qk, '/', 2) AS variant, doc_id, score, rank FROM vb_ten)""")
 
 CAT_DOCS = """cd AS (SELECT doc_id, CASE WHEN class = 'en' THEN 'craft' WHEN class = 'fr' THEN 'history' ELSE 'other' END AS type FROM docs)"""
 
@@ -341,7 +363,7 @@ SELECT c.label::BIGINT AS query_id, e.vec_id AS doc_id, round(list_cosine_simila
     "dense_topk": f"WITH {DN_TOP} SELECT query_id, doc_id, score, rank FROM dn_top WHERE rank <= 5",
     "dense_filtered": f"""WITH {B.DENSE}, r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
   FROM dn_scores JOIN embeddings ON vec_id = doc_id WHERE label = 3) SELECT * FROM r WHERE rank <= 5""",
-    "hybrid_merge": f"""WITH {B.KEYWORD},\n{B.DENSE}, s AS (SELECT query_id, doc_id, score AS similarity FROM dn_scores WHERE score >= 0.2)
+    "hybrid_merge": f"""WITH {B.KEYWORD},\n{B.DENSE}, s AS (SELECT query_id, doc_id, score AS similarity FROM dn_scores WHERE score >= 0.2 OR (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM kw_hits))
 SELECT query_id, doc_id, coalesce(k.similarity, 0.0) AS keyword_similarity, coalesce(s.similarity, 0.0) AS semantic_similarity,
   CASE WHEN k.similarity IS NOT NULL AND s.similarity IS NOT NULL THEN round(k.similarity * 0.4 + s.similarity * 0.6, 6) ELSE coalesce(k.similarity, s.similarity) END AS similarity,
   CASE WHEN k.similarity IS NOT NULL AND s.similarity IS NOT NULL THEN 'hybrid' WHEN k.similarity IS NOT NULL THEN 'keyword' ELSE 'semantic' END AS retrieval_type
@@ -354,6 +376,9 @@ SELECT * FROM h UNION ALL SELECT filter_value, doc_id FROM f, documents WHERE fi
     "rrf_fusion": f"""WITH {LISTS}, f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (59 + rank)), 9) AS score, count(*) AS sources_count,
   string_agg(source || ':' || (rank - 1), '|' ORDER BY source, rank) AS sources FROM hits GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS final_rank FROM f""",
+    "rrf_payload": f"""WITH {LISTS}, f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (59 + rank)), 9) AS score, max(source) AS seen_in FROM hits GROUP BY ALL)
+SELECT f.query_id, f.doc_id, f.score, row_number() OVER (PARTITION BY f.query_id ORDER BY f.score DESC, f.doc_id) AS final_rank,
+  d.text AS content, f.seen_in, 'class=' || d.lang AS about FROM f LEFT JOIN documents d USING (doc_id)""",
     "rrf_unbounded": f"""WITH {B.KEYWORD}, cells AS (SELECT label, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS pos FROM embeddings),
 c AS (SELECT label, list(v ORDER BY pos) AS embedding FROM (SELECT label, pos, avg(v) AS v FROM cells GROUP BY ALL) GROUP BY label),
 plain AS (SELECT query_id, doc_id, round(least(sum(times) / greatest(any_value(len(kws)), 1) * 0.8, 1.0), 6) AS score
@@ -371,7 +396,7 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)
     "rewrite_batch": f"""WITH {B.USER_TURNS} SELECT query_id, question AS original_query,
   CASE WHEN query_id % 5 <= 2 THEN 'r' || query_id ELSE question END AS rewritten_query,
   CASE WHEN query_id % 5 <= 1 THEN 'a' || query_id || '|b' WHEN query_id % 5 = 2 THEN 'r' || query_id ELSE question END AS expanded_queries FROM us""",
-    "rerank_topk": f"""WITH {BM_TOP}, cand AS (SELECT query_id, doc_id FROM bm_top WHERE rank <= 10),\n{cover('cand')}
+    "rerank_topk": f"""WITH {BM_TEN}, cand AS (SELECT qk AS query_id, doc_id FROM bm_ten),\n{cover('cand')}
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM covered) WHERE rank <= 5""",
     "pair_scores": f"WITH {BM},\n{PAIRS},\n{cover('pairs')} SELECT query_id, doc_id, score FROM covered",
     "multi_query_rrf": f"""WITH {VARIANT_BM},\n{DN_TOP}, hits AS (SELECT query_id, doc_id, rank FROM vb_top WHERE rank <= 5 UNION ALL SELECT query_id, doc_id, rank FROM dn_top WHERE rank <= 5),

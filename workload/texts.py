@@ -231,7 +231,7 @@ def _reply():
         .when(kind == 2, body)
         .when(kind == 3, F.concat(F.lit("```json\n"), body))
         .when(kind == 4, F.lit('{"intent_analysis": "x", "required_experts": []}'))
-        .otherwise(F.concat(F.lit("I think "), F.left("text", F.lit(50))))
+        .otherwise(F.concat(F.lit("I think "), "text"))
     )
 
 
@@ -305,7 +305,7 @@ CLEAN = f"array_to_string(list_filter(list_transform(string_split({{}}, {NL}), l
 REPLY = """rp AS (SELECT doc_id, text AS question, CASE doc_id % 6
   WHEN 0 THEN 'Here:' || chr(10) || '```json' || chr(10) || body || chr(10) || '```' || chr(10) || 'Done.' || chr(10) || '```'
   WHEN 1 THEN '```' || chr(10) || body || chr(10) || '```' WHEN 2 THEN body WHEN 3 THEN '```json' || chr(10) || body
-  WHEN 4 THEN '{"intent_analysis": "x", "required_experts": []}' ELSE 'I think ' || left(text, 50) END AS reply, body, lang
+  WHEN 4 THEN '{"intent_analysis": "x", "required_experts": []}' ELSE 'I think ' || text END AS reply, body, lang
   FROM (SELECT *, '{"intent_analysis": "i' || doc_id || '", "required_experts": ["craft_expert"], "complexity": "' || lang || '"}' AS body FROM documents))"""
 _route_legs = ", ".join(f"CASE WHEN {P.any_of('question', ws)} THEN [{P.text(c)}] ELSE [] END" for c, ws in P.ROUTES)
 CATS = f"(CASE WHEN len(flatten([{_route_legs}])) > 0 THEN flatten([{_route_legs}]) ELSE ['craft_expert'] END)"
