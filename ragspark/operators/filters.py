@@ -18,14 +18,22 @@ def matched_values(docs: DataFrame, values: DataFrame, kind: str = "type") -> Da
     return hits.select("doc_id", F.explode("terms").alias("filter_value"))
 
 
+def all_documents(values: DataFrame, docs: DataFrame) -> DataFrame:
+    """A row per value that stands for all documents: doc_id null, n_docs their number."""
+    total = docs.agg(F.count(F.lit(1))).scalar()
+    return values.select("*", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), total.alias("n_docs"))
+
+
 def filter_or_all(docs: DataFrame, filters: DataFrame, column: str = "type_filter", kind: str = "type") -> DataFrame:
-    """(filter_value, doc_id): per distinct filter value the matching documents, or all when none matches."""
+    """(filter_value, doc_id, n_docs): per distinct filter value the matching documents, or all when none matches.
+
+    "All" is one row with a null doc_id whose n_docs counts the documents; they are not written out once per value.
+    """
     values = filters.select(F.col(column).alias("filter_value")).where("filter_value is not null").distinct()
     matched = matched_values(docs, values, kind)
     missed = values.join(matched.select("filter_value").distinct(), "filter_value", "left_anti")
-    listed = missed.agg(F.sort_array(F.collect_list("filter_value"))).scalar()
-    everything = docs.select("doc_id", listed.alias("_m")).select("doc_id", F.explode("_m").alias("filter_value"))
-    return matched.unionByName(everything).select("filter_value", "doc_id")
+    everything = all_documents(missed, docs)
+    return matched.withColumn("n_docs", F.lit(1).cast("long")).unionByName(everything).select("filter_value", "doc_id", "n_docs")
 
 
 def filter_hits_or_all(hits: DataFrame, queries: DataFrame, docs: DataFrame, column: str = "type_filter",

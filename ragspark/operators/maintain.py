@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.functions.sizing import broadcast_if_small
+from ragspark.operators.filters import all_documents
 from ragspark.operators.lexical import Bm25Index, index_of_postings, postings_of, token_rows
 
 
@@ -38,14 +39,13 @@ def docs_by_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def docs_by_type(docs: DataFrame, mapping: DataFrame, types: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(type, doc_id): documents mapped to each asked type; a type the mapping lacks returns all documents."""
+    """(type, doc_id, n_docs): documents mapped to each asked type; a type the mapping lacks returns all documents,
+    as one row with a null doc_id whose n_docs counts them."""
     asked = types.select("type").distinct()
     known = mapping.join(broadcast_if_small(asked), "type", "left_semi").select("type", key)
-    found = docs.join(broadcast_if_small(known), key).select("type", "doc_id")
+    found = docs.join(broadcast_if_small(known), key).select("type", "doc_id", F.lit(1).cast("long").alias("n_docs"))
     missing = asked.join(mapping.select("type").distinct(), "type", "left_anti")
-    # The unknown types are a short list held in one row, exploded onto each document.
-    listed = missing.agg(F.sort_array(F.collect_set("type"))).scalar()
-    return found.unionByName(docs.select(listed.alias("_t"), "doc_id").select(F.explode("_t").alias("type"), "doc_id"))
+    return found.unionByName(all_documents(missing, docs))
 
 
 def index_add(index: Bm25Index, delta: DataFrame, text: str = "content", mode: str = "mixed") -> Bm25Index:

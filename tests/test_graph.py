@@ -149,11 +149,11 @@ def test_views(spark, small):
 
 def test_files_round_trip_and_defaults(spark, small, tmp_path):
     n, e = small
-    write_graph(n, e, str(tmp_path / "g"), shard_rows=4)
+    write_graph(n, e, str(tmp_path / "g"), shard_bytes=200)
     assert len(list((tmp_path / "g").glob("*.txt"))) > 1
     nodes, edges = read_graph(spark, str(tmp_path / "g"))
-    assert rows(nodes.select("id", "name", "type")) == rows(n.select("id", "name", "type"))
-    assert rows(edges.select("source", "target", "relation")) == rows(e.select("source", "target", "relation"))
+    assert rows(nodes.select("id", "name", "type", "ord")) == rows(n.select("id", "name", "type", "ord"))
+    assert rows(edges.select("source", "target", "relation", "ord")) == rows(e.select("source", "target", "relation", "ord"))
     (tmp_path / "one.json").write_text('{"nodes": [{"id": "a"}, {"id": "b", "name": "B", "type": "t"}],\n "edges": [{"source": "a", "target": "b"}]}')
     nodes, edges = read_graph(spark, str(tmp_path / "one.json"))
     assert rows(nodes.select("id", "name", "type", "ord")) == [("a", "a", "unknown", 0), ("b", "B", "t", 1)]
@@ -178,3 +178,15 @@ def test_entities_come_from_the_last_document(spark):
     docs = spark.createDataFrame([(1, "景泰蓝与苏绣"), (2, "苏绣"), (3, "none")], "doc_id long, content string")
     names = spark.createDataFrame([("景泰蓝",), ("苏绣",), ("蜀锦",)], "name string")
     assert rows(G.extract_entities(docs, names).select("id", "source_doc")) == [("景泰蓝", "1"), ("苏绣", "2")]
+
+
+def test_first_inserted_wins_after_a_reload(spark, tmp_path):
+    n = spark.range(500).select(
+        F.concat(F.lit("n"), "id").alias("id"), F.when(F.col("id") % 10 == 7, "same").otherwise(F.concat(F.lit("name"), "id")).alias("name"),
+        F.lit("t").alias("type"), F.create_map(F.lit("k"), F.lit("v")).alias("properties"), F.col("id").alias("ord"))
+    e = spark.createDataFrame([("n1", "n2", "r", {}, 0)], "source string, target string, relation string, properties map<string,string>, ord long")
+    asked = spark.createDataFrame([("same",)], "entity string")
+    write_graph(n, e, str(tmp_path / "g"), shard_bytes=2_000)
+    nodes, _ = read_graph(spark, str(tmp_path / "g"))
+    assert rows(G.resolve_entities(asked, nodes)) == rows(G.resolve_entities(asked, n))
+    assert "n7" in str(rows(G.resolve_entities(asked, nodes)))

@@ -289,7 +289,7 @@ def test_normalise_leaves_flat_lists_and_unknown_methods(spark):
 def test_filter_keeps_everything_when_nothing_matches(spark):
     docs = spark.createDataFrame([(1, "craft"), (2, "history")], "doc_id long, type string")
     asked = spark.createDataFrame([("craft",), ("none",), (None,), ("2",)], "type_filter string")
-    assert rows(filters.filter_or_all(docs, asked)) == [("2", 2), ("craft", 1), ("none", 1), ("none", 2)]
+    assert rows(filters.filter_or_all(docs, asked)) == [("2", 2, 1), ("craft", 1, 1), ("none", None, 2)]
 
 
 def test_missing_similarity_counts_as_one(spark):

@@ -55,7 +55,7 @@ def test_unknown_type_returns_all(spark):
     docs = spark.createDataFrame([(1,), (2,)], "doc_id long")
     mapping = spark.createDataFrame([("craft", 1)], "type string, doc_id long")
     asked = spark.createDataFrame([("craft",), ("x",)], "type string")
-    assert rows(maintain.docs_by_type(docs, mapping, asked)) == [("craft", 1), ("x", 1), ("x", 2)]
+    assert rows(maintain.docs_by_type(docs, mapping, asked)) == [("craft", 1, 1), ("x", None, 2)]
 
 
 def test_every_input_gets_a_vector_and_copies_are_embedded_once(spark):

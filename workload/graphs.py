@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ragspark.operators import graph as G
 from ragspark.session import work_path
-from ragspark.sources.graph_files import graph_documents, read_graph, write_graph
+from ragspark.sources.graph_files import GRAPH_SCHEMA, graph_documents, graph_rows, read_graph, write_graph
 from ragspark.sources.store import ensure_graph
 from workload import bindings as B
 
@@ -221,21 +221,25 @@ def _stored_form(spark, sf):
     return nodes, edges
 
 
+def _listed(nodes, edges):
+    return nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("name").alias("b"), F.col("type").alias("label"), "ord").unionByName(
+        edges.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), F.col("relation").alias("label"), "ord"))
+
+
 def graph_load(spark, sf):
     path = work_path(spark, "graph")
     nodes, edges = _stored_form(spark, sf)
     write_graph(nodes, edges, path)
-    nodes, edges = read_graph(spark, path)
-    return nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("name").alias("b"), F.col("type").alias("label")).unionByName(
-        edges.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), F.col("relation").alias("label")))
+    return _listed(*read_graph(spark, path))
 
 
 def graph_export(spark, sf):
-    nodes, edges = B.graph(spark, sf)
-    docs = graph_documents(nodes, edges)
-    counts = F.from_json("document", "metadata STRUCT<node_count: BIGINT, edge_count: BIGINT>")
-    return docs.select(counts.alias("c")).agg(
-        F.sum("c.metadata.node_count").alias("node_count"), F.sum("c.metadata.edge_count").alias("edge_count"))
+    """The rows the documents hold, and the counts they state as rows of kind `count`."""
+    docs = graph_documents(*B.graph(spark, sf)).select(F.from_json("document", GRAPH_SCHEMA).alias("g")).select("g.*")
+    stated = docs.agg(F.sum("metadata.node_count").alias("node"), F.sum("metadata.edge_count").alias("edge"))
+    counts = stated.select(F.explode(F.create_map(F.lit("node"), "node", F.lit("edge"), "edge")).alias("a", "ord")).select(
+        F.lit("count").alias("kind"), "a", F.lit("").alias("b"), F.lit("").alias("label"), "ord")
+    return _listed(*graph_rows(docs)).unionByName(counts)
 
 
 def graph_reuse(spark, sf):
@@ -253,6 +257,9 @@ QUERIES = {f.__name__: f for f in (
     graph_export, graph_reuse)}
 
 W = "WITH " + B.GRAPH
+_FROM, _TO = "split_part(source, ':', 2)::BIGINT", "split_part(target, ':', 2)::BIGINT"
+PLACED = f"""placed AS (SELECT *, CASE WHEN relation = 'supplies' THEN {_FROM} * 1000000 + {_TO} WHEN source LIKE 'S:%' THEN {_FROM} + 100000000000000
+  WHEN source LIKE 'C:%' THEN {_FROM} + 200000000000000 ELSE {_FROM} + 300000000000000 END AS ord FROM edges)"""
 NEIGHBORS = """nb AS (SELECT e.source AS id, e.target AS neighbor_id, coalesce(n.name, e.target) AS neighbor_name, coalesce(n.type, 'unknown') AS neighbor_type, e.relation
   FROM edges e LEFT JOIN nodes n ON n.id = e.target)"""
 TRADE = """trade AS (SELECT source, target, relation FROM edges UNION ALL SELECT DISTINCT 'C:' || o_custkey, 'S:' || l_suppkey, 'buys_from' FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"""
@@ -322,8 +329,9 @@ asked AS (SELECT DISTINCT entity FROM rq), {RESOLVED},
 starts AS (SELECT request_id, rq.relation AS want, res.id FROM rq JOIN res USING (entity)
   UNION SELECT n_nationkey + 1000000, NULL, nodes.id FROM nation JOIN nodes ON contains(lower(nodes.name), lower(n_name)) OR contains(lower(nodes.id), lower(n_name)))
 SELECT s.request_id, nb.id, nb.neighbor_id, nb.neighbor_name, nb.neighbor_type, nb.relation FROM starts s JOIN nb USING (id) WHERE want IS NULL OR want = nb.relation""",
-    "graph_load": f"""{W} SELECT 'node' AS kind, id AS a, CASE WHEN type = 'region' THEN id ELSE name END AS b, CASE WHEN type = 'customer' THEN 'unknown' ELSE type END AS label FROM nodes
-UNION ALL SELECT 'edge', source, target, CASE WHEN relation = 'part_of' THEN 'related_to' ELSE relation END FROM edges""",
-    "graph_export": f"{W} SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count",
+    "graph_load": f"""{W}, {PLACED} SELECT 'node' AS kind, id AS a, CASE WHEN type = 'region' THEN id ELSE name END AS b, CASE WHEN type = 'customer' THEN 'unknown' ELSE type END AS label, ord FROM nodes
+UNION ALL SELECT 'edge', source, target, CASE WHEN relation = 'part_of' THEN 'related_to' ELSE relation END, ord FROM placed""",
+    "graph_export": f"""{W}, {PLACED} SELECT 'node' AS kind, id AS a, name AS b, type AS label, ord FROM nodes UNION ALL SELECT 'edge', source, target, relation, ord FROM placed
+UNION ALL SELECT 'count', 'node', '', '', count(*) FROM nodes UNION ALL SELECT 'count', 'edge', '', '', count(*) FROM edges""",
     "graph_reuse": f"{W} " + STATS.format(", true AS reused"),
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ragspark.functions.sizing import settled
 from ragspark.functions.text import tokenize
@@ -17,6 +19,9 @@ def joined(column: str):
     return F.array_join(column, "|")
 
 
+DIM = 256  # components of the hashed vectors
+
+
 # ---- lexical ----
 
 def bm25_term_stats(spark, sf):
@@ -125,7 +130,7 @@ def similarity_floor(spark, sf):
 
 
 def filter_or_all(spark, sf):
-    return filters.filter_or_all(B.documents(spark, sf), B.questions(spark, sf))
+    return filters.filter_or_all(B.documents(spark, sf), B.questions(spark, sf)).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
 
 
 # ---- fusion ----
@@ -213,6 +218,27 @@ def pair_scores(spark, sf):
     return rerank.pair_scores(rerank.coverage_scores(pairs, B.questions(spark, sf), index))
 
 
+@F.pandas_udf(T.DoubleType())
+def word_share(question: pd.Series, content: pd.Series) -> pd.Series:
+    """A stand-in for a model: share of the question's words found in the text; it fails on questions of a length divisible by 5."""
+    def score(q, c):
+        words = set(q.split(" "))
+        return None if len(q) % 5 == 0 else round(sum(w in c for w in words) / len(words), 6)
+    return pd.Series([score(q, c) for q, c in zip(question, content)], dtype="float64")
+
+
+def model_rerank(spark, sf):
+    best = settled(lexical.bm25_topk(B.questions(spark, sf), B.stored_index(spark, sf), 10))
+    return rerank.rerank(best, rerank.model_scores(best, B.questions(spark, sf), B.documents(spark, sf), word_share), 5)
+
+
+def model_pair_scores(spark, sf):
+    """Every labelled document against the question its number falls on."""
+    n = B.questions(spark, sf).agg(F.count(F.lit(1))).scalar()
+    pairs = B.table(spark, sf, "labels").select("doc_id", (F.col("doc_id") % n).alias("query_id")).distinct()
+    return rerank.pair_scores(rerank.model_scores(pairs, B.questions(spark, sf), B.documents(spark, sf), word_share))
+
+
 def multi_query_rrf(spark, sf):
     out = plans.multi_query_search(B.questions(spark, sf), B.stored_index(spark, sf), B.query_vectors(spark, sf),
                                    B.doc_vectors(spark, sf), synonyms=P.SYNONYMS)
@@ -246,16 +272,17 @@ def routed_retrieve(spark, sf):
 
 
 def tfidf_vectors(spark, sf):
-    out = hashed_tfidf(B.documents(spark, sf), 256)
-    return out.select("doc_id", F.size("embedding").cast("long").alias("dim"),
-                      F.round(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v), 3).alias("norm"))
+    """Every component other than zero."""
+    out = hashed_tfidf(B.documents(spark, sf), DIM)
+    return out.select("doc_id", F.posexplode("embedding").alias("bucket", "value")).where("value <> 0").select(
+        "doc_id", F.col("bucket").cast("long").alias("bucket"), F.round("value", 6).alias("value"))
 
 
 QUERIES = {f.__name__: f for f in (
     bm25_term_stats, bm25_topk, bm25_all_scores, bm25_post_filter, bm25_pre_filter, bm25_pair_scores, query_keywords,
     keyword_search, keyword_topk, substring_search, cosine_pairs, semantic_search, semantic_floor, dense_topk, dense_filtered,
     hybrid_merge, basic_retrieve, similarity_floor, filter_or_all, rrf_fusion, rrf_payload, rrf_unbounded, weighted_rrf, score_minmax,
-    score_zscore, query_expand, rewrite_batch, rerank_topk, pair_scores, multi_query_rrf, graph_retrieve, hybrid_search,
+    score_zscore, query_expand, rewrite_batch, rerank_topk, pair_scores, model_rerank, model_pair_scores, multi_query_rrf, graph_retrieve, hybrid_search,
     routed_retrieve, tfidf_vectors)}
 QUERIES["tokenize"] = tokenize_documents
 
@@ -304,6 +331,8 @@ def variants_sql(source: str) -> str:
     return f"""SELECT query_id, (unnest(range(0, len(v))))::BIGINT AS variant, unnest(v) AS question FROM (SELECT query_id, {dist} AS v FROM {source})"""
 
 
+WS = "list_distinct(string_split(q.question, ' '))"
+SHARE = f"CASE WHEN length(q.question) % 5 <> 0 THEN round(len(list_filter({WS}, lambda x: contains(d.text, x))) / len({WS}), 6) END"
 PAIRS = "pairs AS (SELECT doc_id, doc_id AS query_id FROM labels WHERE doc_id IN (SELECT query_id FROM qs))"
 VARIANT_BM = (B.QUESTIONS + ",\nvar AS (" + variants_sql("qs") + "),\n" + B.bm25_sql("SELECT query_id || '/' || variant AS qk, question FROM var", "vb")
               + ",\n" + filled_sql("vb_ten", "SELECT query_id || '/' || variant AS qk FROM var", "vb_scores", 10) + """,
@@ -337,6 +366,12 @@ anyf AS (SELECT DISTINCT type_filter FROM qs WHERE EXISTS (SELECT 1 FROM docs d
 kept AS (SELECT m.* FROM merged m JOIN qs q USING (query_id) JOIN docs d USING (doc_id)
   WHERE m.similarity >= 0.5 AND (q.type_filter NOT IN (SELECT type_filter FROM anyf) OR contains(d.type, q.type_filter) OR contains(d.doc_id::VARCHAR, q.type_filter)))"""
 
+TFIDF = f"""tt AS (SELECT doc_id, (('0x' || substr(md5(term), 1, 8))::BIGINT % {DIM})::BIGINT AS bucket FROM (SELECT doc_id, unnest({B.TOKENS.format('text')}) AS term FROM documents)),
+tc AS (SELECT doc_id, bucket, count(*) AS tf FROM tt GROUP BY ALL),
+ti AS (SELECT bucket, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS idf FROM tc GROUP BY bucket),
+tw AS (SELECT doc_id, bucket, tf * idf AS w FROM tc JOIN ti USING (bucket)),
+tv AS (SELECT doc_id, bucket, w / nullif(sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 0) AS value FROM tw)"""
+
 ORACLES = {
     "bm25_term_stats": f"WITH {BM} SELECT term, df, round(idf, 6) AS idf FROM bx_stats",
     "bm25_topk": f"WITH {BM_TOP},\n{FILLED} SELECT query_id, doc_id, score, rank FROM filled WHERE rank <= 5",
@@ -372,7 +407,8 @@ SELECT query_id, doc_id, coalesce(k.similarity, 0.0) AS keyword_similarity, coal
     "similarity_floor": f"WITH {B.KEYWORD} SELECT query_id, doc_id, similarity FROM kw_hits WHERE similarity >= 0.7",
     "filter_or_all": f"""WITH {B.QUESTIONS}, f AS (SELECT DISTINCT type_filter AS filter_value FROM qs),
 h AS (SELECT filter_value, doc_id FROM f JOIN documents d ON contains(d.source, filter_value) OR contains(d.doc_id::VARCHAR, filter_value))
-SELECT * FROM h UNION ALL SELECT filter_value, doc_id FROM f, documents WHERE filter_value NOT IN (SELECT filter_value FROM h)""",
+SELECT filter_value, doc_id, 1::BIGINT AS n_docs FROM h
+UNION ALL SELECT filter_value, -1, (SELECT count(*) FROM documents) FROM f WHERE filter_value NOT IN (SELECT filter_value FROM h)""",
     "rrf_fusion": f"""WITH {LISTS}, f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (59 + rank)), 9) AS score, count(*) AS sources_count,
   string_agg(source || ':' || (rank - 1), '|' ORDER BY source, rank) AS sources FROM hits GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS final_rank FROM f""",
@@ -399,6 +435,12 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)
     "rerank_topk": f"""WITH {BM_TEN}, cand AS (SELECT qk AS query_id, doc_id FROM bm_ten),\n{cover('cand')}
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM covered) WHERE rank <= 5""",
     "pair_scores": f"WITH {BM},\n{PAIRS},\n{cover('pairs')} SELECT query_id, doc_id, score FROM covered",
+    "model_rerank": f"""WITH {BM_TEN}, sc AS (SELECT b.qk AS query_id, b.doc_id, b.score AS old, b.rank AS before, {SHARE} AS score
+    FROM bm_ten b JOIN qs q ON q.query_id = b.qk JOIN documents d USING (doc_id)),
+o AS (SELECT query_id, doc_id, coalesce(score, old) AS score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, -before) DESC, doc_id) AS rank FROM sc)
+SELECT * FROM o WHERE rank <= 5""",
+    "model_pair_scores": f"""WITH {B.QUESTIONS}, p AS (SELECT DISTINCT doc_id, doc_id % (SELECT count(*) FROM qs) AS query_id FROM labels)
+SELECT query_id, doc_id, coalesce({SHARE}, 0.0) AS score FROM p JOIN qs q USING (query_id) JOIN documents d USING (doc_id)""",
     "multi_query_rrf": f"""WITH {VARIANT_BM},\n{DN_TOP}, hits AS (SELECT query_id, doc_id, rank FROM vb_top WHERE rank <= 5 UNION ALL SELECT query_id, doc_id, rank FROM dn_top WHERE rank <= 5),
 f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (59 + rank)), 9) AS score, count(*) AS sources_count FROM hits GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS final_rank FROM f) SELECT * FROM o WHERE final_rank <= 10""",
@@ -411,5 +453,6 @@ f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (59 + rank)), 9) AS score
 cand AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS fr FROM f) WHERE fr <= 10),
 bm_qt AS (SELECT query_id AS qk, term FROM (SELECT DISTINCT query_id, unnest({B.TOKENS.format('question')}) AS term FROM qs)),
 {cover('cand')} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM covered) WHERE rank <= 5""",
+    "tfidf_vectors": f"WITH {TFIDF} SELECT doc_id, bucket, round(value, 6) AS value FROM tv WHERE value <> 0",
     "routed_retrieve": f"WITH {ROUTED} SELECT query_id, category, doc_id, similarity, rank FROM routed",
 }

@@ -142,7 +142,7 @@ def doc_by_type(spark, sf):
     labels = B.table(spark, sf, "labels")
     mapping = labels.select(F.concat(F.lit("q"), F.col("quality").cast("string")).alias("type"), "doc_id")
     asked = labels.select(F.concat(F.lit("q"), (F.col("quality") + F.col("toxic")).cast("string")).alias("type"))
-    return maintain.docs_by_type(B.documents(spark, sf).drop("type"), mapping, asked)
+    return maintain.docs_by_type(B.documents(spark, sf).drop("type"), mapping, asked).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
 
 
 def index_add(spark, sf):
@@ -289,6 +289,19 @@ def index_coverage(spark, sf):
     return maintain.index_coverage(B.documents(spark, sf), B.table(spark, sf, "labels"))
 
 
+def index_clear(spark, sf):
+    """Documents in a stored table, after clearing it, and after the next build."""
+    path = work_path(spark, "cleared")
+    build = lambda: B.documents(spark, sf).select("doc_id", F.length("content").alias("chars"))
+    count = F.count(F.lit(1))
+    before = store.ensure_table(spark, path, build)[0].agg(count).first()[0]
+    store.clear_table(spark, path)
+    after = spark.read.parquet(path).agg(count).first()[0]
+    table, reused = store.ensure_table(spark, path, build)
+    return table.agg(count.alias("rebuilt"), F.sum("chars").alias("chars")).select(
+        F.lit(before).cast("long").alias("before"), F.lit(after).cast("long").alias("after"), "rebuilt", "chars", F.lit(reused).alias("reused"))
+
+
 def index_count(spark, sf):
     return maintain.index_count(B.stored_index(spark, sf))
 
@@ -297,7 +310,7 @@ QUERIES = {f.__name__: f for f in (
     corpus_scan, json_doc_scan, manifest_missing, format_quarantine, profile_dim, index_reuse, metadata_scalar, upload_ingest, upload_terms,
     doc_upsert, doc_delete, doc_by_id, doc_by_type, index_add, index_append, index_remove, embed_missing, text_clean, text_stats, code_lookup,
     keyword_tags, excerpt, reading_time, toc_extract, fenced_json, strip_fences, reply_parse, reference_extract, label_lookup, bibliography,
-    usable_responses, profile_validate, corpus_summary, top_keywords, index_coverage, index_count)}
+    usable_responses, profile_validate, corpus_summary, top_keywords, index_coverage, index_clear, index_count)}
 
 NL = "chr(10)"
 STRIP = "trim({}, ' ' || chr(9) || chr(10) || chr(13))"
@@ -340,7 +353,8 @@ d AS (SELECT doc_id, arg_min(suffix, list_position(['.txt', '.md', '.json'], suf
 SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.doc_id = f.doc_id AND d.suffix = f.suffix)""",
     "doc_by_id": "SELECT doc_id, lang AS class, source AS type FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "doc_by_type": """WITH m AS (SELECT 'q' || quality AS type, doc_id FROM labels), a AS (SELECT DISTINCT 'q' || (quality + toxic) AS type FROM labels)
-SELECT type, doc_id FROM m JOIN a USING (type) JOIN documents USING (doc_id) UNION ALL SELECT type, doc_id FROM a, documents WHERE type NOT IN (SELECT type FROM m)""",
+SELECT type, doc_id, 1::BIGINT AS n_docs FROM m JOIN a USING (type) JOIN documents USING (doc_id)
+UNION ALL SELECT type, -1, (SELECT count(*) FROM documents) FROM a WHERE type NOT IN (SELECT type FROM m)""",
     "index_add": "WITH d AS (SELECT doc_id, text AS content FROM documents) " + idf_sql("d"),
     "index_append": "SELECT doc_id, length(text) AS chars FROM documents UNION ALL SELECT item_id, length(text) FROM benchmark",
     "index_remove": """WITH g AS (SELECT doc_id FROM labels WHERE toxic = 1 UNION SELECT item_id + 10000000 FROM benchmark)
@@ -374,5 +388,6 @@ SELECT doc_id, CASE WHEN ok THEN 'i' || doc_id ELSE '根据关键词分析，该
     "corpus_summary": "SELECT coalesce(lang, '*') AS class, count(*) AS total_documents, sum(length(text))::BIGINT AS total_characters FROM documents GROUP BY GROUPING SETS ((), (lang))",
     "top_keywords": f"WITH {B.DOCS} SELECT keyword, count(*) AS freq FROM (SELECT unnest(keywords) AS keyword FROM docs) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
     "index_coverage": "SELECT count(*) AS total_documents, count(l.doc_id) AS indexed_documents, 5::BIGINT AS top_k, 0.7::DOUBLE AS similarity_threshold FROM documents d LEFT JOIN labels l USING (doc_id)",
+    "index_clear": "SELECT count(*) AS before, 0::BIGINT AS after, count(*) AS rebuilt, sum(length(text))::BIGINT AS chars, false AS reused FROM documents",
     "index_count": "SELECT count(*) AS document_count FROM documents",
 }
