@@ -11,13 +11,15 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragspark.functions.ranking import DECIMALS, top_k
 from ragspark.functions.sizing import broadcast_if_small, fits, settled, settled_broadcast
 from ragspark.functions.text import tokenize
 
+PRUNE_ABOVE = 20_000_000  # rows before the sums of a batch, above which common words are left out where they cannot matter
+
 # The usual Okapi parameters.
 K1 = 1.5
 B = 0.75
@@ -149,20 +151,61 @@ def query_terms(queries: DataFrame, text: str = "question", mode: str = "mixed")
 def bm25_matches(queries: DataFrame, index: Bm25Index, text: str = "question", mode: str = "mixed",
                  decimals: int | None = DECIMALS) -> DataFrame:
     """(query_id, doc_id, score) for every pair that shares a term."""
+    return _summed(index.postings, term_weights(queries, index, text, mode), index, ["term"], decimals)
+
+
+def term_weights(queries: DataFrame, index: Bm25Index, text: str = "question", mode: str = "mixed") -> DataFrame:
+    """(query_id, term, weight, df) of the query terms that documents hold, hinted for a broadcast where they are few."""
     terms = query_terms(queries, text, mode)
-    small = fits(terms)  # the weights below have at most one row per row of `terms`
-    weights = (F.broadcast(terms) if small else terms).join(index.term_stats.select("term", "idf"), "term").select(
-        "query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")
+    small = fits(terms)  # the weights have at most one row per row of `terms`
+    weights = (F.broadcast(terms) if small else terms).join(index.term_stats.select("term", "idf", "df"), "term").select(
+        "query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "df"
     )
+    return F.broadcast(weights) if small else weights
+
+
+def _part(index: Bm25Index) -> Column:
     avg_len = index.doc_len.agg(F.avg("doc_len")).scalar()
     tf = F.col("tf")
-    part = F.col("weight") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("doc_len") / avg_len))
-    score = F.sum(part)
-    return (
-        index.postings.join(F.broadcast(weights) if small else weights, "term")
-        .groupBy("query_id", "doc_id")
-        .agg((score if decimals is None else F.round(score, decimals)).alias("score"))
-    )
+    return F.col("weight") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("doc_len") / avg_len))
+
+
+def _summed(postings: DataFrame, weights: DataFrame, index: Bm25Index, on: list[str], decimals: int | None = DECIMALS) -> DataFrame:
+    score = F.sum(_part(index))
+    return postings.join(weights, on).groupBy("query_id", "doc_id").agg(
+        (score if decimals is None else F.round(score, decimals)).alias("score"))
+
+
+def bm25_candidates(queries: DataFrame, index: Bm25Index, k: int, text: str = "question", mode: str = "mixed",
+                    prune_above: int = PRUNE_ABOVE) -> DataFrame:
+    """(query_id, doc_id, score): matches that include the k best of every query, without scoring every pair that shares a common word.
+
+    A term adds less than (K1 + 1) * weight. The rarest terms of a query are scored first, and their k-th best sum is a
+    lower bound of the k-th best score. The terms of least weight whose bounds sum to less than it cannot lift a document into the k best
+    by themselves: they are added only to documents that hold another term. Up to `prune_above` expected (term, query, document) rows
+    the single pass over all pairs is cheaper and gives the same k best.
+    """
+    weights = settled(term_weights(queries, index, text, mode))
+    load = weights.agg(F.sum("df").alias("rows"), F.min("weight").alias("least")).first()
+    if (load["rows"] or 0) <= prune_above or load["least"] < 0:  # negative weights: sums are no lower bounds
+        return _summed(index.postings, broadcast_if_small(weights), index, ["term"])
+    # Windows over the terms of one query, as long as the query is.
+    rarest = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    first = weights.withColumn("_seen", F.coalesce(F.sum("df").over(rarest), F.lit(0))).where(F.col("_seen") < 4 * k).drop("_seen")
+    sums = top_k(_summed(index.postings, broadcast_if_small(first), index, ["term"]), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+    bound = sums.groupBy("query_id").agg(F.min("score").alias("_low"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == k)
+    lightest = Window.partitionBy("query_id").orderBy("weight", "term").rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.sum(F.col("weight") * (K1 + 1)).over(lightest)
+    light = F.coalesce(F.col("_reach") < F.col("_low") - 2 * 10.0**-DECIMALS, F.lit(False))
+    split = settled(weights.withColumn("_reach", reach).join(broadcast_if_small(bound), "query_id", "left").select(
+        "query_id", "term", "weight", light.alias("_light")))
+    heavy, light = [broadcast_if_small(split.where(c).drop("_light")) for c in ("NOT _light", "_light")]
+    found = _summed(index.postings, heavy, index, ["term"], None)
+    # Both sides lie by document, so the light terms meet the found pairs without a shuffle of either.
+    more = index.postings.join(light, "term").select("query_id", "doc_id", _part(index).alias("_more"))
+    lifted = found.join(more, ["doc_id", "query_id"], "left").groupBy("query_id", "doc_id").agg(
+        F.round(F.first("score") + F.coalesce(F.sum("_more"), F.lit(0.0)), DECIMALS).alias("score"))
+    return lifted
 
 
 def bm25_topk(queries: DataFrame, index: Bm25Index, k: int = 5, text: str = "question", mode: str = "mixed",
@@ -174,7 +217,7 @@ def bm25_topk(queries: DataFrame, index: Bm25Index, k: int = 5, text: str = "que
     as many of them as leave k after the matches that do not score zero; nothing is read of other queries.
     """
     order = [F.desc("score"), F.asc("doc_id")]
-    best = top_k(bm25_matches(queries, index, text, mode), ["query_id"], order, k)
+    best = top_k(bm25_candidates(queries, index, k, text, mode), ["query_id"], order, k)
     kept = ["query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank")]
     if not fill:
         return best.select(*kept)
@@ -226,10 +269,9 @@ def bm25_scores(queries: DataFrame, index: Bm25Index, text: str = "question", mo
 
 def bm25_pair_scores(pairs: DataFrame, queries: DataFrame, index: Bm25Index, text: str = "question",
                      mode: str = "mixed") -> DataFrame:
-    """Scores of given (query_id, doc_id) pairs, zeros included."""
-    wanted = index.postings.join(broadcast_if_small(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
-    narrowed = Bm25Index(wanted, index.doc_len, index.term_stats)
-    scores = bm25_matches(queries, narrowed, text, mode)
+    """Scores of given (query_id, doc_id) pairs, zeros included. Only the asked pairs are scored."""
+    wanted = pairs.select("query_id", "doc_id").distinct()
+    scores = _summed(index.postings.join(broadcast_if_small(wanted), "doc_id"), term_weights(queries, index, text, mode), index, ["query_id", "term"])
     return pairs.join(scores, ["query_id", "doc_id"], "left").withColumn(
         "score", F.coalesce("score", F.lit(0.0))
     )

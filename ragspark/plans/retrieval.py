@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,40 +129,38 @@ def _arm(hits: DataFrame, source: str) -> DataFrame:
     return hits.select(F.lit(source).alias("source"), "query_id", "doc_id", F.col("score").cast("double").alias("score"))
 
 
-def variant_hits(queries: DataFrame, index: Bm25Index, k: int, synonyms=SYNONYMS, mode: str = "mixed") -> DataFrame:
-    """(source, query_id, doc_id, score): BM25 top k of every expanded variant, one source per variant."""
+Vectoriser = Callable[[DataFrame], DataFrame]  # (query_id, question) -> (query_id, embedding)
+
+
+def variant_hits(queries: DataFrame, index: Bm25Index, vectorise: Vectoriser, doc_vectors: DataFrame, k: int, synonyms=SYNONYMS,
+                 mode: str = "mixed") -> DataFrame:
+    """(source, query_id, doc_id, score): BM25 and dense top k of every expanded variant, one source per retriever and variant."""
     variants = query_variants(queries, synonyms=synonyms)
-    key = F.struct("query_id", "variant")
-    keyed = variants.select(key.alias("query_id"), "question")
-    hits = bm25_topk(keyed, index, k, mode=mode)
-    return hits.select(
-        F.concat(F.lit("bm25:"), F.col("query_id.variant").cast("string")).alias("source"),
-        F.col("query_id.query_id").alias("query_id"),
-        "doc_id",
-        "score",
-    )
+    keyed = settled(variants.select(F.concat_ws("/", "variant", "query_id").alias("query_id"), "question"))
 
+    def arm(hits: DataFrame, retriever: str) -> DataFrame:
+        cut = F.split("query_id", "/", 2)
+        return hits.select(F.concat(F.lit(f"{retriever}:"), cut[0]).alias("source"),
+                           cut[1].cast(queries.schema["query_id"].dataType).alias("query_id"), "doc_id", "score")
 
-def multi_query_search(queries: DataFrame, index: Bm25Index, query_vectors: DataFrame, doc_vectors: DataFrame,
+    return arm(bm25_topk(keyed, index, k, mode=mode), "bm25").unionByName(arm(dense_topk(vectorise(keyed), doc_vectors, k), "dense"))
+
+
+def multi_query_search(queries: DataFrame, index: Bm25Index, vectorise: Vectoriser, doc_vectors: DataFrame,
                        k: int = TOP_K, limit: int = FUSED_K, synonyms=SYNONYMS, mode: str = "mixed") -> DataFrame:
-    """Every expanded variant through BM25, the question through dense search, fused by rank."""
-    lists = variant_hits(queries, index, k, synonyms, mode).unionByName(
-        _arm(dense_topk(query_vectors, doc_vectors, k), "dense"))
-    return rrf(lists, RRF_K, limit=limit, bounded=True)
+    """Every expanded variant through BM25 and dense search, fused by rank. `vectorise` gives the variants' vectors."""
+    return rrf(variant_hits(queries, index, vectorise, doc_vectors, k, synonyms, mode), RRF_K, limit=limit, bounded=True)
 
 
-def hybrid_search(queries: DataFrame, index: Bm25Index, query_vectors: DataFrame, doc_vectors: DataFrame,
+def hybrid_search(queries: DataFrame, index: Bm25Index, vectorise: Vectoriser, doc_vectors: DataFrame,
                   nodes: DataFrame, edges: DataFrame, entities: DataFrame, docs: DataFrame, k: int = TOP_K,
                   fused: int = FUSED_K, synonyms=SYNONYMS, mode: str = "mixed") -> DataFrame:
     """Expand, search by BM25, vectors and graph, fuse the lists to `fused` rows, rescore and keep k.
 
     The fused list is bounded (`fused` rows per question) and is written once before its two uses.
     """
-    lists = (
-        variant_hits(queries, index, fused, synonyms, mode)
-        .unionByName(_arm(dense_topk(query_vectors, doc_vectors, fused), "dense"))
-        .unionByName(_arm(graph_retrieve(queries, nodes, edges, docs, entities, fused), "graph"))
-    )
+    lists = variant_hits(queries, index, vectorise, doc_vectors, fused, synonyms, mode).unionByName(
+        _arm(graph_retrieve(queries, nodes, edges, docs, entities, fused), "graph"))
     merged = rrf(lists, RRF_K, limit=fused, bounded=True).select("query_id", "doc_id", "score", F.col("final_rank").alias("rank"))
     merged = settled(merged)
     return rerank(merged, coverage_scores(merged, queries, index, mode=mode), k)

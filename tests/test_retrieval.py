@@ -336,3 +336,21 @@ def test_basic_retrieve_with_and_without_vectors(spark):
 def test_size_check_stops_broadcasts(spark):
     frame = spark.range(100)
     assert sizing.fits(frame, 100) and not sizing.fits(frame, 99) and not sizing.fits(frame, 1000, 100)
+
+
+def test_pruned_candidates_hold_the_best_and_leave_common_words_out(spark):
+    import random
+
+    rnd = random.Random(5)
+    # "the" is in four of ten documents and adds little; the rare words decide.
+    texts = [(i, " ".join((["the"] if i % 5 < 2 else []) + [f"w{rnd.randrange(40)}" for _ in range(8)] + ([f"rare{i % 6}"] * 3 if i < 60 else [])))
+             for i in range(600)]
+    docs = spark.createDataFrame(texts, "doc_id long, content string")
+    asked = spark.createDataFrame([(q, f"the rare{q} w{q}") for q in range(6)] + [(9, "the")], "query_id long, question string")
+    index = lexical.bm25_index(docs)
+    order = [F.desc("score"), F.asc("doc_id")]
+    every = lexical.bm25_matches(asked, index)
+    pruned = lexical.bm25_candidates(asked, index, 5, prune_above=0).persist()
+    best = lambda frame: rows(ranking.top_k(frame, ["query_id"], order, 5))
+    assert best(pruned) == best(every)
+    assert pruned.where("query_id < 9").count() < every.where("query_id < 9").count() / 2

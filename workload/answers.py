@@ -116,9 +116,12 @@ def class_facts(spark, sf):
     return out.select("doc_id", "class", *[F.coalesce(F.array_join(c, "|"), F.lit("-")).alias(c) for c in ("process", "materials", "tools")], F.coalesce("feature", F.lit("-")).alias("feature"))
 
 
+def _timelines(spark):
+    return spark.createDataFrame(P.TIMELINES, "class string, events array<struct<period:string,stage:string,description:string>>")
+
+
 def timeline(spark, sf):
-    dim = spark.createDataFrame(P.TIMELINES, "class string, events array<struct<period:string,stage:string,description:string>>")
-    return A.timeline(_keys(spark, sf), dim)
+    return A.timeline(_keys(spark, sf), _timelines(spark))
 
 
 def _status(spark):
@@ -135,12 +138,21 @@ def status_lookup(spark, sf):
 
 
 def context_block(spark, sf):
-    """Facts of the language an entity belongs to, and the routed hits, per question and category."""
+    """Facts (crafts, history, status) of the language an entity belongs to, and the routed hits, per question and category."""
     routes = R.routed(spark, sf)
     asked = routes.select("query_id", F.explode("required_experts").alias("category"), C.identify_entity(F.col("question"), P.ENTITIES).alias("entity"))
     names = spark.createDataFrame([("that", "en"), ("with", "en"), ("nicht", "de"), ("pour", "fr")], "entity string, class string")
-    blocks = names.join(_facts(spark), "class").select(
-        F.lit("craft_expert").alias("category"), "entity", A.craft_block(F.col("entity"), F.col("process"), F.col("materials"), F.col("tools"), F.col("feature")).alias("block"))
+    facts = names.join(_facts(spark), "class")
+    name = F.col("entity")
+    craft = facts.select(F.lit("craft_expert").alias("category"), "entity", A.craft_block(
+        name, F.col("process"), F.col("materials"), F.col("tools"), F.col("feature")).alias("block"))
+    history = facts.join(_timelines(spark), "class").select(F.lit("history_expert").alias("category"), "entity", A.history_block(
+        name, F.col("events")[0]["period"], F.col("events"), F.col("feature"), F.filter("tools", lambda t: F.col("class") == "fr")).alias("block"))
+    found = F.transform("tools", lambda t: F.struct(t.alias("name"), F.lit("tool").alias("type"), F.col("class").alias("source")))
+    status = facts.join(_status(spark), "class").select(F.lit("heritage_expert").alias("category"), "entity", A.status_block(
+        name, F.col("feature"), F.col("status"), F.col("levels"), F.col("class"), F.col("process"), F.col("paths"),
+        F.filter(found, lambda r: r["source"] == "en")).alias("block"))
+    blocks = craft.unionByName(history).unionByName(status)
     hits = routed_retrieve(routes, R.category_docs(spark, sf), threshold=0.3, stopwords=P.STOP)
     return A.context_block(asked, blocks, hits, B.documents(spark, sf))
 
@@ -288,6 +300,8 @@ al AS (SELECT question_id, agent_name, min(ord) AS ord FROM rs GROUP BY ALL)"""
 FACT_ROWS = P.values([(c, list(a), list(b), list(t), f) for c, a, b, t, f in P.FACTS]) + " t(class, process, materials, tools, feature)"
 EVENTS = P.values([(c, i, *e) for c, es in P.TIMELINES for i, e in enumerate(es)]) + " t(class, pos, period, stage, description)"
 LEVELS = P.values([(c, k, "|".join(v)) for c, _, levels, _ in P.STATUS for k, v in levels.items()]) + " t(class, level, names)"
+STATUS_LINES = P.values([(c, s, *["~".join(f"  • {k}：{', '.join(v)}" for k, v in listed.items()) for listed in (levels, paths)])
+                         for c, s, levels, paths in P.STATUS]) + " t(class, status, levels, paths)"
 STATUS_ROWS = P.values([(c, s, ";".join(sorted(f"{k}={','.join(v)}" for k, v in paths.items()))) for c, s, _, paths in P.STATUS]) + " t(class, status, paths)"
 
 ORACLES = {
@@ -323,12 +337,21 @@ SELECT query_id, CASE WHEN NOT {P.any_of('low', P.DEBATE['how'])} AND n = 1 THEN
     "level_rows": f"SELECT doc_id, lang AS class, level, names FROM documents JOIN {LEVELS} ON class = lang",
     "status_lookup": f"SELECT doc_id, lang AS class, coalesce(status, '未知') AS status, coalesce(paths, '') AS paths FROM documents LEFT JOIN {STATUS_ROWS} ON class = lang",
     "context_block": f"""WITH {R.ROUTED}, names AS (SELECT * FROM (VALUES ('that', 'en'), ('with', 'en'), ('nicht', 'de'), ('pour', 'fr')) t(entity, class)),
-bl AS (SELECT entity, '【' || entity || '技艺基本信息】' || {NL} || '主要工艺流程：' || array_to_string(process, ' → ') || {NL} || '主要材料：' || array_to_string(materials, ', ') || {NL}
-  || '主要工具：' || array_to_string(tools, ', ') || {NL} || '特点：' || feature AS block FROM names JOIN (SELECT * FROM {FACT_ROWS}) f USING (class)),
+bl AS (SELECT 'craft_expert' AS category, entity, '【' || entity || '技艺基本信息】' || {NL} || '主要工艺流程：' || array_to_string(process, ' → ') || {NL} || '主要材料：' || array_to_string(materials, ', ') || {NL}
+  || '主要工具：' || array_to_string(tools, ', ') || {NL} || '特点：' || feature AS block FROM names JOIN (SELECT * FROM {FACT_ROWS}) f USING (class)
+  UNION ALL SELECT 'history_expert', entity, '【' || entity || '历史沿革】' || {NL} || '起源：' || first_period || {NL} || {NL} || '发展脉络：' || {NL} || lines || {NL} || {NL} || '文化意义：' || feature
+    || CASE WHEN class = 'fr' THEN {NL} || '代表人物：' || array_to_string(tools, ', ') ELSE '' END
+  FROM names JOIN (SELECT * FROM {FACT_ROWS}) f USING (class)
+    JOIN (SELECT class, arg_min(period, pos) AS first_period, string_agg('  • ' || period || '（' || stage || '）：' || description, {NL} ORDER BY pos) AS lines FROM {EVENTS} GROUP BY class) e USING (class)
+  UNION ALL SELECT 'heritage_expert', entity, '【' || entity || '传承现状】' || {NL} || '保护等级：' || feature || {NL} || '濒危程度：' || status || {NL} || {NL} || '传承人信息：' || {NL}
+    || replace(levels, '~', {NL}) || {NL} || {NL} || '分布区域：' || class || {NL} || {NL} || '保护措施：' || {NL}
+    || array_to_string(list_transform(process, lambda m, i: '  ' || i || '. ' || m), {NL}) || {NL} || {NL} || '学习途径：' || {NL} || replace(paths, '~', {NL})
+    || CASE WHEN class = 'en' THEN {NL} || {NL} || '【推荐学习资源】' || {NL} || array_to_string(list_transform(tools, lambda t: '  • ' || t || '（tool）- en'), {NL}) ELSE '' END
+  FROM names JOIN (SELECT * FROM {FACT_ROWS}) f USING (class) JOIN (SELECT * FROM {STATUS_LINES}) s USING (class)),
 ask AS (SELECT query_id, category, {ENT.format('question')} AS entity FROM rc JOIN qs USING (query_id)),
 ev AS (SELECT query_id, category, string_agg(rank || '. ' || left(text, 300) || '...', {NL} ORDER BY rank) AS lines FROM routed JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY ALL),
 ctx AS (SELECT a.query_id, a.category, concat_ws({NL}, bl.block, CASE WHEN ev.lines IS NOT NULL THEN {NL} || CASE WHEN a.category = 'history_expert' THEN '【相关历史文献】' ELSE '【相关文档资料】' END || {NL} || ev.lines END) AS c
-  FROM ask a LEFT JOIN bl ON bl.entity = a.entity AND a.category = 'craft_expert' LEFT JOIN ev ON ev.query_id = a.query_id AND ev.category = a.category)
+  FROM ask a LEFT JOIN bl ON bl.entity = a.entity AND bl.category = a.category LEFT JOIN ev ON ev.query_id = a.query_id AND ev.category = a.category)
 SELECT query_id, category, CASE WHEN c <> '' THEN c WHEN category = 'craft_expert' THEN '没有找到相关的技艺资料。' WHEN category = 'history_expert' THEN '没有找到相关的历史资料。' ELSE '没有找到相关的传承信息。' END AS context FROM ctx""",
     "response_counts": f"WITH {B.RESPONSES} SELECT question_id, count(*) FILTER (success) AS successes, count(*) AS total FROM rs GROUP BY 1",
     "response_fusion": f"""WITH {USABLE}, g AS (SELECT question_id, count(*) AS n, any_value(agent_name) AS agent, any_value(content) AS content,

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ragspark.functions.sizing import settled
 from ragspark.functions.text import tokenize
 from ragspark.operators import dense, filters, fusion, keyword, lexical, rerank, rewrite
-from ragspark.operators.vectorize import hashed_tfidf
+from ragspark.operators.vectorize import bucket_idf, hashed_tfidf
 from ragspark.plans import retrieval as plans
 from workload import bindings as B
 from workload import params as P
@@ -239,9 +239,15 @@ def model_pair_scores(spark, sf):
     return rerank.pair_scores(rerank.model_scores(pairs, B.questions(spark, sf), B.documents(spark, sf), word_share))
 
 
+def _vectors(spark, sf):
+    """A vectoriser for questions, and the documents' vectors, both weighed by the documents' idf."""
+    docs = B.documents(spark, sf)
+    idf = settled(bucket_idf(docs, DIM))
+    return (lambda asked: hashed_tfidf(asked, DIM, "question", "query_id", idf=idf)), hashed_tfidf(docs, DIM, idf=idf)
+
+
 def multi_query_rrf(spark, sf):
-    out = plans.multi_query_search(B.questions(spark, sf), B.stored_index(spark, sf), B.query_vectors(spark, sf),
-                                   B.doc_vectors(spark, sf), synonyms=P.SYNONYMS)
+    out = plans.multi_query_search(B.questions(spark, sf), B.stored_index(spark, sf), *_vectors(spark, sf), synonyms=P.SYNONYMS)
     return out.select("query_id", "doc_id", "score", "sources_count", "final_rank")
 
 
@@ -252,7 +258,7 @@ def graph_retrieve(spark, sf):
 
 def hybrid_search(spark, sf):
     nodes, edges = B.word_graph(spark, sf)
-    return plans.hybrid_search(B.questions(spark, sf), B.stored_index(spark, sf), B.query_vectors(spark, sf), B.doc_vectors(spark, sf),
+    return plans.hybrid_search(B.questions(spark, sf), B.stored_index(spark, sf), *_vectors(spark, sf),
                                nodes, edges, nodes, B.documents(spark, sf), synonyms=P.SYNONYMS)
 
 
@@ -372,6 +378,16 @@ ti AS (SELECT bucket, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)
 tw AS (SELECT doc_id, bucket, tf * idf AS w FROM tc JOIN ti USING (bucket)),
 tv AS (SELECT doc_id, bucket, w / nullif(sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 0) AS value FROM tw)"""
 
+VARIANT_DN = TFIDF + f""",
+vt AS (SELECT qk, (('0x' || substr(md5(term), 1, 8))::BIGINT % {DIM})::BIGINT AS bucket
+  FROM (SELECT query_id || '/' || variant AS qk, unnest({B.TOKENS.format('question')}) AS term FROM var)),
+vw AS (SELECT qk, bucket, count(*) * any_value(idf) AS w FROM vt JOIN ti USING (bucket) GROUP BY qk, bucket),
+vv AS (SELECT qk, bucket, w / nullif(sqrt(sum(w * w) OVER (PARTITION BY qk)), 0) AS value FROM vw),
+vdot AS (SELECT qk, doc_id, sum(vv.value * tv.value) AS dot FROM vv JOIN tv USING (bucket) GROUP BY ALL),
+vpair AS (SELECT query_id, query_id || '/' || variant AS qk, doc_id FROM var, documents),
+vd_top AS (SELECT query_id, qk, doc_id, row_number() OVER (PARTITION BY qk ORDER BY score DESC, doc_id) AS rank
+  FROM (SELECT p.query_id, p.qk, p.doc_id, round(coalesce(dot, 0), 6) AS score FROM vpair p LEFT JOIN vdot v ON v.qk = p.qk AND v.doc_id = p.doc_id))"""
+
 ORACLES = {
     "bm25_term_stats": f"WITH {BM} SELECT term, df, round(idf, 6) AS idf FROM bx_stats",
     "bm25_topk": f"WITH {BM_TOP},\n{FILLED} SELECT query_id, doc_id, score, rank FROM filled WHERE rank <= 5",
@@ -441,13 +457,13 @@ o AS (SELECT query_id, doc_id, coalesce(score, old) AS score, row_number() OVER
 SELECT * FROM o WHERE rank <= 5""",
     "model_pair_scores": f"""WITH {B.QUESTIONS}, p AS (SELECT DISTINCT doc_id, doc_id % (SELECT count(*) FROM qs) AS query_id FROM labels)
 SELECT query_id, doc_id, coalesce({SHARE}, 0.0) AS score FROM p JOIN qs q USING (query_id) JOIN documents d USING (doc_id)""",
-    "multi_query_rrf": f"""WITH {VARIANT_BM},\n{DN_TOP}, hits AS (SELECT query_id, doc_id, rank FROM vb_top WHERE rank <= 5 UNION ALL SELECT query_id, doc_id, rank FROM dn_top WHERE rank <= 5),
+    "multi_query_rrf": f"""WITH {VARIANT_BM},\n{VARIANT_DN}, hits AS (SELECT query_id, doc_id, rank FROM vb_top WHERE rank <= 5 UNION ALL SELECT query_id, doc_id, rank FROM vd_top WHERE rank <= 5),
 f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (59 + rank)), 9) AS score, count(*) AS sources_count FROM hits GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS final_rank FROM f) SELECT * FROM o WHERE final_rank <= 10""",
     "graph_retrieve": f"""WITH {B.QUESTIONS},\n{B.WORD_GRAPH}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM gscores) SELECT * FROM r WHERE rank <= 10""",
-    "hybrid_search": f"""WITH {VARIANT_BM},\n{DN_TOP},\n{B.WORD_GRAPH},
+    "hybrid_search": f"""WITH {VARIANT_BM},\n{VARIANT_DN},\n{B.WORD_GRAPH},
 g_top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM gscores),
-hits AS (SELECT query_id, doc_id, rank FROM vb_top WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, rank FROM dn_top WHERE rank <= 10
+hits AS (SELECT query_id, doc_id, rank FROM vb_top WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, rank FROM vd_top WHERE rank <= 10
   UNION ALL SELECT query_id, doc_id, rank FROM g_top WHERE rank <= 10),
 f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (59 + rank)), 9) AS score FROM hits GROUP BY ALL),
 cand AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS fr FROM f) WHERE fr <= 10),
