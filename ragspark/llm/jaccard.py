@@ -14,7 +14,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ragspark.llm.components import components
 from ragspark.llm.tables import settle, small_side, text_shards
-from ragspark.llm.wordhash import Words, chunks, ids_of, mix, split_hashes, sums_by
+from ragspark.llm.wordhash import Words, chunks, frugal, frugal_group, ids_of, mix, split_hashes, sums_by
 
 BLOCK = 256  # rows of one side of a block product
 TILE = 4096  # columns of a tile
@@ -135,9 +134,9 @@ def _count_columns(rows: pd.DataFrame) -> pd.DataFrame:
 def set_table(docs: DataFrame, length: int) -> DataFrame:
     """doc_id, n (size of the set), k1, k2 (keys of the set), shared (an upper bound of the columns it shares)."""
     shards = text_shards(docs)
-    packed = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(partial(_pack, length=length, shards=shards), PACKED)
+    packed = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(lambda b: frugal(_pack(b, length, shards)), PACKED)
     counted = packed.groupBy("shard").applyInPandas(
-        _count_columns, "doc_id long, shared long, n long, k1 long, k2 long")
+        frugal_group(_count_columns), "doc_id long, shared long, n long, k1 long, k2 long")
     return counted.groupBy("doc_id").agg(
         F.sum("shared").alias("shared"), F.max(F.struct("n", "k1", "k2")).alias("s")).select("doc_id", "shared", "s.*")
 
@@ -301,7 +300,7 @@ def jaccard_groups(docs: DataFrame, length: int = 5, percent: int = 80) -> DataF
     classes = settle(maybe.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     wanted = classes.select(F.col("rep").alias("doc_id"), "copies", *[F.col(k).alias(f"w_{k}") for k in keys])
     texts = docs.select("doc_id", "text").join(small_side(wanted.select("doc_id")), "doc_id", "left_semi")
-    sets = texts.mapInArrow(partial(_sets, length=length), "doc_id long, n long, k1 long, k2 long, columns array<long>")
+    sets = texts.mapInArrow(lambda b: frugal(_sets(b, length)), "doc_id long, n long, k1 long, k2 long, columns array<long>")
     sets = sets.join(wanted, "doc_id").where(" AND ".join(f"{k} = w_{k}" for k in keys)).dropDuplicates(["doc_id"])
     sets = settle(sets.select("doc_id", "n", "copies", "columns"))
     families = components(_star_edges(settle(rarest_columns(sets, percent))))

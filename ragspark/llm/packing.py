@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragspark.llm.wordhash import chunks
+from ragspark.llm.wordhash import chunks, frugal
 
 END = 1  # id that ends every document
 _encoders: dict = {}
@@ -103,6 +103,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048) -> DataF
         raise ValueError("length must be a power of two")
     doc = docs.schema["doc_id"].dataType.simpleString()
     cut = docs.select("doc_id", "text").mapInArrow(
-        lambda b: _pack(b, tokenizer, length), f"doc_id {doc}, start long, length long, doc_tokens long, ids binary")
+        lambda b: frugal(_pack(b, tokenizer, length)), f"doc_id {doc}, start long, length long, doc_tokens long, ids binary")
     zero = F.lit(0).cast("long")
     return cut.select("*", F.monotonically_increasing_id().alias("sequence_id"), zero.alias("offset"), zero.alias("padding"))

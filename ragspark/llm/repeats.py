@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ragspark.llm.jaccard import among, repeated_values
 from ragspark.llm.tables import settle, small_side, text_shards
-from ragspark.llm.wordhash import Words, chunks, ids_of, mix, split_hashes
+from ragspark.llm.wordhash import Words, chunks, frugal, frugal_group, ids_of, mix, split_hashes
 
 PROBES = "shard int, all_prints binary, prints binary, doc_ids binary, blocks binary"
 WINDOWS = "shard int, hashes binary, doc_ids binary, starts binary"
@@ -195,12 +195,12 @@ def repeat_ranges(docs: DataFrame, window: int = 20) -> DataFrame:
     named = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     # Rows that are settled inside a chunk (shard -1) need no meeting; a salt keeps them from one task.
     key = [F.col("shard"), F.when(F.col("shard") < 0, F.pmod(F.xxhash64("doc_ids"), F.lit(shards))).otherwise(0).alias("salt")]
-    hits = named.mapInArrow(lambda b: _probe(b, block, shards), PROBES).groupBy(*key).applyInPandas(_hits, FOUND)
+    hits = named.mapInArrow(lambda b: frugal(_probe(b, block, shards)), PROBES).groupBy(*key).applyInPandas(frugal_group(_hits), FOUND)
     hits = hits.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
     near = named.join(small_side(hits), "doc_id")
-    later = near.mapInArrow(lambda b: _extend(b, window, block, shards), WINDOWS).groupBy(*key).applyInPandas(_later, FOUND)
+    later = near.mapInArrow(lambda b: frugal(_extend(b, window, block, shards)), WINDOWS).groupBy(*key).applyInPandas(frugal_group(_later), FOUND)
     later = later.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    return later.mapInArrow(lambda b: _merge(b, window), "doc_id long, ranges binary")
+    return later.mapInArrow(lambda b: frugal(_merge(b, window)), "doc_id long, ranges binary")
 
 
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -217,4 +217,4 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     ranges = small_side(repeat_ranges(docs, window))
     joined = docs.select(*rest).join(ranges, "doc_id", "left")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema.fields)
-    return joined.mapInArrow(lambda b: _cut(b, rest), f"{schema}, n_words long, n_removed long, kept_text string")
+    return joined.mapInArrow(lambda b: frugal(_cut(b, rest)), f"{schema}, n_words long, n_removed long, kept_text string")

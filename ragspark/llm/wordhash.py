@@ -6,13 +6,14 @@ A word is a run of bytes other than space and 0x09 to 0x0D. A word or a sequence
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20  # text handled at once by a task; one longer text is a chunk of its own
+CHUNK_BYTES = (1 << 20) - 1  # text handled at once by a task; one longer text is a chunk of its own
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -31,18 +32,21 @@ _BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A
 
 
 class _Powers:
-    """Powers of an odd base and of its inverse, kept as far as they were needed."""
+    """Powers of an odd base and of its inverse, kept as far as a chunk needs them; a longer text makes its own."""
 
     def __init__(self, base: int) -> None:
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            self.up, self.down = (np.cumprod(np.append(np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)), dtype=np.uint64)
-                                  for b in (self.base, self.inverse))
-        return self.up[:n], self.down[:n]
+        if len(self.up) >= n:
+            return self.up[:n], self.down[:n]
+        size = 1 << (n - 1).bit_length()
+        up, down = (np.cumprod(np.append(np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)), dtype=np.uint64)
+                    for b in (self.base, self.inverse))
+        if n <= CHUNK_BYTES + 1:
+            self.up, self.down = up, down
+        return up[:n], down[:n]
 
 
 _BYTES, _WORDS = _Powers(0x9E3779B97F4A7C55), _Powers(0xD6E8FEB86659FD93)
@@ -109,6 +113,30 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             at = end
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers stay for later tasks, and would keep what earlier ones needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def frugal(task: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task, which gives its memory back after the last one."""
+    yield from task
+    give_back()
+
+
+def frugal_group(function: Callable) -> Callable:
+    """The function of a group, which gives its memory back after each group."""
+    def run(rows):
+        try:
+            return function(rows)
+        finally:
+            give_back()
+    return run
+
+
 def ids_of(batch: pa.RecordBatch, column: str = "doc_id") -> np.ndarray:
     return batch.column(batch.schema.get_field_index(column)).cast(pa.int64()).to_numpy(zero_copy_only=False)
 
