@@ -65,7 +65,7 @@ def _score_blocks(queries: DataFrame, docs: DataFrame, k: int | None, floor: flo
                 places, matrix = widths.get(int(width), (np.full(len(all_ids), -1), np.zeros((0, int(width)))))
                 vectors = _unit(np.stack(group["embedding"].to_numpy()).astype("float64"))
                 doc_ids = group["doc_id"].to_numpy()
-                for rows, at in _tiles(len(all_ids), len(vectors)):
+                for rows, at in _tiles(len(all_ids), len(vectors), QUERY_ROWS, DOC_ROWS):
                     inside = places[rows] >= 0  # a query of another length has similarity 0
                     scores = np.zeros((len(inside), min(DOC_ROWS, len(vectors) - at)))
                     scores[inside] = np.round(matrix[places[rows][inside]] @ vectors[at:at + DOC_ROWS].T, DECIMALS) + 0.0
@@ -90,10 +90,10 @@ def _score_blocks(queries: DataFrame, docs: DataFrame, k: int | None, floor: flo
     return docs.select("doc_id", "embedding").mapInPandas(blocks, schema)
 
 
-def _tiles(queries: int, docs: int) -> Iterator[tuple[slice, int]]:
-    for at in range(0, docs, DOC_ROWS):
-        for first in range(0, queries, QUERY_ROWS):
-            yield slice(first, min(first + QUERY_ROWS, queries)), at
+def _tiles(queries: int, docs: int, query_rows: int, doc_rows: int) -> Iterator[tuple[slice, int]]:
+    for at in range(0, docs, doc_rows):
+        for first in range(0, queries, query_rows):
+            yield slice(first, min(first + query_rows, queries)), at
 
 
 def _select(scores: np.ndarray, k: int | None, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

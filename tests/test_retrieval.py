@@ -211,12 +211,11 @@ def test_dense_equals_brute_force(spark, vectors, monkeypatch, path):
         monkeypatch.setattr(dense, "MAX_BYTES", 400)
         monkeypatch.setattr(dense, "fits", lambda *a: False)
     if path == "blocks":
-        monkeypatch.setattr(dense, "CELLS", 50)
+        monkeypatch.setattr(dense, "QUERY_ROWS", 2)
+        monkeypatch.setattr(dense, "DOC_ROWS", 7)
     d = spark.createDataFrame(docs, "doc_id long, embedding array<double>").repartition(3)
     q = spark.createDataFrame(queries, "query_id long, embedding array<double>")
     got = {}
-    if path == "chunks":
-        monkeypatch.setattr(dense, "measured_size", lambda *a: (1, 1))
     for r in dense.dense_topk(q, d, 4).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.doc_id, r.score))
     for qid, vec in queries:
