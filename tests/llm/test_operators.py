@@ -179,6 +179,22 @@ def test_quality_distances_and_guards(spark):
     assert found[90]["char_distance"] == pytest.approx(math.sqrt(half(p) + half(q)), abs=1e-6)
 
 
+def test_quality_with_a_third_of_the_rows_junk_copies(spark):
+    words = "the of and house tree river sky stone light water field night".split()
+    rnd = random.Random(3)
+    clean = [(i, " ".join(rnd.choices(words, k=80)), "en") for i in range(60)]
+    junk = " ".join(["$$$$", "%%%%", "####"][k % 3] + str(k) for k in range(80))
+    other = " ".join(["&&&&", "<<<<", "||||"][k % 3] + str(k + 7) for k in range(80))
+    copies = [(100 + i, junk, "en") for i in range(31)] + [(200, other, "en")]
+    # A language of too few words for a reference of its own.
+    small = [(300, " ".join(rnd.choices(words, k=80)), "xx"), (301, junk + " x", "xx")]
+    found = {r["doc_id"]: r for r in judge_quality(spark.createDataFrame([*clean, *copies, *small], "doc_id long, text string, lang string")).collect()}
+    assert len(found) == 94
+    assert all(found[i]["kept"] or found[i]["base_failed"] for i, *_ in clean) and sum(found[i]["kept"] for i, *_ in clean) > 50
+    assert not any(found[i]["kept"] or found[i]["base_failed"] for i, *_ in copies)
+    assert found[300]["kept"] and not found[301]["kept"] and not found[301]["base_failed"]
+
+
 def test_urls_follow_rules_and_learn_the_rest(spark):
     urls = ["https://A.b.ORG/x", "http://example.org/es/1", "http://sub.example.org/en/12?x", "https://m.com/fr/a", "https://m.com/de/b#t", "https://none.net",
             None, "", "no scheme", "http://org", "http://notexample.org/es/1"]
