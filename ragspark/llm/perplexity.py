@@ -25,6 +25,7 @@ START, STOP = 2, 3
 SHARD_ROWS = 4_000_000
 CHUNK = 1 << 19  # bytes of text handled at once; a task holds about a hundred times that
 CONTEXT = 16  # added to the order in the key of a context
+SHORT = 3  # length classes of short texts, each of half the bytes of the one before
 
 
 def gram_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,27 +177,36 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     return rest.join(total, "_row").withColumn("perplexity", F.round(F.exp(-F.col("part") / (F.col("n_bytes") + 1)), 6)).drop("_row", "part")
 
 
+def shrunk(value: Column, n: Column, parent: Column, weight: int) -> Column:
+    """The value of n cases drawn towards that of its parent, which counts as `weight` cases; geometric. The parent where there is none."""
+    return F.coalesce(F.exp((n * F.log(value) + weight * F.log(parent)) / (n + weight)), parent)
+
+
 def judge_perplexity(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, margin: float = 1.4, min_bytes: int = 200,
                      min_trusted: int = 20) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold, kept for each row of (doc_id, text, lang).
 
-    `trusted_ids` (doc_id) names the trusted documents; the model is trained on all their text. The threshold of a language is `margin` times the
-    `quantile` of its trusted documents' perplexities; a language of under `min_trusted` trusted documents (and null, a language of its own)
-    takes that of all trusted documents. kept is false above the threshold; texts of under `min_bytes` bytes, empty and null ones among them, are
-    too short to judge and kept. Without trusted documents nothing can be judged: threshold is null and all is kept. Repeated rows and null ids give rows like any
-    other. Other columns are not read. An empty table gives an empty result.
+    `trusted_ids` (doc_id) names the trusted documents; the model is trained on all their text. kept is false above the threshold, which is `margin` times
+    the `quantile` of the perplexities of trusted documents of the same language (null is one) and length class: texts of at least `min_bytes`
+    bytes, of at least a half, a quarter of it, and below; each class down takes the margin once more, for short texts differ more. A quantile of few
+    documents is drawn towards what language and length class give apart, and these towards that of all trusted documents, by `min_trusted` documents'
+    weight. Empty and null texts have nothing to judge and are kept. Without trusted documents nothing can be judged: threshold is null and all is
+    kept. Repeated rows and null ids give rows like any other. Other columns are not read. An empty table gives an empty result.
     """
     ids = small_side(trusted_ids.where("doc_id IS NOT NULL").select("doc_id").distinct())
     rows = docs.select("doc_id", "lang", "text")
     model = train(rows.join(ids, "doc_id", "left_semi"))
-    scored = settle(score(rows, model))
-    trusted = settle(scored.join(ids, "doc_id", "left_semi").select("lang", "perplexity"))
+    short = sum(((F.col("n_bytes") < min_bytes / 2 ** i).cast("int") for i in range(SHORT)), F.lit(0))
+    scored = settle(score(rows, model).withColumn("language", F.coalesce("lang", F.lit(""))).withColumn("none", F.col("lang").isNull()).withColumn("short", short))
+    trusted = settle(scored.where("n_bytes > 0").join(ids, "doc_id", "left_semi").select("language", "none", "short", "perplexity"))
     high = F.percentile_approx("perplexity", quantile, 10_000)
-    overall = trusted.agg(high.alias("q")).first()["q"]
-    by = trusted.groupBy("lang").agg(high.alias("q"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_trusted)
-    by = by.select(F.coalesce("lang", F.lit("")).alias("language"), F.col("lang").isNull().alias("none"), "q")
-    judged = scored.withColumn("language", F.coalesce("lang", F.lit(""))).withColumn("none", F.col("lang").isNull())
-    judged = judged.join(small_side(by), ["language", "none"], "left").withColumn(
-        "threshold", F.coalesce("q", F.lit(overall).cast("double")) * margin)
+    overall = F.lit(trusted.agg(high.alias("q")).first()["q"]).cast("double")
+    judged = scored
+    for name, keys in (("lang", ["language", "none"]), ("short", ["short"]), ("cell", ["language", "none", "short"])):
+        by = trusted.groupBy(*keys).agg(high.alias(f"q_{name}"), F.count(F.lit(1)).alias(f"n_{name}"))
+        judged = judged.join(small_side(by), keys, "left")
+    apart = [shrunk(F.col(f"q_{name}"), F.col(f"n_{name}"), overall, min_trusted) for name in ("lang", "short")]
+    together = shrunk(F.col("q_cell"), F.col("n_cell"), apart[0] * apart[1] / overall, min_trusted)
+    judged = judged.withColumn("threshold", together * F.pow(F.lit(margin), F.col("short") + 1))
     return judged.select("doc_id", "lang", "n_bytes", "perplexity", "threshold",
-                         ((F.col("n_bytes") < min_bytes) | F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("kept"))
+                         ((F.col("n_bytes") == 0) | F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("kept"))

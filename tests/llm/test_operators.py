@@ -370,6 +370,22 @@ def test_perplexity_is_that_of_the_model(spark, docs, empty):
     assert judge_perplexity(empty, empty.select("doc_id")).collect() == []
 
 
+def test_perplexity_of_short_texts_and_small_languages(spark):
+    words = "the of and house tree river sky stone light water field night".split()
+    rnd = random.Random(4)
+    good = [(i, " ".join(rnd.choices(words, k=(80, 25, 15, 6)[i % 4])), "en") for i in range(160)]
+    odd = [(200 + i, " ".join(rnd.choices(["qzx", "jvkq", "wxyz", "zzq"], k=40)), "xx") for i in range(10)]
+    junk = [(300 + i, "".join(rnd.choices("#|<>$%&*0123456789", k=(150, 80, 40)[i % 3])), ("en", "xx", None, "yy")[i % 4]) for i in range(24)]
+    frame = spark.createDataFrame([*good, *odd, *junk, (400, "", "en"), (401, None, None)], "doc_id long, text string, lang string")
+    ids = frame.where("doc_id < 80 OR doc_id BETWEEN 200 AND 204").select("doc_id")
+    found = {r["doc_id"]: r for r in judge_perplexity(frame, ids).collect()}
+    assert len(found) == 196 and found[400]["kept"] and found[401]["kept"]
+    assert all(found[i]["kept"] for i, *_ in good) and not any(found[i]["kept"] for i, *_ in junk)
+    # One more trusted document moves the threshold of a language a little, and does not switch it.
+    few = [judge_perplexity(frame.where("doc_id >= 200 AND doc_id < 300 OR doc_id < 80"), ids, min_trusted=m).where("doc_id = 209").first()["threshold"] for m in (5, 6)]
+    assert few[0] == pytest.approx(few[1], rel=0.1)
+
+
 def test_perplexity_by_shards(docs, monkeypatch):
     import ragspark.llm.perplexity as perplexity
 
