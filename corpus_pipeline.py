@@ -7,8 +7,8 @@ mix       documents are dropped or repeated until the sources meet their target
 pack      texts become token sequences
 
 Every stage takes the documents its predecessor kept and returns them with the same columns; the last returns the packed pieces.
-doc_id is expected to name a document. Rows without one pass the first three stages as they are (quality rules apply to named rows); rows that share one
-are judged together.
+Every row is judged by itself, whatever its doc_id: a stage writes the rows with keys of their own, runs its operator on the keys and
+joins the results by them. Where the smallest doc_id decides, rows come in order of (doc_id, key), those without doc_id last.
 """
 
 from __future__ import annotations
@@ -16,39 +16,66 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragspark.functions.ranking import rank_rows
 from ragspark.llm.jaccard import jaccard_groups
 from ragspark.llm.mixing import mix_sources
 from ragspark.llm.packing import pack_documents
 from ragspark.llm.quality import judge_quality
 from ragspark.llm.queries import tokenizer_file
 from ragspark.llm.repeats import remove_repeats
-from ragspark.llm.tables import small_side, work_table
+from ragspark.llm.tables import settle, small_side, work_table
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(small_side(gone.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+KEY = "_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own; written, so that a key stays with its row."""
+    return work_table(docs.withColumn(KEY, F.monotonically_increasing_id()))
+
+
+def _as_ids(rows: DataFrame, key: str = KEY) -> DataFrame:
+    """The rows with their keys for doc_ids."""
+    return rows.drop("doc_id").withColumnRenamed(key, "doc_id")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows but those with the keys in `gone`."""
+    return rows.join(small_side(gone), KEY, "left_anti").drop(KEY)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, judge_quality(docs).where("NOT kept"))
+    rows = _keyed(docs)
+    gone = judge_quality(_as_ids(rows)).where("NOT kept")
+    return _without(rows, gone.select(F.col("doc_id").alias(KEY))).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, jaccard_groups(docs).where("component_id <> doc_id"))
+    rows = _keyed(docs)
+    groups = jaccard_groups(_as_ids(rows)).where("component_id <> doc_id OR n_links > 0").select(F.col("doc_id").alias(KEY), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY)
+    members = settle(rows.select("doc_id", KEY).join(small_side(groups), KEY).select("component_id", place.alias("place")))
+    first = members.groupBy("component_id").agg(F.min("place").alias("first"))
+    gone = members.join(small_side(first), "component_id").where(F.col(f"place.{KEY}") != F.col(f"first.{KEY}"))
+    return _without(rows, gone.select(f"place.{KEY}")).select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = _keyed(docs)
+    places = rank_rows(rows.select("doc_id", KEY), [], [F.col("doc_id").asc_nulls_last(), F.col(KEY).asc()], "_place")
+    placed = rows.join(small_side(places.select(KEY, "_place")), KEY).drop(KEY)
     cut = F.col("n_removed") > 0
     text = F.when(cut, F.col("kept_text")).otherwise(F.col("text"))
-    found = remove_repeats(docs).withColumn("text", text).withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")))
+    found = remove_repeats(_as_ids(placed.withColumn("_id", F.col("doc_id")), "_place"))
+    found = found.withColumn("text", text).withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")))
+    found = found.drop("doc_id").withColumnRenamed("_id", "doc_id")
     return found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that share a doc_id are each taken as often as the mean of them, rounded."""
-    copies = mix_sources(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.round(F.avg("copies")).cast("int").alias("_copies"))
-    copies = small_side(copies.where("_copies > 0"))
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = _keyed(docs)
+    copies = mix_sources(rows, row=KEY).where("copies > 0").select(KEY, F.col("copies").alias("_copies"))
+    taken = rows.join(small_side(copies), KEY)
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 

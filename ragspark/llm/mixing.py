@@ -55,16 +55,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repea
     return rows.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("reached") * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies for each row of (doc_id, text, source).
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: str = "mix",
+                row: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, copies for each row of (doc_id, text, source), and the column `row` if one is named.
 
     size counts the words; taken is size times copies, the times the mix takes the document (0 to `repeats`). Every source's
     taken words end within a document of its target, and all of them within a document of the budget, the words of all sources.
     Null and wordless texts have size 0 and are taken 0 times. A null source is a source. Rows repeated in full, and documents whose
-    shuffle hash is equal, come in order of doc_id and size; equal ones are interchangeable. Other columns are not
-    read. An empty table gives an empty result. The order depends on doc_id and `seed` alone, so runs agree.
+    shuffle hash is equal, come in order of doc_id and size and then of `row`, which should tell rows apart; without it, equal ones are interchangeable. Other columns
+    are not read. An empty table gives an empty result. The order depends on doc_id and `seed` alone, so runs agree.
     """
-    rows = settle(docs.select("doc_id", "source", word_count("text").alias("size"),
+    own = [row] if row else []
+    rows = settle(docs.select("doc_id", *own, "source", word_count("text").alias("size"),
                               F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("order")))
     n = rows.count()
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -75,7 +77,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats:
     digits = 1
     while 16 ** digits * BUCKET_ROWS < n:
         digits += 1
-    queued = running(keyed.withColumn("bucket", F.left("order", F.lit(digits))), ["key", "none"], "bucket", ["order", "doc_id", "size"], "size", "queued")
+    queued = running(keyed.withColumn("bucket", F.left("order", F.lit(digits))), ["key", "none"], "bucket", ["order", "doc_id", "size", *own], "size", "queued")
     queued = settle(queued.drop("bucket"))
     rounds = F.least(F.lit(repeats), F.floor(F.col("target") / F.col("source_size")) + 1).cast("int")
     entries = queued.where("size > 0 AND target > 0").withColumn("round", F.explode(F.sequence(F.lit(1), rounds)))
@@ -90,4 +92,4 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats:
     copies = sent.where(F.col("sent") <= budget).groupBy(*place).agg(F.count(F.lit(1)).alias("times"))
     times = F.coalesce("times", F.lit(0))
     return queued.join(copies, place, "left").select(
-        "doc_id", "source", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), times.cast("int").alias("copies"))
+        "doc_id", *own, "source", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), times.cast("int").alias("copies"))

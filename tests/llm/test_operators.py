@@ -439,3 +439,29 @@ def test_pipeline_stages(spark, tmp_path, rows):
     ran = corpus_pipeline.run(spark, str(tmp_path)).collect()
     key = lambda r: (r["doc_id"], r["start"], r["length"], hashlib.md5(r["ids"]).hexdigest())
     assert Counter(map(key, five)) == Counter(map(key, ran))
+
+
+def test_pipeline_reaches_rows_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(5)
+    words = [a + b for a in ("ta", "ke", "mi", "so", "ru") for b in ("lan", "der", "vis", "pot", "gem", "hul")]
+    say = lambda k=60: " ".join(rnd.choices(words, k=k))
+    clean, passage = [say() for _ in range(30)], say(30)
+    texts = [(i, t) for i, t in enumerate(clean)] + [(None, say()), (7, "too short"), (None, "too short"), (7, say())]
+    texts += [(None, clean[3]), (None, clean[3]), (4, clean[4]), (2, clean[5]), (500, say() + " " + passage), (None, say() + " " + passage)]
+    frame = spark.createDataFrame([(i, t, "en", "ab"[k % 2], len(t)) for k, (i, t) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    quality, near, repeat, mix, _ = (f for _, f in corpus_pipeline.STAGES)
+    one = quality(spark, frame, str(tmp_path)).cache()
+    assert Counter((r["doc_id"], r["text"]) for r in one.collect()) == Counter((i, t) for i, t in texts if t != "too short")
+    two = near(spark, one, str(tmp_path)).cache()
+    left = Counter((r["doc_id"], r["text"]) for r in two.collect())
+    assert left == Counter({(i, t) for i, t in texts if t != "too short"} - {(None, clean[3]), (5, clean[5])})
+    three = repeat(spark, two, str(tmp_path)).cache()
+    assert three.count() == two.count() and [r["doc_id"] for r in three.collect() if passage in r["text"]] == [500]
+    four = mix(spark, three, str(tmp_path)).collect()
+    sizes = Counter()
+    for r in four:
+        sizes[r["source"]] += len(r["text"].split())
+    targets = {r["source"]: r["target"] for r in mix_sources(three).select("source", "target").distinct().collect()}
+    assert all(abs(sizes[s] - t) <= 120 for s, t in targets.items()) and any(r["doc_id"] is None for r in four)
