@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ragspark.llm.innerproduct import topk_inner_product
 from ragspark.llm.jaccard import jaccard_groups
 from ragspark.llm.licenses import scan_licenses
+from ragspark.llm.manifest_sql import COLUMNS, manifest_sql
+from ragspark.llm.merkle import merkle_manifest
 from ragspark.llm.mixing import mix_sources
 from ragspark.llm.packing import pack_documents
 from ragspark.llm.perplexity import judge_perplexity
@@ -15,6 +17,7 @@ from ragspark.llm.quality import judge_quality
 from ragspark.llm.repeats import remove_repeats
 from ragspark.llm.sharding import shard_documents
 from ragspark.llm.urls import filter_urls
+from ragspark.llm.whitening import whiten
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -70,6 +73,20 @@ def op10_license_bands(spark: SparkSession, sf: str) -> DataFrame:
     return scan_licenses(table(spark, sf, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whiten(table(spark, sf, "embeddings"), components=32, scale=64, shift=1_000_000)
+
+
+def op12_merkle_witnesses(spark: SparkSession, sf: str) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    shown = [tampered if c == "text" else F.col(c) for c in COLUMNS]
+    rows = merkle_manifest(table(spark, sf, "documents"), COLUMNS, "source", "doc_id", shown)
+    as_hex = [F.lower(F.hex(c)).alias(name) for c, name in (
+        ("leaf", "leaf"), ("subroot", "subroot"), ("root", "root"), ("proof", "proof_sha256"), ("folded", "folded_root"))]
+    return rows.select("doc_id", *as_hex, "verified")
+
+
 QUERIES = {
     "op1_karmarkar_karp": op1_karmarkar_karp,
     "op2_js_divergence": op2_js_divergence,
@@ -81,6 +98,8 @@ QUERIES = {
     "op8_fair_queueing": op8_fair_queueing,
     "op9_norm_sorted_topk": op9_norm_sorted_topk,
     "op10_license_bands": op10_license_bands,
+    "op11_whitening": op11_whitening,
+    "op12_merkle_witnesses": op12_merkle_witnesses,
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -135,4 +154,5 @@ ORACLES = {
     "op7_block_anchors": _REPEATS,
     "op8_fair_queueing": _MIX,
     "op9_norm_sorted_topk": _TOPK,
+    "op12_merkle_witnesses": manifest_sql(),
 }
