@@ -16,6 +16,7 @@ from ragspark.llm.perplexity import judge_perplexity
 from ragspark.llm.quality import judge_quality
 from ragspark.llm.repeats import remove_repeats
 from ragspark.llm.sharding import shard_documents
+from ragspark.llm.toxicity import score_toxicity
 from ragspark.llm.urls import filter_urls
 from ragspark.llm.whitening import whiten
 
@@ -87,6 +88,12 @@ def op12_merkle_witnesses(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", *as_hex, "verified")
 
 
+def op13_tfidf_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    scored = score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels").where(remainder != 0))
+    return scored.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
+
+
 QUERIES = {
     "op1_karmarkar_karp": op1_karmarkar_karp,
     "op2_js_divergence": op2_js_divergence,
@@ -100,6 +107,7 @@ QUERIES = {
     "op10_license_bands": op10_license_bands,
     "op11_whitening": op11_whitening,
     "op12_merkle_witnesses": op12_merkle_witnesses,
+    "op13_tfidf_neighbours": op13_tfidf_neighbours,
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
