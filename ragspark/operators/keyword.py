@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragspark.functions.containment import term_hits
@@ -22,9 +22,122 @@ def query_keywords(queries: DataFrame, text: str = "question", stopwords: Sequen
     return queries.withColumn("keywords", extract_keywords(F.col(text), stopwords))
 
 
+def _sides(queries: DataFrame, docs: DataFrame, text: str, content: str, doc_keywords: str | None, stopwords: Sequence[str],
+           side: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Questions (query_id, keywords, needles with their points, named document keywords, n_kw) and documents (doc_id, found needles, own).
+
+    Containment is tested with the lower-cased keyword; the reported keyword keeps its case.
+    """
+    words = queries.select("query_id", *side, F.lower(text).alias("_q"), extract_keywords(F.col(text), stopwords).alias("kws"))
+    lowered = F.transform("kws", lambda w: F.lower(w))
+    points = F.transform(F.array_distinct(lowered), lambda n: F.struct(n.alias("needle"), F.size(F.filter(lowered, lambda w: w == n)).cast("long").alias("points")))
+    words = words.withColumn("needles", points).withColumn("n_kw", F.size("kws").cast("long"))
+    needles = words.select(F.explode("needles.needle").alias("needle")).distinct()
+    found = term_hits(docs.select("doc_id", F.lower(content).alias("_c")), "doc_id", "_c", needles, "needle")
+    if doc_keywords:
+        own = F.coalesce(F.col(doc_keywords), F.array().cast("array<string>")).alias("own")
+        found = found.join(docs.select("doc_id", *side, own), "doc_id")
+        vocabulary = docs.select(F.explode(doc_keywords).alias("kw")).select(F.lower("kw").alias("needle"))
+        named = term_hits(words, "query_id", "_q", vocabulary, "needle").withColumnRenamed("terms", "named")
+        words = words.join(named, "query_id")
+    else:
+        found = found.join(docs.select("doc_id", *side), "doc_id") if side else found
+        found = found.withColumn("own", F.array().cast("array<string>"))
+        words = words.withColumn("named", F.array().cast("array<string>"))
+    return words.drop("_q"), found.select("doc_id", *side, "terms", "own")
+
+
+def _similarity(points: Column) -> Column:
+    return F.round(F.least(points / F.greatest("n_kw", F.lit(1)) * FACTOR, F.lit(1.0)), DECIMALS)
+
+
+def _pair_rows(pairs: DataFrame, questions: DataFrame, hits: DataFrame, with_matches: bool) -> DataFrame:
+    """match_count, similarity (and matched_keywords) of given (query_id, doc_id) pairs, zeros included."""
+    met = hits.join(broadcast_if_small(pairs.select("query_id", "doc_id")), "doc_id").join(broadcast_if_small(questions.drop("scope")), "query_id")
+    seen = F.filter("needles", lambda n: F.array_contains("terms", n["needle"]))
+    mine = F.filter("own", lambda w: F.array_contains("named", F.lower(w)))
+    count = F.aggregate(seen, F.lit(0).cast("long"), lambda total, n: total + n["points"]) + DOC_KEYWORD_WEIGHT * F.size(mine)
+    rows = met.withColumn("match_count", count.cast("long")).withColumn("similarity", _similarity(F.col("match_count")))
+    kept = ["query_id", "doc_id", "match_count", "similarity"]
+    if with_matches:
+        spoken = F.filter("kws", lambda w: F.array_contains("terms", F.lower(w)))
+        rows = rows.withColumn("matched_keywords", F.array_sort(F.array_distinct(F.concat(spoken, mine))))
+        kept.append("matched_keywords")
+    return rows.select(*kept)
+
+
+def _legs(questions: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Question words with the number of documents that hold them, and with `tail`, the points of the word and all commoner ones
+    of its question; and the document keywords a question names with the number of documents that have them as own."""
+    held = hits.select(F.explode("terms").alias("needle")).groupBy("needle").agg(F.count(F.lit(1)).alias("df"))
+    words = questions.select("query_id", F.explode("needles").alias("n")).select("query_id", "n.needle", "n.points").join(broadcast_if_small(settled(held)), "needle")
+    commoner = Window.partitionBy("query_id").orderBy(F.desc("df"), F.desc("needle")).rowsBetween(Window.unboundedPreceding, 0)
+    words = words.withColumn("tail", F.sum("points").over(commoner))
+    owned = hits.select(F.explode(F.array_distinct(F.transform("own", lambda w: F.lower(w)))).alias("needle")).groupBy("needle").agg(F.count(F.lit(1)).alias("df"))
+    named = questions.select("query_id", F.explode("named").alias("needle")).join(broadcast_if_small(settled(owned)), "needle")
+    return settled(words), settled(named)
+
+
+def _pairs(legs: DataFrame, questions: DataFrame, hits: DataFrame, side: list[str]) -> DataFrame:
+    """Distinct (query_id, doc_id) that share a leg (query_id, leg, needle): 0 a word of the question in the text, 1 a keyword of the document's own."""
+    asked = legs.join(questions.select("query_id", *side), "query_id") if side else legs
+    in_text = F.transform("terms", lambda t: F.struct(F.lit(0).alias("leg"), t.alias("needle")))
+    in_own = F.transform(F.array_distinct(F.transform("own", lambda w: F.lower(w))), lambda w: F.struct(F.lit(1).alias("leg"), w.alias("needle")))
+    rows = hits.select("doc_id", *side, F.explode(F.concat(in_text, in_own)).alias("m")).select("doc_id", *side, "m.leg", "m.needle")
+    return settled(rows.join(broadcast_if_small(asked), ["leg", "needle", *side]).select("query_id", "doc_id").distinct())
+
+
+def _reaching(least: DataFrame, words: DataFrame, named: DataFrame, questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """Legs that every pair with `least` (query_id, least similarity) or more has at least one of.
+
+    A pair needs `need` points. Words whose points sum to less, the commonest ones, cannot reach it alone, so a pair without own keywords
+    has one of the others. Own keywords give at most twice the longest own list: either the named keywords are legs too, or
+    that much less is asked of the words; whichever makes fewer rows.
+    """
+    most_own = DOC_KEYWORD_WEIGHT * (hits.agg(F.max(F.size("own"))).first()[0] or 0)
+    need = F.greatest(F.lit(1), F.ceil((F.col("least") - 1e-6) * F.greatest("n_kw", F.lit(1)) / FACTOR - 1e-6))
+    asked = questions.select("query_id", "n_kw", F.size("named").alias("_named")).join(broadcast_if_small(least), "query_id")
+    asked = asked.withColumn("need", need.cast("long")).withColumn(
+        "need_less", F.col("need") - F.when(F.col("_named") > 0, most_own).otherwise(0))
+    asked = settled(asked.select("query_id", "need", "need_less"))
+    ranked = words.join(broadcast_if_small(asked), "query_id")
+    text_cost = ranked.groupBy("query_id").agg(
+        F.sum(F.when(F.col("tail") >= F.col("need"), F.col("df")).otherwise(0)).alias("_with"),
+        F.sum(F.when(F.col("tail") >= F.col("need_less"), F.col("df")).otherwise(0)).alias("_without"))
+    own_cost = named.groupBy("query_id").agg(F.sum("df").alias("_own"))
+    both = F.coalesce("_with", F.lit(0)) + F.coalesce("_own", F.lit(0))
+    by_text = (F.col("need_less") >= 1) & (F.coalesce("_without", F.lit(0)) <= both)
+    chosen = asked.join(broadcast_if_small(settled(text_cost)), "query_id", "left").join(broadcast_if_small(settled(own_cost)), "query_id", "left")
+    chosen = settled(chosen.select("query_id", F.when(by_text, F.col("need_less")).otherwise(F.col("need")).alias("need"), by_text.alias("by_text")))
+    in_text = words.join(broadcast_if_small(chosen), "query_id").where(F.col("tail") >= F.col("need")).select("query_id", F.lit(0).alias("leg"), "needle")
+    in_own = named.join(broadcast_if_small(chosen.where("NOT by_text")), "query_id").select("query_id", F.lit(1).alias("leg"), "needle")
+    return settled(in_text.unionByName(in_own))
+
+
+def _bounded_search(questions: DataFrame, hits: DataFrame, side: list[str], floor: float | None, k: int | None, with_matches: bool) -> DataFrame:
+    """Pairs at or above the floor, or the k best, without a row for every pair that shares a word.
+
+    For the k best, the documents of each question's rarest words are counted first; their k-th similarity is the floor.
+    """
+    hits, questions = settled(hits), settled(questions)
+    words, named = _legs(questions, hits)
+    least = questions.select("query_id", F.lit(floor if floor is not None else 0.0).alias("least"))
+    if k is not None:
+        rarest = Window.partitionBy("query_id").orderBy("df", "needle").rowsBetween(Window.unboundedPreceding, -1)
+        first = words.withColumn("_seen", F.coalesce(F.sum("df").over(rarest), F.lit(0))).where(F.col("_seen") < 4 * k)
+        sample = _pairs(first.select("query_id", F.lit(0).alias("leg"), "needle"), questions, hits, side)
+        best = top_k(_pair_rows(sample, questions, hits, False), ["query_id"], [F.desc("similarity"), F.asc("doc_id")], k)
+        low = best.groupBy("query_id").agg(F.min("similarity").alias("_low"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == k)
+        least = least.join(broadcast_if_small(settled(low)), "query_id", "left").select("query_id", F.greatest("least", F.coalesce("_low", F.lit(0.0))).alias("least"))
+    least = settled(least)
+    found = _pair_rows(_pairs(_reaching(least, words, named, questions, hits), questions, hits, side), questions, hits, with_matches)
+    found = found.where("match_count > 0")
+    return found if floor is None else found.where(F.col("similarity") >= floor)
+
+
 def keyword_search(queries: DataFrame, docs: DataFrame, text: str = "question", content: str = "content",
                    doc_keywords: str | None = "keywords", stopwords: Sequence[str] = STOPWORDS,
-                   k: int | None = None, with_matches: bool = True, scope: str | None = None) -> DataFrame:
+                   k: int | None = None, with_matches: bool = True, scope: str | None = None, floor: float | None = None) -> DataFrame:
     """(query_id, doc_id, match_count, similarity, retrieval_type[, matched_keywords][, rank]).
 
     A question keyword found in the lower-cased content counts once per occurrence in the question; a
@@ -33,75 +146,42 @@ def keyword_search(queries: DataFrame, docs: DataFrame, text: str = "question",
 
     With `scope`, a column of both inputs, a question only meets documents of its own scope value.
 
-    Each document is scanned once. Its matches are placed by doc_id, so summing per (question, document)
-    needs no further shuffle, and with `k` only k rows per question leave a task.
+    Each document is scanned once. With `floor` only hits of that similarity, with `k` only the k best per question are made: pairs
+    come from words rare enough that no hit can do without all of them. Without either, the result is every pair that shares a word.
     """
-    kept = ["query_id"] + ([scope] if scope else [])
-    words = queries.select(*kept, F.lower(text).alias("_q"), extract_keywords(F.col(text), stopwords).alias("_kw"))
-    sizes = words.select("query_id", F.size("_kw").cast("long").alias("n_kw"))
-    exploded = words.select(*kept, F.explode("_kw").alias("keyword"))
-    asked = exploded.groupBy(*kept, "keyword").agg(F.count(F.lit(1)).alias("times"))
-    # Containment is tested with the lower-cased keyword; the reported keyword keeps its case.
-    needles = asked.select(F.lower("keyword").alias("needle")).distinct()
-    content_hits = term_hits(
-        docs.select("doc_id", F.lower(content).alias("_c")), "doc_id", "_c", needles, "needle"
-    )
     side = [scope] if scope else []
-    legs = asked.select("query_id", *side, F.lit(0).alias("leg"), F.lower("keyword").alias("needle"), "keyword",
-                        F.col("times").alias("points"))
-    if doc_keywords:
-        own = docs.select("doc_id", *side, F.col(doc_keywords).alias("_own"))
-        vocabulary = own.select(F.explode("_own").alias("kw")).distinct()
-        named = term_hits(words, "query_id", "_q", vocabulary.select(F.lower("kw").alias("needle")), "needle")
-        legs = legs.unionByName(
-            named.join(words.select(*kept), "query_id").select(
-                "query_id", *side, F.lit(1).alias("leg"), F.explode("terms").alias("needle")
-            ).withColumn("keyword", F.lit(None).cast("string")).withColumn(
-                "points", F.lit(DOC_KEYWORD_WEIGHT).cast("long"))
-        )
-        found = content_hits.join(own, "doc_id", "left")
-        owned = F.transform(
-            F.coalesce("_own", F.array().cast("array<string>")),
-            lambda w: F.struct(F.lit(1).alias("leg"), F.lower(w).alias("needle"), w.alias("own")),
-        )
-    else:
-        found = content_hits.join(docs.select("doc_id", *side), "doc_id") if scope else content_hits
-        owned = None
-    seen = F.transform(
-        "terms", lambda t: F.struct(F.lit(0).alias("leg"), t.alias("needle"), F.lit(None).cast("string").alias("own"))
-    )
-    matches = F.concat(seen, owned) if owned is not None else seen
-    rows = (
-        found.repartition("doc_id")
-        .select("doc_id", *side, F.explode(matches).alias("m"))
-        .select("doc_id", *side, "m.leg", "m.needle", "m.own")
-    )
-    legs = F.broadcast(legs) if fits(legs) else legs
-    joined = rows.join(legs, ["leg", "needle", *side])
+    questions, hits = _sides(queries, docs, text, content, doc_keywords, stopwords, side)
+    if k is not None or floor is not None:
+        found = _bounded_search(questions, hits, side, floor, k, with_matches).withColumn("retrieval_type", F.lit("keyword"))
+        return found if k is None else top_k(found, ["query_id"], [F.desc("similarity"), F.asc("doc_id")], k)
+    questions = settled(questions)
+    legs = questions.select("query_id", *side, F.lit(0).alias("leg"), F.explode("needles").alias("n")).select("query_id", *side, "leg", "n.needle", "n.points")
+    named = questions.select("query_id", *side, F.lit(1).alias("leg"), F.explode("named").alias("needle"), F.lit(DOC_KEYWORD_WEIGHT).cast("long").alias("points"))
+    seen = F.transform("terms", lambda t: F.struct(F.lit(0).alias("leg"), t.alias("needle"), F.lit(None).cast("string").alias("own")))
+    owned = F.transform("own", lambda w: F.struct(F.lit(1).alias("leg"), F.lower(w).alias("needle"), w.alias("own")))
+    rows = hits.repartition("doc_id").select("doc_id", *side, F.explode(F.concat(seen, owned)).alias("m")).select("doc_id", *side, "m.leg", "m.needle", "m.own")
+    legs = legs.unionByName(named)
+    joined = rows.join(F.broadcast(legs) if fits(legs) else legs, ["leg", "needle", *side])
+    sizes = questions.select("query_id", "n_kw", *(["kws"] if with_matches else []))
     measures = [F.sum("points").alias("match_count")]
-    matched = F.sort_array(F.collect_set(F.coalesce("keyword", "own"))).alias("matched_keywords")
-    if with_matches and k is None:
-        measures.append(matched)
-    scored = (
-        joined.groupBy("query_id", "doc_id")
-        .agg(*measures)
-        .join(F.broadcast(sizes) if fits(sizes) else sizes, "query_id")
-        .withColumn(
-            "similarity",
-            F.round(F.least(F.col("match_count") / F.greatest("n_kw", F.lit(1)) * FACTOR, F.lit(1.0)), DECIMALS),
-        )
-        .withColumn("retrieval_type", F.lit("keyword"))
-        .drop("n_kw")
-    )
-    if k is None:
-        return scored
-    best = top_k(scored, ["query_id"], [F.desc("similarity"), F.asc("doc_id")], k)
+    if with_matches:
+        measures += [F.collect_set(F.when(F.col("leg") == 0, F.col("needle"))).alias("_seen"), F.collect_set("own").alias("_own")]
+    scored = joined.groupBy("query_id", "doc_id").agg(*measures).join(F.broadcast(sizes) if fits(sizes) else sizes, "query_id")
+    scored = scored.withColumn("similarity", _similarity(F.col("match_count"))).withColumn("retrieval_type", F.lit("keyword"))
     if not with_matches:
-        return best
-    # Keywords are listed for the k kept rows only.
-    best = settled(best)
-    listed = joined.join(broadcast_if_small(best.select("query_id", "doc_id")), ["query_id", "doc_id"], "left_semi")
-    return best.join(listed.groupBy("query_id", "doc_id").agg(matched), ["query_id", "doc_id"])
+        return scored.select("query_id", "doc_id", "match_count", "similarity", "retrieval_type")
+    spoken = F.filter("kws", lambda w: F.array_contains("_seen", F.lower(w)))
+    matched = F.array_sort(F.array_distinct(F.concat(spoken, "_own"))).alias("matched_keywords")
+    return scored.select("query_id", "doc_id", "match_count", matched, "similarity", "retrieval_type")
+
+
+def keyword_pairs(pairs: DataFrame, queries: DataFrame, docs: DataFrame, text: str = "question", content: str = "content",
+                  doc_keywords: str | None = "keywords", stopwords: Sequence[str] = STOPWORDS) -> DataFrame:
+    """(query_id, doc_id, match_count, similarity) of given pairs, zeros included; nothing else is counted."""
+    wanted = settled(pairs.select("query_id", "doc_id").distinct())
+    held = docs.join(broadcast_if_small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+    questions, hits = _sides(queries, held, text, content, doc_keywords, stopwords, [])
+    return _pair_rows(wanted, questions, hits, False)
 
 
 def substring_search(docs: DataFrame, terms: DataFrame, content: str = "content", n: int = 5) -> DataFrame:

@@ -28,16 +28,18 @@ EPSILON = 0.25
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """The three tables of an index.
+    """The tables of an index.
 
     postings (doc_id, doc_len, term, tf): a document without tokens has one row with a null term.
     doc_len (doc_id, doc_len): one row per document.
     term_stats (term, df, raw_idf, idf).
+    caps (term, len_class, max_tf, min_len): what bounds a term's contribution to documents of a class of lengths.
     """
 
     postings: DataFrame
     doc_len: DataFrame
     term_stats: DataFrame
+    caps: DataFrame
 
     def save(self, path: str, buckets: int | None = None) -> Bm25Index:
         """Store the index below `path` and return it as read back.
@@ -50,33 +52,34 @@ class Bm25Index:
         postings = _store_bucketed(self.postings, f"{path}/postings", buckets)
         doc_len = _store_bucketed(_lengths(postings), f"{path}/doc_len", buckets)
         stats = term_statistics(postings, doc_len)
-        stats.write.mode("overwrite").parquet(f"{path}/term_stats")
-        return Bm25Index(postings, doc_len, spark.read.parquet(f"{path}/term_stats"))
+        for part, rows in (("term_stats", stats), ("caps", term_caps(postings)), ("layout", spark.range(1).select(F.lit(buckets).alias("buckets")))):
+            rows.write.mode("overwrite").parquet(f"{path}/{part}")
+        return Bm25Index(postings, doc_len, spark.read.parquet(f"{path}/term_stats"), spark.read.parquet(f"{path}/caps"))
 
     @staticmethod
     def load(spark: SparkSession, path: str, buckets: int | None = None) -> Bm25Index:
-        """A stored index in a new session; with its bucket count, its placement by doc_id is known again."""
-        def read(part: str) -> DataFrame:
-            plain = spark.read.parquet(f"{path}/{part}")
-            if buckets is None:
-                return plain
-            name = _table_name(f"{path}/{part}")
-            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
-                      f"CLUSTERED BY (doc_id) INTO {int(buckets)} BUCKETS LOCATION '{path}/{part}'")
-            return spark.table(name)
+        """A stored index in a new session; the bucket count stored with it, if none is given, makes its placement by doc_id known again."""
+        buckets = buckets or spark.read.parquet(f"{path}/layout").first()["buckets"]
+        postings, doc_len = (read_bucketed(spark, f"{path}/{part}", buckets) for part in ("postings", "doc_len"))
+        return Bm25Index(postings, doc_len, spark.read.parquet(f"{path}/term_stats"), spark.read.parquet(f"{path}/caps"))
 
-        return Bm25Index(read("postings"), read("doc_len"), spark.read.parquet(f"{path}/term_stats"))
+
+def read_bucketed(spark: SparkSession, path: str, buckets: int, key: str = "doc_id") -> DataFrame:
+    """Files written in buckets of `key`, as a table that knows it."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {_table_name(path)} ({columns}) USING parquet "
+              f"CLUSTERED BY ({key}) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    return spark.table(_table_name(path))
 
 
 def _table_name(path: str) -> str:
     return "ragspark_" + hashlib.md5(path.encode()).hexdigest()
 
 
-def _store_bucketed(df: DataFrame, path: str, buckets: int) -> DataFrame:
+def _store_bucketed(df: DataFrame, path: str, buckets: int, key: str = "doc_id") -> DataFrame:
     name = _table_name(path)
     df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
-    df.write.mode("overwrite").option("path", path).bucketBy(buckets, "doc_id").saveAsTable(name)
+    df.write.mode("overwrite").option("path", path).bucketBy(buckets, key).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
@@ -127,7 +130,18 @@ def bm25_index(docs: DataFrame, text: str = "content", mode: str = "mixed") -> B
 
 def index_of_postings(postings: DataFrame) -> Bm25Index:
     doc_len = _lengths(postings)
-    return Bm25Index(postings, doc_len, term_statistics(postings, doc_len))
+    return Bm25Index(postings, doc_len, term_statistics(postings, doc_len), term_caps(postings))
+
+
+def len_class(doc_len: Column | str) -> Column:
+    """Documents of like lengths share a class; lengths of a class differ by under a fifth."""
+    return F.floor(F.log2(F.col(doc_len) + 1 if isinstance(doc_len, str) else doc_len + 1) * 4).cast("int")
+
+
+def term_caps(postings: DataFrame) -> DataFrame:
+    """Per term and length class the most occurrences in a document and the least length: no contribution there exceeds theirs together."""
+    held = postings.where(F.col("term").isNotNull()).withColumn("len_class", len_class("doc_len"))
+    return held.groupBy("term", "len_class").agg(F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"))
 
 
 def raw_idf(n: Column, df: Column) -> Column:
@@ -164,10 +178,9 @@ def term_weights(queries: DataFrame, index: Bm25Index, text: str = "question", m
     return F.broadcast(weights) if small else weights
 
 
-def _part(index: Bm25Index) -> Column:
+def _part(index: Bm25Index, tf: str = "tf", doc_len: str = "doc_len") -> Column:
     avg_len = index.doc_len.agg(F.avg("doc_len")).scalar()
-    tf = F.col("tf")
-    return F.col("weight") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("doc_len") / avg_len))
+    return F.col("weight") * (F.col(tf) * (K1 + 1)) / (F.col(tf) + K1 * (1 - B + B * F.col(doc_len) / avg_len))
 
 
 def _summed(postings: DataFrame, weights: DataFrame, index: Bm25Index, on: list[str], decimals: int | None = DECIMALS) -> DataFrame:
@@ -178,12 +191,13 @@ def _summed(postings: DataFrame, weights: DataFrame, index: Bm25Index, on: list[
 
 def bm25_candidates(queries: DataFrame, index: Bm25Index, k: int, text: str = "question", mode: str = "mixed",
                     prune_above: int = PRUNE_ABOVE) -> DataFrame:
-    """(query_id, doc_id, score): matches that include the k best of every query, without scoring every pair that shares a common word.
+    """(query_id, doc_id, score): matches that include the k best of every query, without a row for every pair that shares a common word.
 
-    A term adds less than (K1 + 1) * weight. The rarest terms of a query are scored first, and their k-th best sum is a
-    lower bound of the k-th best score. The terms of least weight whose bounds sum to less than it cannot lift a document into the k best
-    by themselves: they are added only to documents that hold another term. Up to `prune_above` expected (term, query, document) rows
-    the single pass over all pairs is cheaper and gives the same k best.
+    The rarest terms of a query are scored first; their k-th best sum is a lower bound of the k-th best score. The index bounds what a term
+    adds to documents of a class of lengths. Where the terms of least bound sum to less than the k-th score in a class, they cannot lift a
+    document of that class into the k best by themselves: only the other terms make pairs there, none if there are none. Of those pairs,
+    the ones that the light terms can still lift are looked up by document. Up to `prune_above` expected
+    (term, query, document) rows the single pass over all pairs is cheaper and gives the same k best.
     """
     weights = settled(term_weights(queries, index, text, mode))
     load = weights.agg(F.sum("df").alias("rows"), F.min("weight").alias("least")).first()
@@ -193,19 +207,31 @@ def bm25_candidates(queries: DataFrame, index: Bm25Index, k: int, text: str = "q
     rarest = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     first = weights.withColumn("_seen", F.coalesce(F.sum("df").over(rarest), F.lit(0))).where(F.col("_seen") < 4 * k).drop("_seen")
     sums = top_k(_summed(index.postings, broadcast_if_small(first), index, ["term"]), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
-    bound = sums.groupBy("query_id").agg(F.min("score").alias("_low"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == k)
-    lightest = Window.partitionBy("query_id").orderBy("weight", "term").rowsBetween(Window.unboundedPreceding, 0)
-    reach = F.sum(F.col("weight") * (K1 + 1)).over(lightest)
-    light = F.coalesce(F.col("_reach") < F.col("_low") - 2 * 10.0**-DECIMALS, F.lit(False))
-    split = settled(weights.withColumn("_reach", reach).join(broadcast_if_small(bound), "query_id", "left").select(
-        "query_id", "term", "weight", light.alias("_light")))
-    heavy, light = [broadcast_if_small(split.where(c).drop("_light")) for c in ("NOT _light", "_light")]
-    found = _summed(index.postings, heavy, index, ["term"], None)
-    # Both sides lie by document, so the light terms meet the found pairs without a shuffle of either.
-    more = index.postings.join(light, "term").select("query_id", "doc_id", _part(index).alias("_more"))
-    lifted = found.join(more, ["doc_id", "query_id"], "left").groupBy("query_id", "doc_id").agg(
-        F.round(F.first("score") + F.coalesce(F.sum("_more"), F.lit(0.0)), DECIMALS).alias("score"))
-    return lifted
+    low = sums.groupBy("query_id").agg((F.min("score") - 2 * 10.0**-DECIMALS).alias("low"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == k)
+    split = settled(_light_and_heavy(weights.drop("df"), low.drop("_n"), index))
+    heavy, light = [broadcast_if_small(split.where(c).drop("light", "low", "rest")) for c in ("NOT light", "light")]
+    spare = split.groupBy("query_id", "len_class").agg(F.first("low").alias("low"), F.first("rest").alias("rest"))
+    postings = index.postings.withColumn("len_class", len_class("doc_len"))
+    found = postings.join(heavy, ["term", "len_class"]).groupBy("query_id", "doc_id", "len_class").agg(F.sum(_part(index)).alias("score"))
+    found = found.join(broadcast_if_small(spare), ["query_id", "len_class"]).where(F.col("low").isNull() | (F.col("score") + F.col("rest") >= F.col("low")))
+    wanted = found.join(light.select("query_id", "len_class", F.col("term").alias("_term"), "weight"), ["query_id", "len_class"], "left")
+    # Both sides lie by doc_id. The terms are compared without being join keys, so that this placement serves and neither side is shuffled.
+    some = index.postings.join(broadcast_if_small(split.where("light").select("term").distinct()), "term", "left_semi")
+    some = some.select(F.col("doc_id").alias("_doc"), "term", "tf", "doc_len")
+    same = (F.col("doc_id") == F.col("_doc")) & F.nullif(F.col("_term"), F.col("term")).isNull() & F.col("_term").isNotNull()
+    return wanted.join(some, same, "left").groupBy("query_id", "doc_id").agg(
+        F.round(F.first("score") + F.coalesce(F.sum(_part(index)), F.lit(0.0)), DECIMALS).alias("score"))
+
+
+def _light_and_heavy(weights: DataFrame, low: DataFrame, index: Bm25Index) -> DataFrame:
+    """(query_id, len_class, term, weight, light, low, rest): the light terms of a class sum to less than `low`, and at most to `rest`."""
+    capped = index.caps.join(broadcast_if_small(weights), "term").withColumn("cap", _part(index, "max_tf", "min_len"))
+    capped = capped.join(broadcast_if_small(settled(low)), "query_id", "left")
+    lightest = Window.partitionBy("query_id", "len_class").orderBy("cap", "term").rowsBetween(Window.unboundedPreceding, 0)
+    light = F.coalesce(F.sum("cap").over(lightest) < F.col("low"), F.lit(False))
+    whole = Window.partitionBy("query_id", "len_class")
+    return capped.withColumn("light", light).withColumn("rest", F.sum(F.when(F.col("light"), F.col("cap")).otherwise(0.0)).over(whole)).select(
+        "query_id", "len_class", "term", "weight", "light", "low", "rest")
 
 
 def bm25_topk(queries: DataFrame, index: Bm25Index, k: int = 5, text: str = "question", mode: str = "mixed",
@@ -290,6 +316,6 @@ def bm25_filtered(queries: DataFrame, index: Bm25Index, allowed: DataFrame, k: i
         raise ValueError(f"unknown stage {stage!r}")
     ids = allowed.select("doc_id").distinct()
     kept = index.postings.join(ids, "doc_id", "left_semi")
-    scores = bm25_matches(queries, Bm25Index(kept, index.doc_len, index.term_stats), text, mode)
+    scores = bm25_matches(queries, Bm25Index(kept, index.doc_len, index.term_stats, index.caps), text, mode)
     return top_k(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], k).select(
         "query_id", "doc_id", "score", F.col("rank").cast("long"))

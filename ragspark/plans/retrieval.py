@@ -14,8 +14,8 @@ from ragspark.functions.vectors import cosine, norm
 from ragspark.lexicons import STOPWORDS, SYNONYMS
 from ragspark.operators.dense import dense_topk, semantic_search
 from ragspark.operators.filters import filter_hits_or_all, min_similarity
-from ragspark.operators.fusion import RRF_K, blend, rrf
-from ragspark.operators.keyword import keyword_search
+from ragspark.operators.fusion import KEYWORD_WEIGHT, RRF_K, SEMANTIC_WEIGHT, blend, rrf
+from ragspark.operators.keyword import keyword_pairs, keyword_search
 from ragspark.operators.lexical import Bm25Index, bm25_topk
 from ragspark.operators.rerank import coverage_scores, rerank
 from ragspark.operators.rewrite import query_variants
@@ -34,9 +34,13 @@ def retrieve(queries: DataFrame, docs: DataFrame, k: int = TOP_K, threshold: flo
     The dense arm never scores all pairs for the merge: documents it alone finds need the floor
     themselves, and those the keyword arm found are scored as given pairs.
     """
-    hits = keyword_search(queries, docs, doc_keywords=doc_keywords, stopwords=stopwords, with_matches=False)
-    if query_vectors is not None and doc_vectors is not None:
-        hits = _merge_dense(hits, query_vectors, doc_vectors, threshold)
+    options = {"doc_keywords": doc_keywords, "stopwords": stopwords}
+    if query_vectors is None or doc_vectors is None:
+        hits = keyword_search(queries, docs, with_matches=False, floor=threshold, **options)
+    elif threshold > KEYWORD_WEIGHT:
+        hits = _merge_above(queries, docs, query_vectors, doc_vectors, threshold, options)
+    else:
+        hits = _merge_dense(keyword_search(queries, docs, with_matches=False, **options), query_vectors, doc_vectors, threshold)
     hits = min_similarity(hits, threshold)
     if type_filter is not None:
         hits = filter_hits_or_all(hits, queries, docs, type_filter, kind)
@@ -57,6 +61,24 @@ def hit_similarity(hits: DataFrame, query_vectors: DataFrame, doc_vectors: DataF
     )
 
 
+def _merge_above(queries: DataFrame, docs: DataFrame, query_vectors: DataFrame, doc_vectors: DataFrame, floor: float, options: dict) -> DataFrame:
+    """The merge for a floor above the keyword weight, where no keyword score alone lifts a pair that has a similarity to it.
+
+    A blended pair then needs a similarity of its own: pairs come from the dense search at that lower floor, their keywords are
+    counted as given pairs, and keyword hits without a similarity need the floor themselves.
+    """
+    own = (floor - KEYWORD_WEIGHT) / SEMANTIC_WEIGHT - 10.0**-DECIMALS
+    near = settled(semantic_search(query_vectors, doc_vectors, min_similarity=own).select("query_id", "doc_id", F.col("similarity").alias("_s")))
+    counted = near.join(keyword_pairs(near, queries, docs, **options).where("match_count > 0").select(
+        "query_id", "doc_id", F.col("similarity").alias("_k")), ["query_id", "doc_id"], "left")
+    found = F.col("_k").isNotNull()
+    both = counted.select("query_id", "doc_id", F.when(found, blend(F.col("_k"), F.col("_s"))).otherwise(F.col("_s")).alias("similarity"),
+                          F.when(found, "hybrid").otherwise("semantic").alias("retrieval_type"))
+    alone = keyword_search(queries, docs, with_matches=False, floor=floor, **options).select("query_id", "doc_id", "similarity")
+    alone = hit_similarity(alone, query_vectors, doc_vectors, "_s").where("_s IS NULL")
+    return both.unionByName(alone.select("query_id", "doc_id", "similarity", F.lit("keyword").alias("retrieval_type")))
+
+
 def _merge_dense(hits: DataFrame, query_vectors: DataFrame, doc_vectors: DataFrame, floor: float) -> DataFrame:
     """Keyword hits blended with their own similarity, and documents near the question that no keyword found.
 
@@ -85,8 +107,7 @@ def routed_retrieve(routes: DataFrame, docs: DataFrame, k: int = TOP_K, threshol
     keyed = routes.select("query_id", "question", F.explode("required_experts").alias("category")).withColumn(
         "type_filter", F.regexp_replace("category", "_expert$", ""))
     # A question's score does not depend on its category, so it is searched once and filtered per category.
-    hits = keyword_search(routes.select("query_id", "question"), docs, with_matches=False, **options)
-    hits = min_similarity(hits, threshold)
+    hits = keyword_search(routes.select("query_id", "question"), docs, with_matches=False, floor=threshold, **options)
     pair = F.concat_ws("\u0000", F.col("query_id").cast("string"), "category")
     wanted = keyed.select(F.col("query_id").alias("_qid"), pair.alias("query_id"), "category", "type_filter")
     spread = hits.join(broadcast_if_small(wanted.select(F.col("_qid").alias("query_id"), F.col("query_id").alias("_pair"))), "query_id")
