@@ -338,6 +338,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, k: int = 25, examples: in
     share = index.value.base
     curve = (float(log_odds(share)) if 0 < share < 1 else (500.0 if share else -500.0), 0.0)
     if 0 < share < 1:
-        votes = learnt.mapInArrow(_votes(index), "vote double, label int").orderBy("vote", "label").collect()
+        votes = learnt.mapInArrow(_votes(index), "vote double, label int").collect()
+        votes.sort()  # sums of doubles depend on their order
         curve = logistic_curve(np.array([r["vote"] for r in votes]), np.array([float(r["label"]) for r in votes]))
     return vectors.mapInArrow(_scores(index, curve, shown), OUT)
