@@ -17,6 +17,8 @@ from ragspark.lexicons import STOPWORDS
 DOC_KEYWORD_WEIGHT = 2
 FACTOR = 0.8
 
+OWN_CLASSES = 16  # documents are told apart by their number of own keywords up to it
+
 
 def query_keywords(queries: DataFrame, text: str = "question", stopwords: Sequence[str] = STOPWORDS) -> DataFrame:
     return queries.withColumn("keywords", extract_keywords(F.col(text), stopwords))
@@ -67,50 +69,55 @@ def _pair_rows(pairs: DataFrame, questions: DataFrame, hits: DataFrame, with_mat
 
 
 def _legs(questions: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Question words with the number of documents that hold them, and with `tail`, the points of the word and all commoner ones
-    of its question; and the document keywords a question names with the number of documents that have them as own."""
-    held = hits.select(F.explode("terms").alias("needle")).groupBy("needle").agg(F.count(F.lit(1)).alias("df"))
+    """Per question and class of documents (those with as many own keywords): its words with the number of documents that hold them and `tail`,
+    the points of the word and all commoner ones; and the document keywords it names with the number of documents that have them as own."""
+    held = hits.select("own_class", F.explode("terms").alias("needle")).groupBy("own_class", "needle").agg(F.count(F.lit(1)).alias("df"))
     words = questions.select("query_id", F.explode("needles").alias("n")).select("query_id", "n.needle", "n.points").join(broadcast_if_small(settled(held)), "needle")
-    commoner = Window.partitionBy("query_id").orderBy(F.desc("df"), F.desc("needle")).rowsBetween(Window.unboundedPreceding, 0)
+    commoner = Window.partitionBy("query_id", "own_class").orderBy(F.desc("df"), F.desc("needle")).rowsBetween(Window.unboundedPreceding, 0)
     words = words.withColumn("tail", F.sum("points").over(commoner))
-    owned = hits.select(F.explode(F.array_distinct(F.transform("own", lambda w: F.lower(w)))).alias("needle")).groupBy("needle").agg(F.count(F.lit(1)).alias("df"))
+    owned = hits.select("own_class", F.explode(_own_needles()).alias("needle")).groupBy("own_class", "needle").agg(F.count(F.lit(1)).alias("df"))
     named = questions.select("query_id", F.explode("named").alias("needle")).join(broadcast_if_small(settled(owned)), "needle")
     return settled(words), settled(named)
 
 
+def _own_needles() -> Column:
+    return F.array_distinct(F.transform("own", lambda w: F.lower(w)))
+
+
 def _pairs(legs: DataFrame, questions: DataFrame, hits: DataFrame, side: list[str]) -> DataFrame:
-    """Distinct (query_id, doc_id) that share a leg (query_id, leg, needle): 0 a word of the question in the text, 1 a keyword of the document's own."""
+    """Distinct (query_id, doc_id) that share a leg (query_id, own_class, leg, needle): 0 a word of the question in the text, 1 an own keyword."""
     asked = legs.join(questions.select("query_id", *side), "query_id") if side else legs
     in_text = F.transform("terms", lambda t: F.struct(F.lit(0).alias("leg"), t.alias("needle")))
-    in_own = F.transform(F.array_distinct(F.transform("own", lambda w: F.lower(w))), lambda w: F.struct(F.lit(1).alias("leg"), w.alias("needle")))
-    rows = hits.select("doc_id", *side, F.explode(F.concat(in_text, in_own)).alias("m")).select("doc_id", *side, "m.leg", "m.needle")
-    return settled(rows.join(broadcast_if_small(asked), ["leg", "needle", *side]).select("query_id", "doc_id").distinct())
+    in_own = F.transform(_own_needles(), lambda w: F.struct(F.lit(1).alias("leg"), w.alias("needle")))
+    rows = hits.select("doc_id", "own_class", *side, F.explode(F.concat(in_text, in_own)).alias("m")).select("doc_id", "own_class", *side, "m.leg", "m.needle")
+    return settled(rows.join(broadcast_if_small(asked), ["leg", "needle", "own_class", *side]).select("query_id", "doc_id").distinct())
 
 
 def _reaching(least: DataFrame, words: DataFrame, named: DataFrame, questions: DataFrame, hits: DataFrame) -> DataFrame:
     """Legs that every pair with `least` (query_id, least similarity) or more has at least one of.
 
     A pair needs `need` points. Words whose points sum to less, the commonest ones, cannot reach it alone, so a pair without own keywords
-    has one of the others. Own keywords give at most twice the longest own list: either the named keywords are legs too, or
-    that much less is asked of the words; whichever makes fewer rows.
+    has one of the others. Own keywords give at most twice their number: for the documents with so many, either the named keywords are
+    legs too, or that much less is asked of the words, whichever makes fewer rows.
     """
-    most_own = DOC_KEYWORD_WEIGHT * (hits.agg(F.max(F.size("own"))).first()[0] or 0)
     need = F.greatest(F.lit(1), F.ceil((F.col("least") - 1e-6) * F.greatest("n_kw", F.lit(1)) / FACTOR - 1e-6))
     asked = questions.select("query_id", "n_kw", F.size("named").alias("_named")).join(broadcast_if_small(least), "query_id")
-    asked = asked.withColumn("need", need.cast("long")).withColumn(
-        "need_less", F.col("need") - F.when(F.col("_named") > 0, most_own).otherwise(0))
-    asked = settled(asked.select("query_id", "need", "need_less"))
-    ranked = words.join(broadcast_if_small(asked), "query_id")
-    text_cost = ranked.groupBy("query_id").agg(
+    asked = settled(asked.select("query_id", need.cast("long").alias("need"), "_named"))
+    most = F.broadcast(settled(hits.groupBy("own_class").agg((DOC_KEYWORD_WEIGHT * F.max(F.size("own"))).alias("_most"))))  # a row per class
+    less = F.col("need") - F.when(F.col("_named") > 0, F.col("_most")).otherwise(0)
+    ranked = words.join(broadcast_if_small(asked), "query_id").join(most, "own_class").withColumn("need_less", less)
+    text_cost = ranked.groupBy("query_id", "own_class").agg(
+        F.first("need").alias("need"), F.first("need_less").alias("need_less"),
         F.sum(F.when(F.col("tail") >= F.col("need"), F.col("df")).otherwise(0)).alias("_with"),
         F.sum(F.when(F.col("tail") >= F.col("need_less"), F.col("df")).otherwise(0)).alias("_without"))
-    own_cost = named.groupBy("query_id").agg(F.sum("df").alias("_own"))
-    both = F.coalesce("_with", F.lit(0)) + F.coalesce("_own", F.lit(0))
-    by_text = (F.col("need_less") >= 1) & (F.coalesce("_without", F.lit(0)) <= both)
-    chosen = asked.join(broadcast_if_small(settled(text_cost)), "query_id", "left").join(broadcast_if_small(settled(own_cost)), "query_id", "left")
-    chosen = settled(chosen.select("query_id", F.when(by_text, F.col("need_less")).otherwise(F.col("need")).alias("need"), by_text.alias("by_text")))
-    in_text = words.join(broadcast_if_small(chosen), "query_id").where(F.col("tail") >= F.col("need")).select("query_id", F.lit(0).alias("leg"), "needle")
-    in_own = named.join(broadcast_if_small(chosen.where("NOT by_text")), "query_id").select("query_id", F.lit(1).alias("leg"), "needle")
+    own_cost = named.groupBy("query_id", "own_class").agg(F.sum("df").alias("_own"))
+    chosen = text_cost.join(broadcast_if_small(settled(own_cost)), ["query_id", "own_class"], "left")
+    by_text = (F.col("need_less") >= 1) & (F.col("_without") <= F.col("_with") + F.coalesce("_own", F.lit(0)))
+    chosen = settled(chosen.select("query_id", "own_class", F.when(by_text, F.col("need_less")).otherwise(F.col("need")).alias("need"), by_text.alias("by_text")))
+    classes = ["query_id", "own_class"]
+    in_text = words.join(broadcast_if_small(chosen), classes).where(F.col("tail") >= F.col("need")).select(*classes, F.lit(0).alias("leg"), "needle")
+    # A class none of whose documents hold a word of the question has its named keywords alone.
+    in_own = named.join(broadcast_if_small(chosen.where("by_text")), classes, "left_anti").select(*classes, F.lit(1).alias("leg"), "needle")
     return settled(in_text.unionByName(in_own))
 
 
@@ -119,13 +126,13 @@ def _bounded_search(questions: DataFrame, hits: DataFrame, side: list[str], floo
 
     For the k best, the documents of each question's rarest words are counted first; their k-th similarity is the floor.
     """
-    hits, questions = settled(hits), settled(questions)
+    hits, questions = settled(hits.withColumn("own_class", F.least(F.size("own"), F.lit(OWN_CLASSES)))), settled(questions)
     words, named = _legs(questions, hits)
     least = questions.select("query_id", F.lit(floor if floor is not None else 0.0).alias("least"))
     if k is not None:
-        rarest = Window.partitionBy("query_id").orderBy("df", "needle").rowsBetween(Window.unboundedPreceding, -1)
+        rarest = Window.partitionBy("query_id").orderBy("df", "needle", "own_class").rowsBetween(Window.unboundedPreceding, -1)
         first = words.withColumn("_seen", F.coalesce(F.sum("df").over(rarest), F.lit(0))).where(F.col("_seen") < 4 * k)
-        sample = _pairs(first.select("query_id", F.lit(0).alias("leg"), "needle"), questions, hits, side)
+        sample = _pairs(first.select("query_id", "own_class", F.lit(0).alias("leg"), "needle"), questions, hits, side)
         best = top_k(_pair_rows(sample, questions, hits, False), ["query_id"], [F.desc("similarity"), F.asc("doc_id")], k)
         low = best.groupBy("query_id").agg(F.min("similarity").alias("_low"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == k)
         least = least.join(broadcast_if_small(settled(low)), "query_id", "left").select("query_id", F.greatest("least", F.coalesce("_low", F.lit(0.0))).alias("least"))

@@ -181,6 +181,71 @@ def test_keyword_search_top_k_and_scope(spark, corpus):
         assert sorted((-r.similarity, r.doc_id) for r in best if r.query_id == qid) == want
 
 
+@pytest.fixture
+def join_rows(spark, monkeypatch):
+    """Call it after a search: the rows that every join it made returns."""
+    frame = type(spark.range(1))
+    made, plain = [], frame.join
+
+    def recorded(self, *args, **kwargs):
+        made.append(plain(self, *args, **kwargs))
+        return made[-1]
+
+    monkeypatch.setattr(frame, "join", recorded)
+    return lambda: [joined.count() for joined in list(made)]
+
+
+def common_corpus():
+    """Questions of common words that hold little, and rare ones that decide; a third of the rows are copies."""
+    rng = random.Random(9)
+    common = [f"com{i}" for i in range(8)]
+    docs = [(i, " ".join(rng.sample(common, 5) + [f"odd{i % 50}", f"one{i}"]), ["com1"] if i % 20 == 0 else ["odd3"]) for i in range(400)]
+    docs += [(400 + i, docs[5][1], docs[5][2]) for i in range(200)]
+    questions = [(q, " ".join(rng.sample(common, 3) + [f"odd{q}", f"one{q}"])) for q in range(20)] + [(20, "absent"), (21, ""), (22, "com1 com2")]
+    return docs, questions
+
+
+@pytest.mark.parametrize("floor", [0.0, 0.3, 0.5, 0.7, 0.8, 1.0])
+def test_keyword_floor_equals_brute_force(spark, floor):
+    docs, questions = common_corpus()
+    d = spark.createDataFrame(docs, "doc_id long, content string, keywords array<string>")
+    q = spark.createDataFrame(questions, "query_id long, question string")
+    want = {r for r in brute_keyword([x[:2] for x in docs], questions, {i: k for i, _, k in docs}) if r[3] >= floor}
+    assert keyword_rows(keyword.keyword_search(q, d, stopwords=(), floor=floor)) == want
+
+
+def test_keyword_floor_makes_few_rows(spark, join_rows):
+    docs, questions = common_corpus()
+    d = spark.createDataFrame(docs, "doc_id long, content string, keywords array<string>")
+    q = spark.createDataFrame(questions[:20], "query_id long, question string")
+    every = len(brute_keyword([x[:2] for x in docs], questions[:20], {i: k for i, _, k in docs}))
+    found = keyword.keyword_search(q, d, stopwords=(), floor=0.7, with_matches=False).collect()
+    assert found and every > 10_000
+    assert max(join_rows()) <= max(every / 10, len(docs))
+
+
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_keyword_topk_equals_brute_force(spark, k):
+    docs, questions = common_corpus()
+    d = spark.createDataFrame(docs, "doc_id long, content string, keywords array<string>")
+    q = spark.createDataFrame(questions, "query_id long, question string")
+    everything = brute_keyword([x[:2] for x in docs], questions, {i: k for i, _, k in docs})
+    best = keyword.keyword_search(q, d, stopwords=(), k=k).collect()
+    for qid, _ in questions:
+        want = sorted((-s, did, n, m) for a, did, n, s, m in everything if a == qid)[:k]
+        assert sorted((-r.similarity, r.doc_id, r.match_count, tuple(r.matched_keywords)) for r in best if r.query_id == qid) == want
+
+
+def test_keyword_pairs_count_what_was_asked(spark):
+    docs, questions = common_corpus()
+    d = spark.createDataFrame(docs, "doc_id long, content string, keywords array<string>")
+    q = spark.createDataFrame(questions, "query_id long, question string")
+    counts = {(a, did): n for a, did, n, *_ in brute_keyword([x[:2] for x in docs], questions, {i: k for i, _, k in docs})}
+    pairs = [(a, b) for a in range(23) for b in (0, 5, 401, 77)]
+    got = keyword.keyword_pairs(spark.createDataFrame(pairs, "query_id long, doc_id long"), q, d, stopwords=()).collect()
+    assert {(r.query_id, r.doc_id): r.match_count for r in got} == {p: counts.get(p, 0) for p in pairs}
+
+
 def test_substring_search(spark):
     docs = [(0, "Aaaa b"), (1, "nothing"), (2, "xaAx")]
     d = spark.createDataFrame(docs, "doc_id long, content string")
@@ -227,6 +292,46 @@ def test_dense_equals_brute_force(spark, vectors, monkeypatch, path):
     assert dense.semantic_search(q, d).count() == len(docs) * len(queries)
 
 
+def test_dense_search_keeps_the_query_side_off_the_driver(spark, vectors):
+    docs, queries = vectors
+    d = spark.createDataFrame(docs, "doc_id long, embedding array<double>")
+    q = spark.createDataFrame(queries, "query_id long, embedding array<double>")
+    import inspect
+
+    assert not re.search(r"toPandas|toArrow|collect\(\)", inspect.getsource(dense))
+    plan = dense.dense_topk(q, d, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange" not in plan.split("BroadcastHashJoin")[1].split("BroadcastExchange")[0]
+
+
+def test_dense_grid_reads_documents_once_and_skips_rows_without_vector(spark, vectors, monkeypatch):
+    docs, queries = vectors
+    for name, value in (("fits", lambda *a: False), ("QUERY_ROWS", 3), ("DOC_ROWS", 16), ("MAX_BYTES", 200)):
+        monkeypatch.setattr(dense, name, value)
+    d = spark.createDataFrame([*docs, (900, None)], "doc_id long, embedding array<double>")
+    q = spark.createDataFrame([*queries, (99, None)], "query_id long, embedding array<double>")
+    got = {}
+    for r in dense.dense_topk(q, d, 3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.doc_id))
+    assert {a: [b for _, b in sorted(v)] for a, v in got.items()} == {
+        qid: [did for _, did in sorted((-cos(vec, e), did) for did, e in docs)[:3]] for qid, vec in queries}
+
+
+def test_retrieve_above_the_keyword_weight_equals_the_merge(spark, vectors):
+    from ragspark.plans import retrieval as plans
+
+    texts, questions = common_corpus()
+    d = spark.createDataFrame(texts, "doc_id long, content string, keywords array<string>")
+    q = spark.createDataFrame(questions, "query_id long, question string")
+    rng = np.random.default_rng(4)
+    dv = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(0, 500)], "doc_id long, embedding array<double>")
+    qv = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(0, 15)], "query_id long, embedding array<double>")
+    options = {"doc_keywords": "keywords", "stopwords": ()}
+    for floor in (0.45, 0.6, 0.9):
+        want = plans._merge_dense(keyword.keyword_search(q, d, with_matches=False, **options), qv, dv, floor).where(F.col("similarity") >= floor)
+        got = plans._merge_above(q, d, qv, dv, floor, options).where(F.col("similarity") >= floor)
+        assert rows(got) == rows(want) and got.count() > 5
+
+
 def test_merge_keeps_raw_scores_of_single_sided_hits(spark):
     kw = spark.createDataFrame([(0, 1, 0.8), (0, 2, 0.5)], "query_id long, doc_id long, similarity double")
     sem = spark.createDataFrame([(0, 2, 1.0), (0, 3, 0.3)], "query_id long, doc_id long, similarity double")
@@ -353,3 +458,31 @@ def test_pruned_candidates_hold_the_best_and_leave_common_words_out(spark):
     best = lambda frame: rows(ranking.top_k(frame, ["query_id"], order, 5))
     assert best(pruned) == best(every)
     assert pruned.where("query_id < 9").count() < every.where("query_id < 9").count() / 2
+
+
+def test_pruning_makes_no_row_for_pairs_of_common_words(spark, join_rows):
+    rnd = random.Random(6)
+    # Two words are in a third of 3,000 documents each and in every question; each question also has a rare word.
+    texts = [(i, " ".join((["the"] if i % 3 == 0 else []) + (["of"] if i % 3 == 1 else []) + [f"w{rnd.randrange(300)}" for _ in range(8)]
+                          + ([f"rare{i % 40}"] * 3 if i < 800 else []))) for i in range(3000)]
+    docs = spark.createDataFrame(texts, "doc_id long, content string")
+    asked = spark.createDataFrame([(q, f"the of rare{q}") for q in range(40)], "query_id long, question string")
+    index = lexical.bm25_index(docs)
+    order = [F.desc("score"), F.asc("doc_id")]
+    want = rows(ranking.top_k(lexical.bm25_matches(asked, index), ["query_id"], order, 5))
+    before = len(join_rows())
+    assert rows(ranking.top_k(lexical.bm25_candidates(asked, index, 5, prune_above=0), ["query_id"], order, 5)) == want
+    # 40 questions times 2,000 documents with a common word would be 80,000 pairs; candidates are 40 times 20.
+    assert max(join_rows()[before:]) < 8_000
+
+
+def test_length_classes_without_heavy_terms_are_skipped(spark):
+    texts = [(i, " ".join(["red"] * (3 if i < 20 else 1) + ["x"] * (2 if i < 20 else 400))) for i in range(60)]
+    texts += [(60 + i, f"y{i}") for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, content string")
+    index = lexical.bm25_index(docs)
+    asked = spark.createDataFrame([(0, "red")], "query_id long, question string")
+    found = lexical.bm25_candidates(asked, index, 5, prune_above=0)
+    assert found.count() == 20  # the long documents' class is not met
+    order = [F.desc("score"), F.asc("doc_id")]
+    assert rows(ranking.top_k(found, ["query_id"], order, 5)) == rows(ranking.top_k(lexical.bm25_matches(asked, index), ["query_id"], order, 5))
