@@ -43,40 +43,61 @@ def vector_groups(rows: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, np.ndar
         yield width, rows.column(0).take(at), values.astype(np.float64).reshape(len(at), width)
 
 
+def _lane_runs(rows: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """A batch (id, embedding[, lane]) in runs of one lane."""
+    if rows.num_columns < 3:
+        yield 0, rows
+        return
+    lanes = rows.column(2).to_numpy()
+    edges = [0, *(np.flatnonzero(np.diff(lanes)) + 1).tolist(), len(lanes)]
+    for first, end in zip(edges[:-1], edges[1:], strict=True):
+        if end > first:
+            yield int(lanes[first]), rows.slice(first, end - first)
+
+
 def _packer(most: int):
-    """Blocks of unit vectors of one length, ids ascending inside a block."""
-    def packed(width: int, ids: pa.Array, matrix: np.ndarray) -> pa.RecordBatch:
+    """Blocks of unit vectors of one lane and one length, ids ascending inside a block."""
+    def packed(lane: int, width: int, ids: pa.Array, matrix: np.ndarray) -> pa.RecordBatch:
         order = pc.sort_indices(ids)
         held = ids.take(order)
         return pa.RecordBatch.from_arrays(
-            [pa.array([0], pa.int32()), pa.array([width], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held),
+            [pa.array([lane], pa.int32()), pa.array([width], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held),
              pa.array([unit_rows(matrix[order.to_numpy()]).tobytes()], pa.binary())], names=["lane", "width", "ids", "x"])
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
-        for rows in batches:
-            for width, ids, matrix in vector_groups(rows):
-                parts = held.setdefault(width, ([], []))
-                parts[0].append(ids)
-                parts[1].append(matrix)
-                size = max(1, min(most, BLOCK_BYTES // (8 * max(width, 1))))
-                if sum(map(len, parts[0])) >= size:
-                    ids, matrix = pa.concat_arrays(parts[0]), np.concatenate(parts[1])
-                    full = len(ids) // size * size
-                    for at in range(0, full, size):
-                        yield packed(width, ids[at:at + size], matrix[at:at + size])
-                    held[width] = ([ids[full:]], [matrix[full:]])
+    def rest(lane: int, held: dict[int, tuple[list, list]]) -> Iterator[pa.RecordBatch]:
         for width, (ids, matrix) in held.items():
             if sum(map(len, ids)):
-                yield packed(width, pa.concat_arrays(ids), np.concatenate(matrix))
+                yield packed(lane, width, pa.concat_arrays(ids), np.concatenate(matrix))
+        held.clear()
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
+        current = 0
+        for batch in batches:
+            for lane, rows in _lane_runs(batch):
+                if lane != current:
+                    yield from rest(current, held)
+                    current = lane
+                for width, ids, matrix in vector_groups(rows):
+                    parts = held.setdefault(width, ([], []))
+                    parts[0].append(ids)
+                    parts[1].append(matrix)
+                    size = max(1, min(most, BLOCK_BYTES // (8 * max(width, 1))))
+                    if sum(map(len, parts[0])) >= size:
+                        ids, matrix = pa.concat_arrays(parts[0]), np.concatenate(parts[1])
+                        full = len(ids) // size * size
+                        for at in range(0, full, size):
+                            yield packed(lane, width, ids[at:at + size], matrix[at:at + size])
+                        held[width] = ([ids[full:]], [matrix[full:]])
+        yield from rest(current, held)
 
     return blocks
 
 
-def vector_blocks(vectors: DataFrame, key: str, most: int) -> DataFrame:
-    """lane (0), width, ids, x: packed unit vectors; rows without a vector are left out."""
+def vector_blocks(vectors: DataFrame, key: str, most: int, lane: str | None = None) -> DataFrame:
+    """lane, width, ids, x: packed unit vectors; rows without a vector are left out. Rows should come in order of `lane`, an int; without it, it is 0."""
     kind = vectors.schema[key].dataType.simpleString()
-    rows = vectors.where("embedding IS NOT NULL").select(key, F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.where("embedding IS NOT NULL").select(key, F.col("embedding").cast("array<double>").alias("embedding"), *([lane] if lane else []))
     return rows.mapInArrow(_packer(most), f"lane int, width int, ids array<{kind}>, x binary")
 
 
@@ -161,14 +182,15 @@ def scored_pairs(queries: DataFrame, docs: DataFrame, k: int | None, floor: floa
     small = fits(queries, 1_000_000)
     if not small:
         asked, held = _grid(asked, held)
+    return met_blocks(asked, held, small, k, floor, queries.schema["query_id"].dataType, docs.schema["doc_id"].dataType)
+
+
+def met_blocks(asked: DataFrame, held: DataFrame, small: bool, k: int | None, floor: float | None, query_type: T.DataType, doc_type: T.DataType) -> DataFrame:
+    """Query blocks times document blocks of the same lane; small query blocks are broadcast."""
     asked = asked.select("lane", F.monotonically_increasing_id().alias("q_block"), F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("x").alias("q"))
     held = held.select("lane", F.col("width").alias("d_width"), F.col("ids").alias("d_ids"), F.col("x").alias("d"))
     met = held.join(F.broadcast(asked) if small else asked.hint("merge"), "lane")
-    schema = T.StructType([
-        T.StructField("query_id", queries.schema["query_id"].dataType),
-        T.StructField("doc_id", docs.schema["doc_id"].dataType),
-        T.StructField("similarity", T.DoubleType()),
-    ])
+    schema = T.StructType([T.StructField("query_id", query_type), T.StructField("doc_id", doc_type), T.StructField("similarity", T.DoubleType())])
     return met.mapInArrow(_met(k, floor, ("query_id", "doc_id")), schema)
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ragspark.functions import containment, ranking, sizing
-from ragspark.operators import dense, filters, fusion, keyword, lexical, maintain, rerank, rewrite
+from ragspark.operators import cells, dense, filters, fusion, keyword, lexical, maintain, rerank, rewrite
 from ragspark.operators.vectorize import hashed_tfidf
 from ragspark.plans.retrieval import retrieve
 from tests.conftest import rows
@@ -332,6 +332,49 @@ def test_retrieve_above_the_keyword_weight_equals_the_merge(spark, vectors):
         assert rows(got) == rows(want) and got.count() > 5
 
 
+@pytest.fixture(scope="module")
+def clustered(spark, tmp_path_factory):
+    """Vectors around 40 centres, a quarter of the rows copies of one, and vectors that belong to no cell."""
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(40, 16)) * 3
+    near = lambda i: (centres[i % 40] + rng.normal(size=16)).tolist()
+    docs = [(i, near(i)) for i in range(2000)] + [(3000 + i, centres[3].tolist()) for i in range(700)] + [(5000, [0.0] * 16), (5001, [1.0, 2.0]), (5002, None)]
+    queries = [(i, near(i)) for i in range(60)] + [(200, [0.0] * 16), (201, [1.0, 1.0]), (202, None)]
+    d = spark.createDataFrame(docs, "doc_id long, embedding array<double>")
+    path = str(tmp_path_factory.mktemp("cells"))
+    cells.CellIndex.build(d, path, cells=32)
+    return d, spark.createDataFrame(queries, "query_id long, embedding array<double>"), path
+
+
+@pytest.mark.parametrize("path", ["broadcast", "shuffled"])
+def test_search_by_cells_is_exact(spark, clustered, monkeypatch, path):
+    d, q, stored = clustered
+    if path == "shuffled":
+        monkeypatch.setattr(cells, "fits", lambda *a: False)
+    want = rows(dense.dense_topk(q, d, 5))
+    assert rows(cells.cells_topk(q, cells.CellIndex.load(spark, stored), 5, probes=2)) == want
+
+
+def test_nearest_cells_recall_and_read_little(spark, clustered):
+    d, q, stored = clustered
+    q = q.where("query_id < 200")
+    index = cells.CellIndex.load(spark, stored)
+    exact = dense.dense_topk(q, d, 5)
+    assert cells.recall(cells.cells_topk(q, index, 5, probes=3, exact=False), exact) >= 0.9
+    one = q.where("query_id = 7")
+    plan = cells.cells_topk(one, index, 5, probes=2, exact=False)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(lane" in plan  # the other cells' files are not read
+    assert index.sizes.count() >= 32 and index.sizes.agg(F.sum("n")).first()[0] == 2702
+
+
+def test_cells_without_vectors(spark, tmp_path):
+    none = spark.createDataFrame([], "doc_id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    assert rows(cells.cells_topk(q, cells.CellIndex.build(none, str(tmp_path / "none"), cells=4), 3)) == []
+    flat = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0])], "doc_id long, embedding array<double>")
+    assert rows(cells.cells_topk(q, cells.CellIndex.build(flat, str(tmp_path / "flat"), cells=4), 3)) == [(1, 1, 0.0, 1), (1, 2, 0.0, 2)]
+
+
 def test_merge_keeps_raw_scores_of_single_sided_hits(spark):
     kw = spark.createDataFrame([(0, 1, 0.8), (0, 2, 0.5)], "query_id long, doc_id long, similarity double")
     sem = spark.createDataFrame([(0, 2, 1.0), (0, 3, 0.3)], "query_id long, doc_id long, similarity double")

@@ -8,9 +8,10 @@ from pyspark.sql import types as T
 
 from ragspark.functions.sizing import settled
 from ragspark.functions.text import tokenize
-from ragspark.operators import dense, filters, fusion, keyword, lexical, rerank, rewrite
+from ragspark.operators import cells, dense, filters, fusion, keyword, lexical, rerank, rewrite
 from ragspark.operators.vectorize import bucket_idf, hashed_tfidf
 from ragspark.plans import retrieval as plans
+from ragspark.session import work_path
 from workload import bindings as B
 from workload import params as P
 
@@ -105,6 +106,12 @@ def dense_topk(spark, sf):
     return dense.dense_topk(B.query_vectors(spark, sf), B.doc_vectors(spark, sf), 5)
 
 
+def cells_topk(spark, sf):
+    """The same from an index of cells, built and stored first."""
+    index = cells.CellIndex.build(B.doc_vectors(spark, sf), work_path(spark, "cells"), cells=32)
+    return cells.cells_topk(B.query_vectors(spark, sf), index, 5, probes=8)
+
+
 def dense_filtered(spark, sf):
     return dense.dense_topk(B.query_vectors(spark, sf), filters.metadata_filter(B.doc_vectors(spark, sf), {"label": 3}), 5)
 
@@ -286,7 +293,7 @@ def tfidf_vectors(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     bm25_term_stats, bm25_topk, bm25_all_scores, bm25_post_filter, bm25_pre_filter, bm25_pair_scores, query_keywords,
-    keyword_search, keyword_topk, substring_search, cosine_pairs, semantic_search, semantic_floor, dense_topk, dense_filtered,
+    keyword_search, keyword_topk, substring_search, cosine_pairs, semantic_search, semantic_floor, dense_topk, cells_topk, dense_filtered,
     hybrid_merge, basic_retrieve, similarity_floor, filter_or_all, rrf_fusion, rrf_payload, rrf_unbounded, weighted_rrf, score_minmax,
     score_zscore, query_expand, rewrite_batch, rerank_topk, pair_scores, model_rerank, model_pair_scores, multi_query_rrf, graph_retrieve, hybrid_search,
     routed_retrieve, tfidf_vectors)}
@@ -412,6 +419,7 @@ c AS (SELECT label, list(v ORDER BY pos) AS embedding FROM (SELECT label, pos, a
 SELECT c.label::BIGINT AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(c.embedding, e.embedding::DOUBLE[]), 6) + 0.0 AS similarity, 'semantic' AS retrieval_type FROM c, embeddings e""",
     "semantic_floor": f"WITH {B.DENSE} SELECT query_id, doc_id, score AS similarity, 'semantic' AS retrieval_type FROM dn_scores WHERE score >= 0.3",
     "dense_topk": f"WITH {DN_TOP} SELECT query_id, doc_id, score, rank FROM dn_top WHERE rank <= 5",
+    "cells_topk": f"WITH {DN_TOP} SELECT query_id, doc_id, score, rank FROM dn_top WHERE rank <= 5",
     "dense_filtered": f"""WITH {B.DENSE}, r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
   FROM dn_scores JOIN embeddings ON vec_id = doc_id WHERE label = 3) SELECT * FROM r WHERE rank <= 5""",
     "hybrid_merge": f"""WITH {B.KEYWORD},\n{B.DENSE}, s AS (SELECT query_id, doc_id, score AS similarity FROM dn_scores WHERE score >= 0.2 OR (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM kw_hits))
