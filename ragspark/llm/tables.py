@@ -50,3 +50,13 @@ def work_table(df: DataFrame) -> DataFrame:
     path = work_path(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_work_table(table: DataFrame) -> None:
+    """Delete the files of a frame that `work_table` returned; nothing may read it any more."""
+    spark = table.sparkSession
+    folders = {file.rsplit("/", 1)[0] for file in table.inputFiles()}
+    for folder in folders:
+        if "/ragspark/stage-" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
