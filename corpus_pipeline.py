@@ -7,12 +7,15 @@ mix       documents are dropped or repeated until the sources meet their target
 pack      texts become token sequences
 
 Every stage takes the documents its predecessor kept and returns them with the same columns; the last returns the packed pieces.
-Every row is judged by itself, whatever its doc_id: a stage writes the rows with keys of their own, runs its operator on the keys and
-joins the results by them. Where the smallest doc_id decides, rows come in order of (doc_id, key), those without doc_id last.
+Every row is judged by itself, whatever its doc_id: a stage gives every row a key of its own, runs its operator on the keys and
+joins the results by them. Rows read from Parquet files have a lasting key, their file and place in it, so texts are written only at the end
+of a stage; rows of any other frame are written with keys first. Where the smallest doc_id decides, rows come in order of (doc_id, key),
+those without doc_id last.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,15 +26,22 @@ from ragspark.llm.packing import pack_documents
 from ragspark.llm.quality import judge_quality
 from ragspark.llm.queries import tokenizer_file
 from ragspark.llm.repeats import remove_repeats
-from ragspark.llm.tables import settle, small_side, work_table
+from ragspark.llm.tables import drop_work_table, settle, small_side, work_table
 
 
 KEY = "_key"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """The rows with a key of their own; written, so that a key stays with its row."""
-    return work_table(docs.withColumn(KEY, F.monotonically_increasing_id()))
+    """The rows with a key of their own, which stays with its row however often the rows are computed."""
+    try:
+        located = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        files = located.select("_file").distinct()
+    except AnalysisException:  # no file scan, or none with row numbers
+        return work_table(docs.withColumn(KEY, F.monotonically_increasing_id()))
+    numbered = settle(rank_rows(files, [], [F.col("_file").asc()], "_n"))
+    key = F.shiftleft(F.col("_n"), 40) + F.col("_row")
+    return located.join(small_side(numbered), "_file").withColumn(KEY, key).select(*docs.columns, KEY)
 
 
 def _as_ids(rows: DataFrame, key: str = KEY) -> DataFrame:
@@ -90,7 +100,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         docs = work_table(stage(spark, docs, sf_dir))
+        if before is not None:
+            drop_work_table(before)  # its successor is written
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
