@@ -49,8 +49,8 @@ class Bm25Index:
         """
         spark = self.postings.sparkSession
         buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        postings = _store_bucketed(self.postings, f"{path}/postings", buckets)
-        doc_len = _store_bucketed(_lengths(postings), f"{path}/doc_len", buckets)
+        postings = store_bucketed(self.postings, f"{path}/postings", buckets)
+        doc_len = store_bucketed(lengths_of(postings), f"{path}/doc_len", buckets)
         stats = term_statistics(postings, doc_len)
         for part, rows in (("term_stats", stats), ("caps", term_caps(postings)), ("layout", spark.range(1).select(F.lit(buckets).alias("buckets")))):
             rows.write.mode("overwrite").parquet(f"{path}/{part}")
@@ -64,19 +64,20 @@ class Bm25Index:
         return Bm25Index(postings, doc_len, spark.read.parquet(f"{path}/term_stats"), spark.read.parquet(f"{path}/caps"))
 
 
-def read_bucketed(spark: SparkSession, path: str, buckets: int, key: str = "doc_id") -> DataFrame:
-    """Files written in buckets of `key`, as a table that knows it."""
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {_table_name(path)} ({columns}) USING parquet "
-              f"CLUSTERED BY ({key}) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
-    return spark.table(_table_name(path))
+def read_bucketed(spark: SparkSession, path: str, buckets: int, key: str = "doc_id", schema: str | None = None) -> DataFrame:
+    """Files written in buckets of `key`, as a table that knows it; `schema` serves where there may be no file."""
+    name = _table_name(path)
+    if not spark.catalog.tableExists(name):
+        columns = schema or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({key}) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
 
 
 def _table_name(path: str) -> str:
     return "ragspark_" + hashlib.md5(path.encode()).hexdigest()
 
 
-def _store_bucketed(df: DataFrame, path: str, buckets: int, key: str = "doc_id") -> DataFrame:
+def store_bucketed(df: DataFrame, path: str, buckets: int, key: str = "doc_id") -> DataFrame:
     name = _table_name(path)
     df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     df.write.mode("overwrite").option("path", path).bucketBy(buckets, key).saveAsTable(name)
@@ -98,7 +99,7 @@ def postings_of(tokens: DataFrame) -> DataFrame:
     )
 
 
-def _lengths(postings: DataFrame) -> DataFrame:
+def lengths_of(postings: DataFrame) -> DataFrame:
     return postings.groupBy("doc_id", "doc_len").agg(F.count(F.lit(1)).alias("_terms")).drop("_terms")
 
 
@@ -108,11 +109,14 @@ def document_frequency(postings: DataFrame) -> DataFrame:
 
 
 def term_statistics(postings: DataFrame, doc_len: DataFrame) -> DataFrame:
-    """(term, df, raw_idf, idf). Negative idf becomes EPSILON times the mean idf, negatives included.
+    return statistics_of_counts(document_frequency(postings), doc_len)
+
+
+def statistics_of_counts(frequency: DataFrame, doc_len: DataFrame) -> DataFrame:
+    """(term, df, raw_idf, idf) of (term, df). Negative idf becomes EPSILON times the mean idf, negatives included.
 
     Terms with the same df share one idf, so the mean is taken over the few distinct df values.
     """
-    frequency = document_frequency(postings)
     n_docs = doc_len.agg(F.count(F.lit(1))).scalar()
     by_df = frequency.groupBy("df").agg(F.count(F.lit(1)).alias("terms"))
     floor = by_df.agg(
@@ -129,7 +133,7 @@ def bm25_index(docs: DataFrame, text: str = "content", mode: str = "mixed") -> B
 
 
 def index_of_postings(postings: DataFrame) -> Bm25Index:
-    doc_len = _lengths(postings)
+    doc_len = lengths_of(postings)
     return Bm25Index(postings, doc_len, term_statistics(postings, doc_len), term_caps(postings))
 
 

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragspark.functions.sizing import broadcast_if_small
+from ragspark.functions.sizing import broadcast_if_small, settled
 from ragspark.operators.filters import all_documents
-from ragspark.operators.lexical import Bm25Index, index_of_postings, postings_of, token_rows
+from ragspark.operators.lexical import Bm25Index, document_frequency, lengths_of, postings_of, statistics_of_counts, term_caps, token_rows
 
 
 def upsert_docs(base: DataFrame, delta: DataFrame) -> DataFrame:
@@ -49,9 +49,16 @@ def docs_by_type(docs: DataFrame, mapping: DataFrame, types: DataFrame, key: str
 
 
 def index_add(index: Bm25Index, delta: DataFrame, text: str = "content", mode: str = "mixed") -> Bm25Index:
-    """Add only documents whose id is not indexed. Statistics are re-aggregated from counts, not texts."""
+    """Add only documents whose id is not indexed. Statistics are sums of the old counts and those of the added rows.
+
+    For an index that changes often, `segments` stores each addition without touching the rest.
+    """
     fresh = delta.join(index.doc_len.select("doc_id"), "doc_id", "left_anti")
-    return index_of_postings(index.postings.unionByName(postings_of(token_rows(fresh, text, mode))))
+    postings = settled(postings_of(token_rows(fresh, text, mode)))
+    counts = index.term_stats.select("term", "df").unionByName(document_frequency(postings)).groupBy("term").agg(F.sum("df").alias("df"))
+    caps = index.caps.unionByName(term_caps(postings)).groupBy("term", "len_class").agg(F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"))
+    doc_len = index.doc_len.unionByName(lengths_of(postings))
+    return Bm25Index(index.postings.unionByName(postings), doc_len, statistics_of_counts(counts, doc_len), caps)
 
 
 def index_append(docs: DataFrame, delta: DataFrame) -> DataFrame:
@@ -60,9 +67,12 @@ def index_append(docs: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 def index_remove(index: Bm25Index, ids: DataFrame) -> tuple[Bm25Index, DataFrame]:
-    """The index without the documents, and (doc_id, found) for every requested id."""
+    """The index without the documents, and (doc_id, found) for every requested id. Only the removed documents are counted."""
     asked = broadcast_if_small(ids.select("doc_id").distinct())
-    kept = index_of_postings(index.postings.join(asked, "doc_id", "left_anti"))
+    gone = document_frequency(index.postings.join(asked, "doc_id", "left_semi")).withColumn("df", -F.col("df"))
+    counts = index.term_stats.select("term", "df").unionByName(gone).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+    doc_len = index.doc_len.join(asked, "doc_id", "left_anti")
+    kept = Bm25Index(index.postings.join(asked, "doc_id", "left_anti"), doc_len, statistics_of_counts(counts, doc_len), index.caps)
     present = index.doc_len.select("doc_id", F.lit(True).alias("found"))
     found = ids.select("doc_id").distinct().join(present, "doc_id", "left").withColumn(
         "found", F.coalesce("found", F.lit(False)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ragspark.functions import text as X
 from ragspark.lexicons import AGENT_TYPES
 from ragspark.operators import classify, filters, lexical, maintain
+from ragspark.operators.segments import SegmentedIndex
 from ragspark.session import work_path
 from ragspark.sources import corpus, graph_files, store
 from ragspark.streaming import ingest
@@ -152,6 +153,15 @@ def index_add(spark, sf):
     return index.term_stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+def index_segments(spark, sf):
+    """English documents as base, all others added, toxic ones removed, questions added, and all of it merged."""
+    docs = B.documents(spark, sf)
+    index = SegmentedIndex.create(docs.where("class = 'en'"), work_path(spark, "segments")).add(docs)
+    index, _ = index.remove(B.table(spark, sf, "labels").where("toxic = 1"))
+    asked = B.questions(spark, sf).select((F.col("query_id") + 10_000_000).alias("doc_id"), F.col("question").alias("content"))
+    return index.add(asked).merge().index().term_stats.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 def index_append(spark, sf):
     docs = B.documents(spark, sf).select("doc_id", "content")
     more = B.questions(spark, sf).select(F.col("query_id").alias("doc_id"), F.col("question").alias("content"))
@@ -308,7 +318,7 @@ def index_count(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     corpus_scan, json_doc_scan, manifest_missing, format_quarantine, profile_dim, index_reuse, metadata_scalar, upload_ingest, upload_terms,
-    doc_upsert, doc_delete, doc_by_id, doc_by_type, index_add, index_append, index_remove, embed_missing, text_clean, text_stats, code_lookup,
+    doc_upsert, doc_delete, doc_by_id, doc_by_type, index_add, index_segments, index_append, index_remove, embed_missing, text_clean, text_stats, code_lookup,
     keyword_tags, excerpt, reading_time, toc_extract, fenced_json, strip_fences, reply_parse, reference_extract, label_lookup, bibliography,
     usable_responses, profile_validate, corpus_summary, top_keywords, index_coverage, index_clear, index_count)}
 
@@ -356,6 +366,8 @@ SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.doc_id = f.doc_id AND
 SELECT type, doc_id, 1::BIGINT AS n_docs FROM m JOIN a USING (type) JOIN documents USING (doc_id)
 UNION ALL SELECT type, -1, (SELECT count(*) FROM documents) FROM a WHERE type NOT IN (SELECT type FROM m)""",
     "index_add": "WITH d AS (SELECT doc_id, text AS content FROM documents) " + idf_sql("d"),
+    "index_segments": """WITH d AS (SELECT doc_id, text AS content FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+  UNION ALL SELECT item_id + 10000000, text FROM benchmark) """ + idf_sql("d"),
     "index_append": "SELECT doc_id, length(text) AS chars FROM documents UNION ALL SELECT item_id, length(text) FROM benchmark",
     "index_remove": """WITH g AS (SELECT doc_id FROM labels WHERE toxic = 1 UNION SELECT item_id + 10000000 FROM benchmark)
 SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM documents) THEN 'true' ELSE 'false' END AS state FROM g
