@@ -17,6 +17,7 @@ from ragspark.lexicons import STOPWORDS
 DOC_KEYWORD_WEIGHT = 2
 FACTOR = 0.8
 
+PRUNE_ABOVE = 20_000_000  # questions times documents, above which pairs are only made where they can matter
 OWN_CLASSES = 16  # documents are told apart by their number of own keywords up to it
 
 
@@ -34,6 +35,7 @@ def _sides(queries: DataFrame, docs: DataFrame, text: str, content: str, doc_key
     lowered = F.transform("kws", lambda w: F.lower(w))
     points = F.transform(F.array_distinct(lowered), lambda n: F.struct(n.alias("needle"), F.size(F.filter(lowered, lambda w: w == n)).cast("long").alias("points")))
     words = words.withColumn("needles", points).withColumn("n_kw", F.size("kws").cast("long"))
+    words = words.withColumn("worth", F.map_from_entries("needles"))
     needles = words.select(F.explode("needles.needle").alias("needle")).distinct()
     found = term_hits(docs.select("doc_id", F.lower(content).alias("_c")), "doc_id", "_c", needles, "needle")
     if doc_keywords:
@@ -55,11 +57,10 @@ def _similarity(points: Column) -> Column:
 
 def _pair_rows(pairs: DataFrame, questions: DataFrame, hits: DataFrame, with_matches: bool) -> DataFrame:
     """match_count, similarity (and matched_keywords) of given (query_id, doc_id) pairs, zeros included."""
-    met = hits.join(broadcast_if_small(pairs.select("query_id", "doc_id")), "doc_id").join(broadcast_if_small(questions.drop("scope")), "query_id")
-    seen = F.filter("needles", lambda n: F.array_contains("terms", n["needle"]))
+    met = hits.join(broadcast_if_small(pairs.select("query_id", "doc_id")), "doc_id").join(broadcast_if_small(questions), "query_id")
     mine = F.filter("own", lambda w: F.array_contains("named", F.lower(w)))
-    count = F.aggregate(seen, F.lit(0).cast("long"), lambda total, n: total + n["points"]) + DOC_KEYWORD_WEIGHT * F.size(mine)
-    rows = met.withColumn("match_count", count.cast("long")).withColumn("similarity", _similarity(F.col("match_count")))
+    seen = F.aggregate(F.array_intersect("terms", "needles.needle"), F.lit(0).cast("long"), lambda total, n: total + F.element_at("worth", n))
+    rows = met.withColumn("match_count", (seen + DOC_KEYWORD_WEIGHT * F.size(mine)).cast("long")).withColumn("similarity", _similarity(F.col("match_count")))
     kept = ["query_id", "doc_id", "match_count", "similarity"]
     if with_matches:
         spoken = F.filter("kws", lambda w: F.array_contains("terms", F.lower(w)))
@@ -68,16 +69,19 @@ def _pair_rows(pairs: DataFrame, questions: DataFrame, hits: DataFrame, with_mat
     return rows.select(*kept)
 
 
-def _legs(questions: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per question and class of documents (those with as many own keywords): its words with the number of documents that hold them and `tail`,
-    the points of the word and all commoner ones; and the document keywords it names with the number of documents that have them as own."""
+def _legs(questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """Per question and class of documents (those with as many own keywords) what may lead from one to the other, and `df`, the documents it leads to.
+
+    leg 0: a word of the question, with `tail`, its points and those of all commoner words; leg 1: a document keyword the question names.
+    """
     held = hits.select("own_class", F.explode("terms").alias("needle")).groupBy("own_class", "needle").agg(F.count(F.lit(1)).alias("df"))
-    words = questions.select("query_id", F.explode("needles").alias("n")).select("query_id", "n.needle", "n.points").join(broadcast_if_small(settled(held)), "needle")
+    words = questions.select("query_id", F.lit(0).alias("leg"), F.explode("needles").alias("n")).select("query_id", "leg", "n.needle", "n.points").join(held, "needle")
     commoner = Window.partitionBy("query_id", "own_class").orderBy(F.desc("df"), F.desc("needle")).rowsBetween(Window.unboundedPreceding, 0)
     words = words.withColumn("tail", F.sum("points").over(commoner))
     owned = hits.select("own_class", F.explode(_own_needles()).alias("needle")).groupBy("own_class", "needle").agg(F.count(F.lit(1)).alias("df"))
-    named = questions.select("query_id", F.explode("named").alias("needle")).join(broadcast_if_small(settled(owned)), "needle")
-    return settled(words), settled(named)
+    named = questions.select("query_id", F.lit(1).alias("leg"), F.explode("named").alias("needle")).join(owned, "needle")
+    kept = ["query_id", "own_class", "leg", "needle", "df"]
+    return settled(words.select(*kept, "tail").unionByName(named.select(*kept, F.lit(None).cast("long").alias("tail"))))
 
 
 def _own_needles() -> Column:
@@ -93,32 +97,25 @@ def _pairs(legs: DataFrame, questions: DataFrame, hits: DataFrame, side: list[st
     return settled(rows.join(broadcast_if_small(asked), ["leg", "needle", "own_class", *side]).select("query_id", "doc_id").distinct())
 
 
-def _reaching(least: DataFrame, words: DataFrame, named: DataFrame, questions: DataFrame, hits: DataFrame) -> DataFrame:
+def _reaching(least: DataFrame, legs: DataFrame, questions: DataFrame, hits: DataFrame) -> DataFrame:
     """Legs that every pair with `least` (query_id, least similarity) or more has at least one of.
 
     A pair needs `need` points. Words whose points sum to less, the commonest ones, cannot reach it alone, so a pair without own keywords
     has one of the others. Own keywords give at most twice their number: for the documents with so many, either the named keywords are
     legs too, or that much less is asked of the words, whichever makes fewer rows.
     """
-    need = F.greatest(F.lit(1), F.ceil((F.col("least") - 1e-6) * F.greatest("n_kw", F.lit(1)) / FACTOR - 1e-6))
-    asked = questions.select("query_id", "n_kw", F.size("named").alias("_named")).join(broadcast_if_small(least), "query_id")
-    asked = settled(asked.select("query_id", need.cast("long").alias("need"), "_named"))
-    most = F.broadcast(settled(hits.groupBy("own_class").agg((DOC_KEYWORD_WEIGHT * F.max(F.size("own"))).alias("_most"))))  # a row per class
-    less = F.col("need") - F.when(F.col("_named") > 0, F.col("_most")).otherwise(0)
-    ranked = words.join(broadcast_if_small(asked), "query_id").join(most, "own_class").withColumn("need_less", less)
-    text_cost = ranked.groupBy("query_id", "own_class").agg(
-        F.first("need").alias("need"), F.first("need_less").alias("need_less"),
-        F.sum(F.when(F.col("tail") >= F.col("need"), F.col("df")).otherwise(0)).alias("_with"),
-        F.sum(F.when(F.col("tail") >= F.col("need_less"), F.col("df")).otherwise(0)).alias("_without"))
-    own_cost = named.groupBy("query_id", "own_class").agg(F.sum("df").alias("_own"))
-    chosen = text_cost.join(broadcast_if_small(settled(own_cost)), ["query_id", "own_class"], "left")
-    by_text = (F.col("need_less") >= 1) & (F.col("_without") <= F.col("_with") + F.coalesce("_own", F.lit(0)))
-    chosen = settled(chosen.select("query_id", "own_class", F.when(by_text, F.col("need_less")).otherwise(F.col("need")).alias("need"), by_text.alias("by_text")))
-    classes = ["query_id", "own_class"]
-    in_text = words.join(broadcast_if_small(chosen), classes).where(F.col("tail") >= F.col("need")).select(*classes, F.lit(0).alias("leg"), "needle")
-    # A class none of whose documents hold a word of the question has its named keywords alone.
-    in_own = named.join(broadcast_if_small(chosen.where("by_text")), classes, "left_anti").select(*classes, F.lit(1).alias("leg"), "needle")
-    return settled(in_text.unionByName(in_own))
+    need = F.greatest(F.lit(1), F.ceil((F.col("least") - 1e-6) * F.greatest("n_kw", F.lit(1)) / FACTOR - 1e-6)).cast("long")
+    asked = questions.join(least, "query_id").select("query_id", need.alias("need"), (F.size("named") > 0).alias("_some"))
+    most = hits.groupBy("own_class").agg((DOC_KEYWORD_WEIGHT * F.max(F.size("own"))).alias("_most"))
+    rows = legs.join(asked, "query_id").join(F.broadcast(most), "own_class")  # a row per class, at most OWN_CLASSES + 1
+    rows = rows.withColumn("need_less", F.col("need") - F.when(F.col("_some"), F.col("_most")).otherwise(0))
+    each = Window.partitionBy("query_id", "own_class")
+    cost = lambda wanted: F.sum(F.when(wanted, F.col("df")).otherwise(0)).over(each)
+    word = F.col("leg") == 0
+    by_text = (F.col("need_less") >= 1) & (cost(word & (F.col("tail") >= F.col("need_less"))) <= cost(~word | (F.col("tail") >= F.col("need"))))
+    enough = F.when(F.col("by_text"), F.col("need_less")).otherwise(F.col("need"))
+    rows = rows.withColumn("by_text", by_text).where((word & (F.col("tail") >= enough)) | (~word & ~F.col("by_text")))
+    return settled(rows.select("query_id", "own_class", "leg", "needle"))
 
 
 def _bounded_search(questions: DataFrame, hits: DataFrame, side: list[str], floor: float | None, k: int | None, with_matches: bool) -> DataFrame:
@@ -127,24 +124,37 @@ def _bounded_search(questions: DataFrame, hits: DataFrame, side: list[str], floo
     For the k best, the documents of each question's rarest words are counted first; their k-th similarity is the floor.
     """
     hits, questions = settled(hits.withColumn("own_class", F.least(F.size("own"), F.lit(OWN_CLASSES)))), settled(questions)
-    words, named = _legs(questions, hits)
+    legs = _legs(questions, hits)
     least = questions.select("query_id", F.lit(floor if floor is not None else 0.0).alias("least"))
     if k is not None:
         rarest = Window.partitionBy("query_id").orderBy("df", "needle", "own_class").rowsBetween(Window.unboundedPreceding, -1)
-        first = words.withColumn("_seen", F.coalesce(F.sum("df").over(rarest), F.lit(0))).where(F.col("_seen") < 4 * k)
-        sample = _pairs(first.select("query_id", "own_class", F.lit(0).alias("leg"), "needle"), questions, hits, side)
+        first = legs.where("leg = 0").withColumn("_seen", F.coalesce(F.sum("df").over(rarest), F.lit(0))).where(F.col("_seen") < 4 * k)
+        sample = _pairs(first.select("query_id", "own_class", "leg", "needle"), questions, hits, side)
         best = top_k(_pair_rows(sample, questions, hits, False), ["query_id"], [F.desc("similarity"), F.asc("doc_id")], k)
         low = best.groupBy("query_id").agg(F.min("similarity").alias("_low"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == k)
-        least = least.join(broadcast_if_small(settled(low)), "query_id", "left").select("query_id", F.greatest("least", F.coalesce("_low", F.lit(0.0))).alias("least"))
-    least = settled(least)
-    found = _pair_rows(_pairs(_reaching(least, words, named, questions, hits), questions, hits, side), questions, hits, with_matches)
-    found = found.where("match_count > 0")
-    return found if floor is None else found.where(F.col("similarity") >= floor)
+        least = least.join(low, "query_id", "left").select("query_id", F.greatest("least", F.coalesce("_low", F.lit(0.0))).alias("least"))
+    found = _pair_rows(_pairs(_reaching(least, legs, questions, hits), questions, hits, side), questions, hits, False).where("match_count > 0")
+    return _best(found.withColumn("retrieval_type", F.lit("keyword")), questions, hits, floor, k, with_matches)
+
+
+def _best(found: DataFrame, questions: DataFrame, hits: DataFrame, floor: float | None, k: int | None, with_matches: bool) -> DataFrame:
+    found = found if floor is None else found.where(F.col("similarity") >= floor)
+    found = found if k is None else top_k(found, ["query_id"], [F.desc("similarity"), F.asc("doc_id")], k)
+    if not with_matches:
+        return found
+    found = settled(found)  # keywords are listed for the kept rows only
+    listed = _pair_rows(found, questions, hits, True).select("query_id", "doc_id", "matched_keywords")
+    return found.join(listed, ["query_id", "doc_id"])
+
+
+def many_pairs(queries: DataFrame, docs: DataFrame, above: int | None = None) -> bool:
+    """Whether questions times documents exceed the bound up to which making all pairs is cheaper than choosing among them."""
+    return queries.count() * docs.count() > (PRUNE_ABOVE if above is None else above)
 
 
 def keyword_search(queries: DataFrame, docs: DataFrame, text: str = "question", content: str = "content",
                    doc_keywords: str | None = "keywords", stopwords: Sequence[str] = STOPWORDS,
-                   k: int | None = None, with_matches: bool = True, scope: str | None = None, floor: float | None = None) -> DataFrame:
+                   k: int | None = None, with_matches: bool = True, scope: str | None = None, floor: float | None = None, prune_above: int | None = None) -> DataFrame:
     """(query_id, doc_id, match_count, similarity, retrieval_type[, matched_keywords][, rank]).
 
     A question keyword found in the lower-cased content counts once per occurrence in the question; a
@@ -154,14 +164,15 @@ def keyword_search(queries: DataFrame, docs: DataFrame, text: str = "question",
     With `scope`, a column of both inputs, a question only meets documents of its own scope value.
 
     Each document is scanned once. With `floor` only hits of that similarity, with `k` only the k best per question are made: pairs
-    come from words rare enough that no hit can do without all of them. Without either, the result is every pair that shares a word.
+    come from words rare enough that no hit can do without all of them (up to `prune_above` questions times documents, from all words, which
+    is cheaper there and gives the same). Without either, the result is every pair that shares a word.
     """
     side = [scope] if scope else []
     questions, hits = _sides(queries, docs, text, content, doc_keywords, stopwords, side)
-    if k is not None or floor is not None:
-        found = _bounded_search(questions, hits, side, floor, k, with_matches).withColumn("retrieval_type", F.lit("keyword"))
-        return found if k is None else top_k(found, ["query_id"], [F.desc("similarity"), F.asc("doc_id")], k)
-    questions = settled(questions)
+    bounded = k is not None or floor is not None
+    if bounded and many_pairs(queries, docs, prune_above):
+        return _bounded_search(questions, hits, side, floor, k, with_matches)
+    questions, listed = settled(questions), with_matches and not bounded
     legs = questions.select("query_id", *side, F.lit(0).alias("leg"), F.explode("needles").alias("n")).select("query_id", *side, "leg", "n.needle", "n.points")
     named = questions.select("query_id", *side, F.lit(1).alias("leg"), F.explode("named").alias("needle"), F.lit(DOC_KEYWORD_WEIGHT).cast("long").alias("points"))
     seen = F.transform("terms", lambda t: F.struct(F.lit(0).alias("leg"), t.alias("needle"), F.lit(None).cast("string").alias("own")))
@@ -169,14 +180,14 @@ def keyword_search(queries: DataFrame, docs: DataFrame, text: str = "question",
     rows = hits.repartition("doc_id").select("doc_id", *side, F.explode(F.concat(seen, owned)).alias("m")).select("doc_id", *side, "m.leg", "m.needle", "m.own")
     legs = legs.unionByName(named)
     joined = rows.join(F.broadcast(legs) if fits(legs) else legs, ["leg", "needle", *side])
-    sizes = questions.select("query_id", "n_kw", *(["kws"] if with_matches else []))
+    sizes = questions.select("query_id", "n_kw", *(["kws"] if listed else []))
     measures = [F.sum("points").alias("match_count")]
-    if with_matches:
+    if listed:
         measures += [F.collect_set(F.when(F.col("leg") == 0, F.col("needle"))).alias("_seen"), F.collect_set("own").alias("_own")]
     scored = joined.groupBy("query_id", "doc_id").agg(*measures).join(F.broadcast(sizes) if fits(sizes) else sizes, "query_id")
     scored = scored.withColumn("similarity", _similarity(F.col("match_count"))).withColumn("retrieval_type", F.lit("keyword"))
-    if not with_matches:
-        return scored.select("query_id", "doc_id", "match_count", "similarity", "retrieval_type")
+    if not listed:
+        return _best(scored.select("query_id", "doc_id", "match_count", "similarity", "retrieval_type"), questions, hits, floor, k, with_matches)
     spoken = F.filter("kws", lambda w: F.array_contains("_seen", F.lower(w)))
     matched = F.array_sort(F.array_distinct(F.concat(spoken, "_own"))).alias("matched_keywords")
     return scored.select("query_id", "doc_id", "match_count", matched, "similarity", "retrieval_type")

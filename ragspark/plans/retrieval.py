@@ -15,7 +15,7 @@ from ragspark.lexicons import STOPWORDS, SYNONYMS
 from ragspark.operators.dense import dense_topk, semantic_search
 from ragspark.operators.filters import filter_hits_or_all, min_similarity
 from ragspark.operators.fusion import KEYWORD_WEIGHT, RRF_K, SEMANTIC_WEIGHT, blend, rrf
-from ragspark.operators.keyword import keyword_pairs, keyword_search
+from ragspark.operators.keyword import keyword_pairs, keyword_search, many_pairs
 from ragspark.operators.lexical import Bm25Index, bm25_topk
 from ragspark.operators.rerank import coverage_scores, rerank
 from ragspark.operators.rewrite import query_variants
@@ -37,7 +37,7 @@ def retrieve(queries: DataFrame, docs: DataFrame, k: int = TOP_K, threshold: flo
     options = {"doc_keywords": doc_keywords, "stopwords": stopwords}
     if query_vectors is None or doc_vectors is None:
         hits = keyword_search(queries, docs, with_matches=False, floor=threshold, **options)
-    elif threshold > KEYWORD_WEIGHT:
+    elif threshold > KEYWORD_WEIGHT and many_pairs(queries, docs):
         hits = _merge_above(queries, docs, query_vectors, doc_vectors, threshold, options)
     else:
         hits = _merge_dense(keyword_search(queries, docs, with_matches=False, **options), query_vectors, doc_vectors, threshold)
@@ -61,7 +61,7 @@ def hit_similarity(hits: DataFrame, query_vectors: DataFrame, doc_vectors: DataF
     )
 
 
-def _merge_above(queries: DataFrame, docs: DataFrame, query_vectors: DataFrame, doc_vectors: DataFrame, floor: float, options: dict) -> DataFrame:
+def _merge_above(queries: DataFrame, docs: DataFrame, query_vectors: DataFrame, doc_vectors: DataFrame, floor: float, options: dict, prune_above: int | None = None) -> DataFrame:
     """The merge for a floor above the keyword weight, where no keyword score alone lifts a pair that has a similarity to it.
 
     A blended pair then needs a similarity of its own: pairs come from the dense search at that lower floor, their keywords are
@@ -74,7 +74,7 @@ def _merge_above(queries: DataFrame, docs: DataFrame, query_vectors: DataFrame,
     found = F.col("_k").isNotNull()
     both = counted.select("query_id", "doc_id", F.when(found, blend(F.col("_k"), F.col("_s"))).otherwise(F.col("_s")).alias("similarity"),
                           F.when(found, "hybrid").otherwise("semantic").alias("retrieval_type"))
-    alone = keyword_search(queries, docs, with_matches=False, floor=floor, **options).select("query_id", "doc_id", "similarity")
+    alone = keyword_search(queries, docs, with_matches=False, floor=floor, prune_above=prune_above, **options).select("query_id", "doc_id", "similarity")
     alone = hit_similarity(alone, query_vectors, doc_vectors, "_s").where("_s IS NULL")
     return both.unionByName(alone.select("query_id", "doc_id", "similarity", F.lit("keyword").alias("retrieval_type")))
 

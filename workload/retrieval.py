@@ -132,7 +132,7 @@ def basic_retrieve(spark, sf):
 
 
 def similarity_floor(spark, sf):
-    hits = keyword.keyword_search(B.questions(spark, sf), B.tagged_documents(spark, sf), stopwords=P.STOP, with_matches=False, floor=0.7)
+    hits = keyword.keyword_search(B.questions(spark, sf), B.tagged_documents(spark, sf), stopwords=P.STOP, with_matches=False, floor=0.7, prune_above=0)
     return filters.min_similarity(hits, 0.7).select("query_id", "doc_id", "similarity")
 
 
