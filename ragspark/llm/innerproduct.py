@@ -22,13 +22,13 @@ from ragspark.llm.tables import settle
 
 BLOCK = 2048  # vectors of a candidate block
 QUERIES = 512  # vectors of a query block
-LIMIT = float(1 << 30)  # components beyond it are no 64-bit fixed-point numbers here
+SAFE = float(1 << 62)  # products of lengths below it fit 64 bits
 
 
 def fixed_vectors(vectors: DataFrame, scale: int) -> DataFrame:
-    """vec_id, v: floor(scale * x) of every component; vectors that are null or hold null, non-finite or too large components are left out."""
+    """vec_id, v: floor(scale * x) of every component, kept within 64 bits; vectors that are null or hold null or non-finite components are left out."""
     scaled = F.transform("embedding", lambda x: x.cast("double") * scale)
-    usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * scale < LIMIT))
+    usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     return vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(usable).select(
         F.col("vec_id").cast("long").alias("vec_id"), F.transform(scaled, lambda x: F.floor(x).cast("long")).alias("v"))
 
@@ -95,6 +95,14 @@ def _unpack(ids: bytes, x: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     return i, np.frombuffer(x, np.int64).reshape(len(i), width)
 
 
+def _products(rows: np.ndarray, vector: np.ndarray, bound: float) -> np.ndarray:
+    """Exact inner products; where 64 bits might not hold them they are made of Python's integers and kept within 64 bits at the end."""
+    if bound < SAFE:
+        return rows @ vector
+    exact = rows.astype(object) @ vector.astype(object)
+    return np.array([max(-(1 << 63), min(int(x), (1 << 63) - 1)) for x in exact], dtype=np.int64)
+
+
 def block_topk(q_ids, q, floors, c_ids, c, basis, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, candidate number, score) of each query's k best of a block at or above its floor, in order."""
     width = q.shape[1]
@@ -104,12 +112,13 @@ def block_topk(q_ids, q, floors, c_ids, c, basis, k: int) -> tuple[np.ndarray, n
     residual_q = np.sqrt((fine[:, head:] ** 2).sum(axis=1))
     residual_c = np.sqrt((other[:, head:] ** 2).sum(axis=1))
     bound = fine[:, :head] @ other[:, :head].T + residual_q[:, None] * residual_c[None, :]
-    slack = 1 + 1e-9 * (np.sqrt((fine ** 2).sum(axis=1))[:, None] * np.sqrt((other ** 2).sum(axis=1)).max(initial=0))
+    lengths, longest = np.sqrt((fine ** 2).sum(axis=1)), float(np.sqrt((other ** 2).sum(axis=1)).max(initial=0))
+    slack = 1 + 1e-9 * (lengths * longest)[:, None]
     found = []
     for n in range(len(q)):
         at = np.flatnonzero(bound[n] + slack[n] >= floors[n])
         at = at[c_ids[at] != q_ids[n]]
-        scores = c[at] @ q[n]
+        scores = _products(c[at], q[n], lengths[n] * longest)
         if len(at) > k:
             cut = np.partition(scores, -k)[-k]
             at, scores = at[scores >= cut], scores[scores >= cut]
@@ -122,8 +131,8 @@ def topk_inner_product(vectors: DataFrame, queries: DataFrame, k: int = 20, scal
     """query_id, rank, vec_id, score: for each row of `queries` its k highest integer inner products with rows of `vectors`.
 
     Both have vec_id and embedding; components become floor(scale * x). A query's own vec_id is no candidate (nor is a repeated row of it);
-    ties go to the smaller vec_id. Fewer candidates give fewer rows. Vectors that are null or hold null, non-finite or
-    out-of-range (|scale * x| >= 2**30) components take no part; only vectors of equal length are compared. A vec_id that
+    ties go to the smaller vec_id. Fewer candidates give fewer rows. Vectors that are null or hold null or non-finite
+    components take no part; components and scores beyond 64 bits count as the largest of 64 bits; only vectors of equal length are compared. A vec_id that
     occurs again counts once with its largest vector. Extra columns are not read. Empty tables give an empty result.
     """
     spark = vectors.sparkSession

@@ -312,20 +312,25 @@ def test_mixing_meets_targets(spark, docs, rows, empty):
     assert [r["copies"] for r in twice] == [1, 1, 1]
 
 
+def within(x):
+    """The integer, or the end of 64 bits it lies beyond."""
+    return max(-(1 << 63), min(x, (1 << 63) - 1))
+
+
 def test_topk_equals_all_scores(spark):
     rnd = random.Random(2)
     rows = [(i, [rnd.gauss(0, 1 + (i % 7 == 0)) for _ in range(12)]) for i in range(400)]
     rows += [(1000 + i, rows[3][1]) for i in range(30)]  # ties
-    rows += [(2000, None), (2020, [None] + [1.0] * 11), (2040, [float("nan")] * 12), (2060, [float("inf")] * 12), (2080, [1e30] * 12), (2100, [1.0, 2.0]), (2101, [0.5, 0.5]), (2120, []), (None, [1.0] * 12)]
+    rows += [(2000, None), (2020, [None] + [1.0] * 11), (2040, [float("nan")] * 12), (2060, [float("inf")] * 12), (2080, [1e30] * 12), (2081, [-1e30] + [3.0] * 11), (2140, [2e7] + [0.0] * 11), (2160, [1.0, 2.0]), (2161, [2e7, 0.0]), (2100, [1.0, 2.0]), (2101, [0.5, 0.5]), (2120, []), (None, [1.0] * 12)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
     found = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk_inner_product(frame, frame.where("vec_id % 20 = 0"), k=20).collect()}
     v = {}
     for i, x in rows:
-        if i is not None and x is not None and all(c is not None and math.isfinite(c) and abs(c) < 1e7 for c in x):
-            v[i] = [math.floor(64 * float(np.float32(c))) for c in x]
+        if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x):
+            v[i] = [within(math.floor(64 * float(np.float32(c)))) for c in x]
     expected = {}
     for q in (i for i in v if i % 20 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(v[q], v[c], strict=True)), c) for c in v if c != q and len(v[c]) == len(v[q]))
+        scores = sorted((-within(sum(a * b for a, b in zip(v[q], v[c], strict=True))), c) for c in v if c != q and len(v[c]) == len(v[q]))
         expected |= {(q, k): (c, -s) for k, (s, c) in enumerate(scores[:20], 1)}
     assert found == expected
     assert topk_inner_product(frame.limit(0), frame.limit(0)).collect() == []
