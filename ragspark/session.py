@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -37,7 +36,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir.
 
-    A folder of our own is made only where the setting is absent, that is on a local master.
+    Only where the setting is absent on a local master, a folder in the session's warehouse serves.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     existing = spark.sparkContext.getCheckpointDir()
@@ -49,7 +48,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         return existing
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    root = tempfile.mkdtemp(prefix="ragspark-")
+    root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/ragspark-checkpoints"
     spark.sparkContext.setCheckpointDir(root)
     return root
 
