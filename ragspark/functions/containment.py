@@ -1,8 +1,8 @@
 """Which of many terms occur, as substrings, in each text.
 
 A bounded term list is broadcast and every text is scanned once with an Aho-Corasick automaton, whatever
-the number of terms. A list beyond the bound never reaches the driver: then the distinct substrings of
-each text, of the lengths that occur among the terms, are equi-joined with the terms.
+the number of terms. A list beyond the bound never reaches the driver: then grams of the terms find candidate
+texts, which are read for their candidate terms only (`grams`).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragspark.functions.grams import gram_hits
 from ragspark.functions.sizing import fits, spread
 
 try:
@@ -32,7 +33,7 @@ def term_hits(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str
     shown = [F.col("_text").alias(text)] if keep else []
     listed = _bounded_terms(wanted)
     if listed is None:
-        found = _substring_join(rows, key, wanted)
+        found = _gram_join(rows, key, wanted)
         return found.join(texts.select(key, text), key) if keep else found
     if not listed:
         return rows.select(key, F.array().cast("array<string>").alias("terms"), *shown)
@@ -63,23 +64,7 @@ def _bounded_terms(wanted: DataFrame) -> list[str] | None:
         head.unpersist()
 
 
-def _substring_join(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    lengths = wanted.agg(F.sort_array(F.collect_set(F.length("term")))).scalar()
-    pieces = F.flatten(
-        F.transform(
-            F.filter(F.col("_lengths"), lambda n: n <= F.length("_text")),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.length("_text") - n + 1), lambda i: F.substring(F.col("_text"), i, n)
-            ),
-        )
-    )
-    found = (
-        rows.withColumn("_lengths", lengths)
-        .select(key, F.explode(F.array_distinct(pieces)).alias("term"))
-        .join(wanted, "term")
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    )
-    return rows.select(key).join(found, key, "left").withColumn(
-        "terms", F.coalesce("terms", F.array().cast("array<string>"))
-    )
+def _gram_join(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    hits = gram_hits(rows, key, "_text", wanted).groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    return rows.select(key).join(hits, F.col(key).eqNullSafe(F.col("_key")), "left").select(
+        key, F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))

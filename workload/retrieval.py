@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ragspark.functions.sizing import settled
 from ragspark.functions.text import tokenize
 from ragspark.operators import cells, dense, filters, fusion, keyword, lexical, rerank, rewrite
+from ragspark.operators.gram_index import GramIndex
 from ragspark.operators.vectorize import bucket_idf, hashed_tfidf
 from ragspark.plans import retrieval as plans
 from ragspark.session import work_path
@@ -83,6 +84,15 @@ def substring_search(spark, sf):
     return out.select("term", "doc_id", "match_count", joined(F.col("match_positions").cast("array<string>")).alias("positions"))
 
 
+def gram_search(spark, sf):
+    """Every word of the benchmark items, and every first three characters of one, in the texts, by a stored index of grams."""
+    docs = B.documents(spark, sf)
+    words = B.table(spark, sf, "benchmark").select(F.explode(tokenize(F.col("text"), "words")).alias("w")).distinct()
+    terms = words.select(F.explode(F.array("w", F.substring("w", 1, 3))).alias("term"))
+    index = GramIndex.build(docs, work_path(spark, "grams"), slots=32)
+    return index.hits(terms).groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"), F.sum("doc_id").alias("doc_sum"))
+
+
 # ---- dense ----
 
 def cosine_pairs(spark, sf):
@@ -293,7 +303,7 @@ def tfidf_vectors(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     bm25_term_stats, bm25_topk, bm25_all_scores, bm25_post_filter, bm25_pre_filter, bm25_pair_scores, query_keywords,
-    keyword_search, keyword_topk, substring_search, cosine_pairs, semantic_search, semantic_floor, dense_topk, cells_topk, dense_filtered,
+    keyword_search, keyword_topk, substring_search, gram_search, cosine_pairs, semantic_search, semantic_floor, dense_topk, cells_topk, dense_filtered,
     hybrid_merge, basic_retrieve, similarity_floor, filter_or_all, rrf_fusion, rrf_payload, rrf_unbounded, weighted_rrf, score_minmax,
     score_zscore, query_expand, rewrite_batch, rerank_topk, pair_scores, model_rerank, model_pair_scores, multi_query_rrf, graph_retrieve, hybrid_search,
     routed_retrieve, tfidf_vectors)}
@@ -412,6 +422,8 @@ UNION ALL SELECT query_id, -1, 0.0, n FROM (SELECT q.query_id, (SELECT count(*)
 o AS (SELECT term, doc_id, k, strpos(c, k) AS pos, substr(c, strpos(c, k) + 1) AS rest FROM low
   UNION ALL SELECT term, doc_id, k, pos + strpos(rest, k), substr(rest, strpos(rest, k) + 1) FROM o WHERE strpos(rest, k) > 0)
 SELECT term, doc_id, count(*) AS match_count, array_to_string(list(pos - 1 ORDER BY pos)[1:5], '|') AS positions FROM o GROUP BY term, doc_id""",
+    "gram_search": f"""WITH gw AS (SELECT DISTINCT unnest({B.TOKENS.format('text')}) AS w FROM benchmark), gt AS (SELECT w AS term FROM gw UNION SELECT substr(w, 1, 3) FROM gw)
+SELECT term, count(*) AS n_docs, min(doc_id) AS first_doc, sum(doc_id)::BIGINT AS doc_sum FROM gt JOIN documents ON contains(text, term) GROUP BY term""",
     "cosine_pairs": """SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0.0 AS similarity
   FROM embeddings a JOIN (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label) f USING (label) JOIN embeddings b ON b.vec_id = f.vec_id""",
     "semantic_search": """WITH cells AS (SELECT label, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS pos FROM embeddings),
