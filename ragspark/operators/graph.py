@@ -7,13 +7,14 @@ edges: source, target, relation, properties, ord; at most one edge per (source,
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.functions.containment import term_hits
 from ragspark.functions.ranking import rank_rows
-from ragspark.functions.sizing import broadcast_if_small
+from ragspark.functions.sizing import broadcast_if_small, settled
 from ragspark.functions.text import label_of
 from ragspark.lexicons import (
     NODE_COLORS,
@@ -27,6 +28,7 @@ from ragspark.session import checkpoint_root
 NODE_DEFAULTS = {"type": "unknown"}
 RELATION_DEFAULT = "related_to"
 ROUNDS_BEFORE_CHECKPOINT = 2
+TWO_SIDED_ABOVE = 20_000_000
 
 
 def _latest(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -102,20 +104,55 @@ def reverse_names(ids: DataFrame, nodes: DataFrame, edges: DataFrame, node_type:
     return incoming.join(broadcast_if_small(ids.select("id").distinct()), "id", "left_semi").join(typed, "source_id")
 
 
-def find_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, max_length: int = 3) -> DataFrame:
-    """All simple directed paths of at most `max_length` edges, (source, target, path).
+def _stepped(front: DataFrame, key: str, links: DataFrame, near: str, far: str) -> DataFrame:
+    """(key, _node) one link further; a return to the start is on no simple path."""
+    step = links.join(front.withColumnRenamed("_node", near), near).select(key, F.col(far).alias("_node"))
+    return step.where(F.col("_node") != F.col(key)).distinct()
+
+
+def _cost(front: DataFrame, links: DataFrame, near: str) -> int:
+    """Rows that the next step makes: the links at the nodes of the front."""
+    degree = links.groupBy(F.col(near).alias("_node")).agg(F.count(F.lit(1)).alias("_n"))
+    return front.groupBy("_node").agg(F.count(F.lit(1)).alias("_m")).join(degree, "_node").agg(F.coalesce(F.sum(F.col("_m") * F.col("_n")), F.lit(0))).first()[0]
 
-    Partial paths are kept only while their last node can still reach the pair's target in the edges
-    left, and the last edge is an equi join on both its ends, so dead fan-out is never expanded. Pairs with an
-    unknown end, or with equal ends, have no path.
+
+def path_fronts(pairs: DataFrame, links: DataFrame, max_length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(ahead, behind): ahead[i] (source, _node) with walks of i links from a source, behind[j] (target, _node) with walks of j links to a target.
+
+    There are `max_length` steps in all, and each is made on the side where it makes fewer rows.
     """
-    ids = nodes.select("id")
-    links = edges.select(F.col("source").alias("_from"), F.col("target").alias("_to"))
-    pairs = (
-        pairs.select("source", "target").distinct().where(F.col("source") != F.col("target"))
-        .join(ids.withColumnRenamed("id", "source"), "source", "left_semi")
-        .join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-    )
+    sides = {"source": ("_from", "_to"), "target": ("_to", "_from")}
+    fronts = {key: [pairs.select(key, F.col(key).alias("_node")).distinct()] for key in sides}
+    cost = {key: _cost(fronts[key][-1], links, near) for key, (near, _) in sides.items()}
+    for step in range(max_length):
+        key = min(cost, key=cost.get)
+        near, far = sides[key]
+        fronts[key].append(settled(_stepped(fronts[key][-1], key, links, near, far)))
+        if step < max_length - 1:
+            cost[key] = _cost(fronts[key][-1], links, near)
+    return fronts["source"], fronts["target"]
+
+
+def _half_paths(fronts: list[DataFrame], meets: DataFrame, key: str, depth: str, links: DataFrame, near: str, far: str) -> DataFrame:
+    """(key, _node, _walk, depth): simple walks of `depth` links from the key whose every node leads on to a meeting; _walk runs outwards from the key."""
+    met = lambda k: meets.where(F.col(depth) == k).select(key, "_node")
+    last = len(fronts) - 1
+    needed = {last: met(last).distinct()}
+    for k in range(last - 1, 0, -1):
+        leads = links.join(needed[k + 1].withColumnRenamed("_node", far), far).select(key, F.col(near).alias("_node"))
+        needed[k] = settled(leads.join(fronts[k], [key, "_node"], "left_semi").unionByName(met(k)).distinct())
+    halves = [fronts[0].select(key, "_node", F.array("_node").alias("_walk"))]
+    for k in range(1, last + 1):
+        # Links into needed nodes only: joining these expands nothing in vain.
+        useful = links.join(needed[k].withColumnRenamed("_node", far), far)
+        step = halves[-1].withColumnRenamed("_node", near).join(useful, [key, near])
+        halves.append(settled(step.where(~F.array_contains("_walk", F.col(far))).select(
+            key, F.col(far).alias("_node"), F.concat("_walk", F.array(far)).alias("_walk"))))
+    return reduce(DataFrame.unionByName, [half.withColumn(depth, F.lit(k)) for k, half in enumerate(halves)])
+
+
+def _paths_to_targets(pairs: DataFrame, links: DataFrame, max_length: int) -> DataFrame:
+    """The paths by one plan: partial paths go on while their last node can still reach the pair's target in the edges left."""
     # reach[r]: (node, target) with a walk of exactly r edges from node to target.
     targets = pairs.select("target").distinct()
     within: list[DataFrame] = []
@@ -144,6 +181,37 @@ def find_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, max_length:
     return result
 
 
+def find_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, max_length: int = 3, two_sided_above: int = TWO_SIDED_ABOVE) -> DataFrame:
+    """All simple directed paths of at most `max_length` edges, (source, target, path).
+
+    Walks start from the sources and from the targets and meet in a node; a path is put together from two halves, whose nodes all lie
+    on the way to a meeting of a wanted pair. Up to `two_sided_above` edges times targets, which bounds the rows of a step back from the
+    targets, one plan without stored steps is faster and gives the same. Pairs with an unknown end, or with equal ends, have no path.
+    """
+    ids = nodes.select("id")
+    links = edges.select(F.col("source").alias("_from"), F.col("target").alias("_to"))
+    pairs = settled(
+        pairs.select("source", "target").distinct().where(F.col("source") != F.col("target"))
+        .join(ids.withColumnRenamed("id", "source"), "source", "left_semi")
+        .join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    )
+    if links.count() * pairs.select("target").distinct().count() <= two_sided_above:
+        return _paths_to_targets(pairs, links, max_length)
+    ahead, behind = path_fronts(pairs, links, max_length)
+    lengths = {n: max(0, n - len(behind) + 1) for n in range(1, max_length + 1)}  # edges before the meeting, by edges in all
+    met = []
+    for n, before in lengths.items():
+        near = ahead[before].join(behind[n - before].select("_node").distinct(), "_node", "left_semi")
+        met.append(pairs.join(near, "source").join(behind[n - before], ["target", "_node"]).select(
+            "source", "target", "_node", F.lit(before).alias("_before"), F.lit(n - before).alias("_after")))
+    meets = settled(reduce(DataFrame.unionByName, met))
+    heads = _half_paths(ahead, meets, "source", "_before", links, "_from", "_to")
+    tails = _half_paths(behind, meets, "target", "_after", links, "_to", "_from")
+    whole = meets.join(heads.withColumnRenamed("_walk", "_head"), ["source", "_node", "_before"]).join(tails, ["target", "_node", "_after"])
+    whole = whole.where(F.size(F.array_intersect("_head", "_walk")) == 1)  # the meeting itself
+    return whole.select("source", "target", F.concat("_head", F.reverse(F.slice("_walk", F.lit(1), F.col("_after")))).alias("path"))
+
+
 def ego_nodes(centres: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 1) -> DataFrame:
     """(centre, id): nodes reachable from each existing centre in at most `depth` out-edges."""
     links = edges.select(F.col("source").alias("_from"), F.col("target").alias("_to"))
@@ -161,6 +229,7 @@ def ego_nodes(centres: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int
 
 def ego_edges(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(centre, source, target, relation): edges with both ends among the centre's nodes."""
+    members = settled(members)
     starts = members.withColumnRenamed("id", "source")
     ends = members.withColumnRenamed("id", "target")
     return starts.join(edges.select("source", "target", "relation"), "source").join(ends, ["centre", "target"]).select(

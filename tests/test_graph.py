@@ -88,14 +88,14 @@ def brute_paths(edges, s, t, n):
     return {p for p in found if len(p) - 1 <= n}
 
 
-@pytest.mark.parametrize("length", [1, 2, 3, 4])
-def test_paths_equal_brute_force(spark, length):
+@pytest.mark.parametrize("length, bound", [(1, 0), (2, 0), (3, 0), (3, 10**9), (4, 10**9), (5, 0)])
+def test_paths_equal_brute_force(spark, length, bound):
     rng = random.Random(length)
     names = [f"n{i}" for i in range(9)]
     edges = sorted({(rng.choice(names), rng.choice(names)) for _ in range(26)})
     n, e = make(spark, [(x, x, "t") for x in names], [(a, b, "r") for a, b in edges])
     pairs = [(a, b) for a in names[:4] for b in names[4:]] + [("n0", "n0"), ("n0", "missing"), ("missing", "n1")]
-    got = {tuple(r.path) for r in G.find_paths(spark.createDataFrame(pairs, "source string, target string"), n, e, length).collect()}
+    got = {tuple(r.path) for r in G.find_paths(spark.createDataFrame(pairs, "source string, target string"), n, e, length, bound).collect()}
     want = set()
     for a, b in pairs:
         if a != b and "missing" not in (a, b):
@@ -103,6 +103,23 @@ def test_paths_equal_brute_force(spark, length):
     assert got == want
 
 
+@pytest.mark.parametrize("hub_at_source", [True, False])
+def test_paths_step_on_the_side_of_fewer_rows(spark, hub_at_source):
+    """A hub with dead ends on one side is never stepped through, and half paths keep to the nodes that lead to a meeting."""
+    dead = [("s", f"d{i}") for i in range(300)] + [(f"d{i}", f"e{i}") for i in range(300)]
+    way = [("s", "a"), ("a", "b"), ("b", "c"), ("c", "d"), ("d", "t"), ("a", "c"), ("b", "d")]
+    edges = dead + way if hub_at_source else [(b, a) for a, b in dead + way]
+    names = sorted({x for edge in edges for x in edge})
+    n, e = make(spark, [(x, x, "x") for x in names], [(a, b, "r") for a, b in edges])
+    a, b = ("s", "t") if hub_at_source else ("t", "s")
+    pairs = spark.createDataFrame([(a, b)], "source string, target string")
+    ahead, behind = G.path_fronts(pairs, e.select(F.col("source").alias("_from"), F.col("target").alias("_to")), 5)
+    assert len(ahead) + len(behind) == 7
+    assert sum(f.count() for f in ahead + behind) < 20
+    got = sorted(tuple(r.path) for r in G.find_paths(pairs, n, e, 5, 0).collect())
+    assert set(got) == brute_paths(sorted(set(edges)), a, b, 5) and len(got) == 3
+
+
 @pytest.mark.parametrize("depth", [0, 1, 2, 4])
 def test_ego_subgraph_equals_breadth_first_search(spark, depth):
     rng = random.Random(depth)
