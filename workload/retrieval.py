@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragspark.functions.models import batched_model
 from ragspark.functions.sizing import settled
 from ragspark.functions.text import tokenize
 from ragspark.operators import cells, dense, filters, fusion, keyword, lexical, rerank, rewrite
@@ -256,6 +257,26 @@ def model_pair_scores(spark, sf):
     return rerank.pair_scores(rerank.model_scores(pairs, B.questions(spark, sf), B.documents(spark, sf), word_share))
 
 
+def load_word_share():
+    """Loads the stand-in as a model of batches: it raises on a question of a length divisible by 5."""
+    def model(given):
+        scores = []
+        for question, content in given:
+            if len(question) % 5 == 0:
+                raise ValueError("not scored")
+            words = set(question.split(" "))
+            scores.append(round(sum(w in content for w in words) / len(words), 6))
+        return scores
+    return model
+
+
+def loaded_pair_scores(spark, sf):
+    """Every labelled document against the question its number falls on, by a model that is loaded per task and scores batches of 32."""
+    n = B.questions(spark, sf).agg(F.count(F.lit(1))).scalar()
+    pairs = B.table(spark, sf, "labels").select("doc_id", (F.col("doc_id") % n).alias("query_id")).distinct()
+    return rerank.model_scores(pairs, B.questions(spark, sf), B.documents(spark, sf), batched_model(load_word_share))
+
+
 def _vectors(spark, sf):
     """A vectoriser for questions, and the documents' vectors, both weighed by the documents' idf."""
     docs = B.documents(spark, sf)
@@ -305,7 +326,7 @@ QUERIES = {f.__name__: f for f in (
     bm25_term_stats, bm25_topk, bm25_all_scores, bm25_post_filter, bm25_pre_filter, bm25_pair_scores, query_keywords,
     keyword_search, keyword_topk, substring_search, gram_search, cosine_pairs, semantic_search, semantic_floor, dense_topk, cells_topk, dense_filtered,
     hybrid_merge, basic_retrieve, similarity_floor, filter_or_all, rrf_fusion, rrf_payload, rrf_unbounded, weighted_rrf, score_minmax,
-    score_zscore, query_expand, rewrite_batch, rerank_topk, pair_scores, model_rerank, model_pair_scores, multi_query_rrf, graph_retrieve, hybrid_search,
+    score_zscore, query_expand, rewrite_batch, rerank_topk, pair_scores, model_rerank, model_pair_scores, loaded_pair_scores, multi_query_rrf, graph_retrieve, hybrid_search,
     routed_retrieve, tfidf_vectors)}
 QUERIES["tokenize"] = tokenize_documents
 
@@ -477,6 +498,8 @@ o AS (SELECT query_id, doc_id, coalesce(score, old) AS score, row_number() OVER
 SELECT * FROM o WHERE rank <= 5""",
     "model_pair_scores": f"""WITH {B.QUESTIONS}, p AS (SELECT DISTINCT doc_id, doc_id % (SELECT count(*) FROM qs) AS query_id FROM labels)
 SELECT query_id, doc_id, coalesce({SHARE}, 0.0) AS score FROM p JOIN qs q USING (query_id) JOIN documents d USING (doc_id)""",
+    "loaded_pair_scores": f"""WITH {B.QUESTIONS}, p AS (SELECT DISTINCT doc_id, doc_id % (SELECT count(*) FROM qs) AS query_id FROM labels)
+SELECT query_id, doc_id, {SHARE} AS score FROM p JOIN qs q USING (query_id) JOIN documents d USING (doc_id)""",
     "multi_query_rrf": f"""WITH {VARIANT_BM},\n{VARIANT_DN}, hits AS (SELECT query_id, doc_id, rank FROM vb_top WHERE rank <= 5 UNION ALL SELECT query_id, doc_id, rank FROM vd_top WHERE rank <= 5),
 f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (59 + rank)), 9) AS score, count(*) AS sources_count FROM hits GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS final_rank FROM f) SELECT * FROM o WHERE final_rank <= 10""",
