@@ -10,6 +10,7 @@ from ragspark.operators import classify, filters, lexical, maintain
 from ragspark.operators.segments import SegmentedIndex
 from ragspark.session import work_path
 from ragspark.sources import corpus, graph_files, store
+from ragspark.sources.metadata import path_value, variant_metadata, where_metadata
 from ragspark.streaming import ingest
 from workload import bindings as B
 from workload import params as P
@@ -92,6 +93,18 @@ def metadata_scalar(spark, sf):
     return out.select("doc_id", *[F.col("metadata")[k].alias(k) for k in ("class", "chars", "keywords")])
 
 
+def variant_filter(spark, sf):
+    """Nested metadata of every document, stored as VARIANT and filtered by paths: long or tagged documents of one language family."""
+    docs = B.tagged_documents(spark, sf)
+    nested = F.to_json(F.struct(F.struct("class", F.col("type").alias("origin")).alias("from"), F.struct(F.length("content").alias("chars")).alias("size"), F.col("keywords").alias("tags")))
+    path = work_path(spark, "variant")
+    variant_metadata(docs.select("doc_id", nested.alias("metadata"))).write.mode("overwrite").parquet(path)
+    kept = where_metadata(spark.read.parquet(path), [("$.from.class", "in", ["en", "fr"]), ("$.size.chars", ">=", 400), ("$.tags[0]", "exists")])
+    value = F.col("metadata")
+    return kept.select("doc_id", path_value(value, "$.from.origin", "string").alias("origin"), path_value(value, "$.size.chars", "long").alias("chars"),
+                       path_value(value, "$.tags[0]", "string").alias("first_tag"))
+
+
 def uploads(spark, sf):
     """Two documents share an upload id; the later time wins. Spanish ones come as a type not allowed."""
     kind = F.when(F.col("lang") == "en", "text/plain").when(F.col("lang") == "fr", "text/markdown").when(F.col("lang") == "de", "application/json").otherwise("application/pdf")
@@ -317,7 +330,7 @@ def index_count(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    corpus_scan, json_doc_scan, manifest_missing, format_quarantine, profile_dim, index_reuse, metadata_scalar, upload_ingest, upload_terms,
+    corpus_scan, json_doc_scan, manifest_missing, format_quarantine, profile_dim, index_reuse, metadata_scalar, variant_filter, upload_ingest, upload_terms,
     doc_upsert, doc_delete, doc_by_id, doc_by_type, index_add, index_segments, index_append, index_remove, embed_missing, text_clean, text_stats, code_lookup,
     keyword_tags, excerpt, reading_time, toc_extract, fenced_json, strip_fences, reply_parse, reference_extract, label_lookup, bibliography,
     usable_responses, profile_validate, corpus_summary, top_keywords, index_coverage, index_clear, index_count)}
@@ -354,6 +367,7 @@ ORACLES = {
   FROM nation JOIN (SELECT c_nationkey, count(*) AS n, array_to_string(list_sort(list(DISTINCT c_mktsegment)), '|') AS q FROM customer GROUP BY 1) ON c_nationkey = n_nationkey""",
     "index_reuse": f"SELECT count(DISTINCT term) AS terms, count(*) AS postings, true AS reused FROM (SELECT DISTINCT doc_id, unnest({B.TOKENS.format('text')}) AS term FROM documents)",
     "metadata_scalar": f"""WITH {B.DOCS} SELECT doc_id, class, length(content)::VARCHAR AS chars, CASE WHEN len(keywords) = 0 THEN '[]' ELSE '["' || array_to_string(keywords, '","') || '"]' END AS keywords FROM docs""",
+    "variant_filter": f"WITH {B.DOCS} SELECT doc_id, type AS origin, length(content) AS chars, keywords[1] AS first_tag FROM docs WHERE class IN ('en', 'fr') AND length(content) >= 400 AND len(keywords) > 0",
     "upload_ingest": f"WITH {UPLOADS} SELECT doc_id, length(content) AS chars, 'stored' AS state FROM good UNION ALL SELECT doc_id, length(content), 'quarantined' FROM up WHERE lang = 'es'",
     "upload_terms": f"WITH {UPLOADS} {idf_sql('good')}",
     "doc_upsert": """SELECT doc_id, lang, length(text) AS chars FROM documents WHERE doc_id NOT IN (SELECT item_id * 30 FROM benchmark)
