@@ -108,3 +108,30 @@ def test_stream_ingest_survives_a_replay_and_a_hot_id(spark, tmp_path):
     # The same input under a lost checkpoint lands in the same folders and changes nothing.
     ingest.ingest_uploads(ingest.read_uploads(spark, src), dst, cp + "2").awaitTermination()
     assert rows(ingest.current_documents(spark, dst).select("doc_id", "content")) == want
+
+
+def test_compaction_changes_no_result_and_spares_earlier_batches(spark, tmp_path):
+    src, dst, cp = (str(tmp_path / x) for x in ("in", "store", "cp"))
+    batches = [
+        [("a", "text/plain", "red clay", 5), ("b", "text/plain", "kiln", 5), ("c", "text/plain", "tan", 5)],
+        [("a", "text/plain", "late and older", 1), ("b", "text/plain", "new kiln", 6), ("d", "image/png", "no", 6)],
+        [("c", "text/plain", "same time again", 5), ("e", "text/plain", "", 7), ("b", "text/plain", "kiln again", 8)],
+    ]
+    want, seen = {}, {}
+    for n, batch in enumerate(batches):
+        uploads(spark, src, batch, n)
+        ingest.ingest_uploads(ingest.read_uploads(spark, src), dst, cp).awaitTermination()
+        for i, kind, text, sec in batch:
+            if kind != "image/png" and (sec, n) >= seen.get(i, (-1, -1)):
+                seen[i], want[i] = (sec, n), text
+        for compacting in (False, True):
+            if compacting and n < 2:
+                assert ingest.compact(spark, dst) == n == ingest.compacted_upto(spark, dst)
+            assert {r.doc_id: r.content for r in ingest.current_documents(spark, dst).collect()} == want
+            words = {(r.doc_id, r.term) for r in ingest.current_postings(spark, dst).collect() if r.term is not None}
+            assert words == {(i, w) for i, text in want.items() for w in text.split()}
+    for part in ("versions", "postings"):  # a file that cannot be read shows that no one opens the folder
+        (tmp_path / "store" / part / "batch=0" / "part-x.parquet").write_bytes(b"no parquet")
+    assert {r.doc_id: r.content for r in ingest.current_documents(spark, dst).collect()} == want
+    assert ingest.current_postings(spark, dst).count() > 0
+    assert ingest.compact(spark, str(tmp_path / "none")) == -1

@@ -134,6 +134,18 @@ def upload_terms(spark, sf):
     return lexical.index_of_postings(postings).term_stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+def upload_compacted(spark, sf):
+    """Two deliveries with a compaction between them: the second version of each upload id comes after it."""
+    folder = work_path(spark, "uploads")
+    state = f"{folder}/store"
+    for late in (0, 1):
+        uploads(spark, sf).where(F.timestamp_diff("SECOND", F.timestamp_seconds(F.lit(1_700_000_000)), "uploaded_at") % 2 == late).repartition(2).write.mode("append").parquet(f"{folder}/in")
+        ingest.ingest_uploads(ingest.read_uploads(spark, f"{folder}/in"), state, f"{folder}/checkpoint").awaitTermination()
+        if late == 0:
+            ingest.compact(spark, state)
+    return ingest.current_documents(spark, state).select("doc_id", F.md5(F.col("content").cast("binary")).alias("digest"), F.length("content").cast("long").alias("chars"))
+
+
 # ---- maintenance ----
 
 def doc_upsert(spark, sf):
@@ -330,7 +342,7 @@ def index_count(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    corpus_scan, json_doc_scan, manifest_missing, format_quarantine, profile_dim, index_reuse, metadata_scalar, variant_filter, upload_ingest, upload_terms,
+    corpus_scan, json_doc_scan, manifest_missing, format_quarantine, profile_dim, index_reuse, metadata_scalar, variant_filter, upload_ingest, upload_terms, upload_compacted,
     doc_upsert, doc_delete, doc_by_id, doc_by_type, index_add, index_segments, index_append, index_remove, embed_missing, text_clean, text_stats, code_lookup,
     keyword_tags, excerpt, reading_time, toc_extract, fenced_json, strip_fences, reply_parse, reference_extract, label_lookup, bibliography,
     usable_responses, profile_validate, corpus_summary, top_keywords, index_coverage, index_clear, index_count)}
@@ -369,6 +381,7 @@ ORACLES = {
     "metadata_scalar": f"""WITH {B.DOCS} SELECT doc_id, class, length(content)::VARCHAR AS chars, CASE WHEN len(keywords) = 0 THEN '[]' ELSE '["' || array_to_string(keywords, '","') || '"]' END AS keywords FROM docs""",
     "variant_filter": f"WITH {B.DOCS} SELECT doc_id, type AS origin, length(content) AS chars, keywords[1] AS first_tag FROM docs WHERE class IN ('en', 'fr') AND length(content) >= 400 AND len(keywords) > 0",
     "upload_ingest": f"WITH {UPLOADS} SELECT doc_id, length(content) AS chars, 'stored' AS state FROM good UNION ALL SELECT doc_id, length(content), 'quarantined' FROM up WHERE lang = 'es'",
+    "upload_compacted": f"WITH {UPLOADS} SELECT doc_id, md5(content) AS digest, length(content) AS chars FROM good",
     "upload_terms": f"WITH {UPLOADS} {idf_sql('good')}",
     "doc_upsert": """SELECT doc_id, lang, length(text) AS chars FROM documents WHERE doc_id NOT IN (SELECT item_id * 30 FROM benchmark)
 UNION ALL SELECT item_id * 30, 'new', length(text) FROM benchmark""",
