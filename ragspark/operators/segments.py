@@ -9,7 +9,7 @@ Statistics are sums over those counts. A reader sees the changes that are in the
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 
 from ragspark.functions.sizing import broadcast_if_small, settled
 from ragspark.operators.lexical import (
-    Bm25Index, document_frequency, lengths_of, postings_of, read_bucketed, statistics_of_counts, store_bucketed, term_caps, token_rows)
+    PART_BYTES, Bm25Index, buckets_for, document_frequency, lengths_of, postings_of, read_bucketed, statistics_of_counts, store_bucketed, term_caps,
+    text_bytes, token_rows)
+
+PART_TOKENS = 3_000_000  # about those of PART_BYTES of text; a merge makes more buckets where they would hold more
 
 LOG = "version long, kind string, folder string, buckets int, key string, n_docs long"
 PARTS = {"postings": "doc_id {key}, doc_len bigint, term string, tf bigint", "doc_len": "doc_id {key}, doc_len bigint", "ids": "doc_id {key}"}
@@ -36,11 +39,11 @@ class SegmentedIndex:
 
     @staticmethod
     def create(docs: DataFrame, path: str, buckets: int | None = None, text: str = "content", mode: str = "mixed") -> SegmentedIndex:
-        """A new index of docs (doc_id, content), whose base is its first segment."""
+        """A new index of docs (doc_id, content), whose base is its first segment. Choose `buckets` for the texts that are expected; the default suits the base."""
         spark = docs.sparkSession
-        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = buckets or buckets_for(docs, text)
         empty = SegmentedIndex(spark, path, (), buckets, docs.schema["doc_id"].dataType.simpleString(), 0)
-        return empty._written("merge", postings_of(token_rows(docs, text, mode)))
+        return empty._written("merge", postings_of(token_rows(docs, text, mode, empty._parts_of(docs, text))))
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> SegmentedIndex:
@@ -63,6 +66,10 @@ class SegmentedIndex:
         term_caps(stored).write.parquet(f"{folder}/caps")
         return self._logged(kind, folder, lengths.count())
 
+    def _parts_of(self, docs: DataFrame, text: str) -> int:
+        """Tasks that count the postings of an addition: a multiple of the buckets, so each writes to one bucket."""
+        return self.buckets * max(1, -(-text_bytes(docs, text) // (self.buckets * PART_BYTES)))
+
     def _read(self, folder: str, part: str) -> DataFrame:
         return read_bucketed(self.spark, f"{folder}/{part}", self.buckets, schema=PARTS[part].format(key=self.key))
 
@@ -98,7 +105,7 @@ class SegmentedIndex:
 
     def add(self, delta: DataFrame, text: str = "content", mode: str = "mixed") -> SegmentedIndex:
         """The index with those documents of `delta` whose id it does not hold."""
-        return self._written("add", postings_of(token_rows(self._unknown(delta), text, mode)))
+        return self._written("add", postings_of(token_rows(self._unknown(delta), text, mode, self._parts_of(delta, text))))
 
     def _unknown(self, delta: DataFrame) -> DataFrame:
         """Documents whose id no segment holds: the addition is placed once and meets each segment where that lies."""
@@ -127,7 +134,10 @@ class SegmentedIndex:
 
     def merge(self) -> SegmentedIndex:
         """The same index in one segment. Earlier folders stay until `vacuum`, for readers that opened them."""
-        return self._written("merge", self._live("postings"))
+        tokens = self._live("doc_len").agg(F.coalesce(F.sum("doc_len"), F.lit(0))).first()[0]
+        buckets, postings = max(self.buckets, -(-tokens // PART_TOKENS)), self._live("postings")
+        grown = postings if buckets == self.buckets else postings.repartition(buckets, "doc_id")
+        return replace(self, buckets=buckets)._written("merge", grown)
 
     def vacuum(self) -> int:
         """Delete the folders that the log no longer leads to; returns how many."""

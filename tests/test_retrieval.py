@@ -530,3 +530,15 @@ def test_length_classes_without_heavy_terms_are_skipped(spark):
     assert found.count() == 20  # the long documents' class is not met
     order = [F.desc("score"), F.asc("doc_id")]
     assert rows(ranking.top_k(found, ["query_id"], order, 5)) == rows(ranking.top_k(lexical.bm25_matches(asked, index), ["query_id"], order, 5))
+
+
+def test_tasks_of_the_index_build_hold_bounded_text(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"alpha beta{i % 7} gamma{i % 5} " * 10) for i in range(60)] + [(60, None)], "doc_id long, content string")
+    asked = spark.createDataFrame([(1, "beta3 gamma2")], "query_id long, question string")
+    whole = rows(lexical.bm25_matches(asked, lexical.bm25_index(docs).save(str(tmp_path / "few"))))
+    monkeypatch.setattr(lexical, "PART_BYTES", 1_000)
+    size = sum(len(r["content"]) for r in docs.where("content IS NOT NULL").collect())
+    assert lexical.token_rows(docs).rdd.getNumPartitions() == -(-size // 1_000) > 4
+    stored = lexical.bm25_index(docs).save(str(tmp_path / "many"))
+    assert spark.read.parquet(str(tmp_path / "many/layout")).first()["buckets"] == -(-size // 1_000)
+    assert rows(lexical.bm25_matches(asked, stored)) == whole

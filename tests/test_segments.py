@@ -93,3 +93,21 @@ def test_empty_base_and_empty_changes(spark, tmp_path):
     index, found = index.remove(none.select("doc_id"))
     assert rows(found) == []
     same(index, docs, spark)
+
+
+def test_buckets_grow_with_the_texts_at_a_merge_and_tasks_with_an_addition(spark, tmp_path, monkeypatch):
+    from ragspark.operators import segments
+
+    docs = {i: (i, f"alpha beta{i % 7} gamma{i % 5}") for i in range(40)}
+    index = SegmentedIndex.create(spark.createDataFrame([docs[i] for i in range(10)], SCHEMA), str(tmp_path / "ix"), 2)
+    monkeypatch.setattr(segments, "PART_BYTES", 100)
+    monkeypatch.setattr(segments, "PART_TOKENS", 20)
+    more = spark.createDataFrame([docs[i] for i in range(10, 40)], SCHEMA)
+    assert index._parts_of(more, "content") > 2 and index._parts_of(more, "content") % 2 == 0
+    added = index.add(more)
+    merged = added.merge()
+    assert added.buckets == 2 and merged.buckets == 6  # 120 tokens
+    whole = lexical.bm25_index(spark.createDataFrame(list(docs.values()), SCHEMA))
+    for found in (added, merged):
+        assert rows(found.index().term_stats.select("term", "df")) == rows(whole.term_stats.select("term", "df"))
+    assert rows(merged.index().postings.select(*whole.postings.columns)) == rows(whole.postings)

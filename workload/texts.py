@@ -181,7 +181,7 @@ def index_add(spark, sf):
 def index_segments(spark, sf):
     """English documents as base, all others added, toxic ones removed, questions added, and all of it merged."""
     docs = B.documents(spark, sf)
-    index = SegmentedIndex.create(docs.where("class = 'en'"), work_path(spark, "segments")).add(docs)
+    index = SegmentedIndex.create(docs.where("class = 'en'"), work_path(spark, "segments"), lexical.buckets_for(docs)).add(docs)
     index, _ = index.remove(B.table(spark, sf, "labels").where("toxic = 1"))
     asked = B.questions(spark, sf).select((F.col("query_id") + 10_000_000).alias("doc_id"), F.col("question").alias("content"))
     return index.add(asked).merge().index().term_stats.select("term", "df", F.round("idf", 6).alias("idf"))
