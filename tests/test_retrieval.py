@@ -542,3 +542,17 @@ def test_tasks_of_the_index_build_hold_bounded_text(spark, tmp_path, monkeypatch
     stored = lexical.bm25_index(docs).save(str(tmp_path / "many"))
     assert spark.read.parquet(str(tmp_path / "many/layout")).first()["buckets"] == -(-size // 1_000)
     assert rows(lexical.bm25_matches(asked, stored)) == whole
+
+
+@pytest.mark.parametrize("keep", [False, True])
+def test_texts_are_scanned_a_few_at_a_time(spark, monkeypatch, keep):
+    from ragspark.functions import containment
+
+    texts = spark.createDataFrame([(i, f"word{i} and word{i + 1}") for i in range(70)] + [(70, None), (71, "")], "doc_id long, c string")
+    terms = spark.createDataFrame([(f"word{i}",) for i in range(60)], "term string")
+    plain = rows(containment._gram_join(texts.withColumnRenamed("c", "_text"), "doc_id", terms))
+    monkeypatch.setattr(containment, "SCAN_ROWS", 4)
+    found = containment.term_hits(texts, "doc_id", "c", terms, keep=keep)
+    assert found.columns == ["doc_id", "terms", *(["c"] if keep else [])]
+    assert rows(found.select("doc_id", "terms")) == plain
+    assert not keep or rows(found.select("doc_id", "c")) == rows(texts)
