@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from ragspark.functions.grams import PICKS, Q, holders, long_term_grams, pick_grams, text_grams, verified
 from ragspark.functions.sizing import broadcast_if_small, settled, spread
+from ragspark.operators.lexical import buckets_for
 
 SLOTS = 256  # folders of postings, and of texts
+GRAM_PARTS = 4  # tasks that sort the postings of PART_BYTES of text: 64 million postings of 173 MB in 12 tasks took 805 MB each and spilled
+LANES = 8  # pieces of postings per task, about, so that tasks get alike many
 META = "q int, slots int"
 
 
@@ -36,8 +39,11 @@ class GramIndex:
         rows = docs.select("doc_id", F.col(text).alias("text"))
         texts = rows.where(F.length("text") > 0).withColumn("slot", _slot("doc_id", slots)).repartitionByRange("slot", "doc_id", F.xxhash64("text"))
         texts.write.mode("overwrite").partitionBy("slot").parquet(f"{path}/texts")
-        grams = spread(rows, "doc_id").select("doc_id", F.explode(text_grams(F.col("text"), q)).alias("gram")).withColumn("slot", _slot("gram", slots))
-        placed = grams.repartitionByRange("slot", "gram", "doc_id").sortWithinPartitions("slot", "gram", "doc_id")
+        parts = GRAM_PARTS * buckets_for(rows, "text")
+        lanes = -(-LANES * parts // slots)
+        grams = spread(rows, "doc_id").select("doc_id", F.explode(text_grams(F.col("text"), q)).alias("gram"))
+        placed = grams.repartition(parts, _slot("gram", slots), _slot("doc_id", lanes)).withColumn("slot", _slot("gram", slots))
+        placed = placed.sortWithinPartitions("slot", "gram", "doc_id")
         placed.write.mode("overwrite").partitionBy("slot").parquet(f"{path}/postings")
         spark = docs.sparkSession
         counts = spark.read.schema(GramIndex._postings(rows)).parquet(f"{path}/postings").groupBy("slot", "gram").agg(F.count(F.lit(1)).alias("df"))

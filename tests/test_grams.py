@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ragspark.functions import grams
 from ragspark.operators.gram_index import GramIndex
+from tests.conftest import rows
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +73,16 @@ def test_short_terms_need_no_text(spark, tmp_path):
     index = GramIndex.build(docs, str(tmp_path), slots=8)
     got = index.candidates(spark.createDataFrame([("bc",), ("d",), ("z",), ("abcd",)], "term string"))
     assert {tuple(r) for r in got.collect()} == {("bc", 1), ("bc", 2), ("d", 1), ("z", 3), ("abcd", 1)}
+
+
+def test_tasks_of_the_gram_build_grow_with_the_texts(spark, tmp_path, monkeypatch):
+    from ragspark.operators import lexical
+
+    docs = spark.createDataFrame([(i, f"common words and number{i:04d}") for i in range(200)], "doc_id long, content string")
+    few = GramIndex.build(docs, str(tmp_path / "few"), slots=2)
+    monkeypatch.setattr(lexical, "PART_BYTES", 1_000)
+    many = GramIndex.build(docs, str(tmp_path / "many"), slots=2)
+    files = lambda name: spark.read.parquet(str(tmp_path / name / "postings")).select(F.input_file_name()).distinct().count()
+    assert files("many") > files("few")
+    terms = spark.createDataFrame([("common",), ("number0007",), ("er0",)], "term string")
+    assert rows(few.hits(terms)) == rows(many.hits(terms)) and few.hits(terms).where("term = 'common'").count() == 200
