@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,10 @@ FACTOR = 0.8
 
 PRUNE_ABOVE = 20_000_000  # questions times documents, above which pairs are only made where they can matter
 OWN_CLASSES = 16  # documents are told apart by their number of own keywords up to it
+TASK_PAIRS = 250_000  # pairs of a question and a document that a task sums points for, at most on average
+MAX_TASKS = 20_000
+BITS = 63  # words of a question that share a number
+PAIR_COST = 32  # counting the words of a given pair costs about as much as so many rows of a word in a text
 
 
 def query_keywords(queries: DataFrame, text: str = "question", stopwords: Sequence[str] = STOPWORDS) -> DataFrame:
@@ -26,8 +31,9 @@ def query_keywords(queries: DataFrame, text: str = "question", stopwords: Sequen
 
 
 def _sides(queries: DataFrame, docs: DataFrame, text: str, content: str, doc_keywords: str | None, stopwords: Sequence[str],
-           side: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Questions (query_id, keywords, needles with their points, named document keywords, n_kw) and documents (doc_id, found needles, own).
+           side: list[str]) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Questions (query_id, keywords, needles with their points, named document keywords, n_kw), documents (doc_id, found needles, own)
+    and the spellings (needle, own) of the documents' keywords.
 
     Containment is tested with the lower-cased keyword; the reported keyword keeps its case.
     """
@@ -38,17 +44,18 @@ def _sides(queries: DataFrame, docs: DataFrame, text: str, content: str, doc_key
     words = words.withColumn("worth", F.map_from_entries("needles"))
     needles = words.select(F.explode("needles.needle").alias("needle")).distinct()
     found = term_hits(docs.select("doc_id", F.lower(content).alias("_c")), "doc_id", "_c", needles, "needle")
+    spellings = None
     if doc_keywords:
         own = F.coalesce(F.col(doc_keywords), F.array().cast("array<string>")).alias("own")
         found = found.join(docs.select("doc_id", *side, own), "doc_id")
-        vocabulary = docs.select(F.explode(doc_keywords).alias("kw")).select(F.lower("kw").alias("needle"))
-        named = term_hits(words, "query_id", "_q", vocabulary, "needle").withColumnRenamed("terms", "named")
+        spellings = settled(docs.select(F.explode(doc_keywords).alias("own")).distinct().select(F.lower("own").alias("needle"), "own"))
+        named = term_hits(words, "query_id", "_q", spellings, "needle").withColumnRenamed("terms", "named")
         words = words.join(named, "query_id")
     else:
         found = found.join(docs.select("doc_id", *side), "doc_id") if side else found
         found = found.withColumn("own", F.array().cast("array<string>"))
         words = words.withColumn("named", F.array().cast("array<string>"))
-    return words.drop("_q"), found.select("doc_id", *side, "terms", "own")
+    return words.drop("_q"), found.select("doc_id", *side, "terms", "own"), spellings
 
 
 def _similarity(points: Column) -> Column:
@@ -115,13 +122,14 @@ def _reaching(least: DataFrame, legs: DataFrame, questions: DataFrame, hits: Dat
     by_text = (F.col("need_less") >= 1) & (cost(word & (F.col("tail") >= F.col("need_less"))) <= cost(~word | (F.col("tail") >= F.col("need"))))
     enough = F.when(F.col("by_text"), F.col("need_less")).otherwise(F.col("need"))
     rows = rows.withColumn("by_text", by_text).where((word & (F.col("tail") >= enough)) | (~word & ~F.col("by_text")))
-    return settled(rows.select("query_id", "own_class", "leg", "needle"))
+    return settled(rows.select("query_id", "own_class", "leg", "needle", "df"))
 
 
-def _bounded_search(questions: DataFrame, hits: DataFrame, side: list[str], floor: float | None, k: int | None, with_matches: bool) -> DataFrame:
+def _bounded_search(questions: DataFrame, hits: DataFrame, side: list[str], floor: float | None, k: int | None, with_matches: bool, tasks: int | None) -> DataFrame:
     """Pairs at or above the floor, or the k best, without a row for every pair that shares a word.
 
     For the k best, the documents of each question's rarest words are counted first; their k-th similarity is the floor.
+    With `tasks`, points are summed over all words in so many tasks where the floor leaves so many words that counting each pair costs more.
     """
     hits, questions = settled(hits.withColumn("own_class", F.least(F.size("own"), F.lit(OWN_CLASSES)))), settled(questions)
     legs = _legs(questions, hits)
@@ -133,7 +141,11 @@ def _bounded_search(questions: DataFrame, hits: DataFrame, side: list[str], floo
         best = top_k(_pair_rows(sample, questions, hits, False), ["query_id"], [F.desc("similarity"), F.asc("doc_id")], k)
         low = best.groupBy("query_id").agg(F.min("similarity").alias("_low"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == k)
         least = least.join(low, "query_id", "left").select("query_id", F.greatest("least", F.coalesce("_low", F.lit(0.0))).alias("least"))
-    found = _pair_rows(_pairs(_reaching(least, legs, questions, hits), questions, hits, side), questions, hits, False).where("match_count > 0")
+    reach = _reaching(least, legs, questions, hits)
+    every, left = (rows.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0] for rows in (legs, reach))
+    if tasks and left * PAIR_COST > every:
+        return _best(_summed(questions, hits, side, tasks), questions, hits, floor, k, with_matches)
+    found = _pair_rows(_pairs(reach.drop("df"), questions, hits, side), questions, hits, False).where("match_count > 0")
     return _best(found.withColumn("retrieval_type", F.lit("keyword")), questions, hits, floor, k, with_matches)
 
 
@@ -149,7 +161,64 @@ def _best(found: DataFrame, questions: DataFrame, hits: DataFrame, floor: float
 
 def many_pairs(queries: DataFrame, docs: DataFrame, above: int | None = None) -> bool:
     """Whether questions times documents exceed the bound up to which making all pairs is cheaper than choosing among them."""
-    return queries.count() * docs.count() > (PRUNE_ABOVE if above is None else above)
+    return _count_pairs(queries, docs) > (PRUNE_ABOVE if above is None else above)
+
+
+def _count_pairs(queries: DataFrame, docs: DataFrame) -> int:
+    return queries.count() * docs.count()
+
+
+def _summed(questions: DataFrame, hits: DataFrame, side: list[str], tasks: int) -> DataFrame:
+    """(query_id, doc_id, match_count, similarity, retrieval_type) of every pair that shares a word.
+
+    Texts are placed by doc_id and the points of a pair are summed where its text lies, in `tasks` tasks of bounded numbers of pairs.
+    """
+    scored = _placed_rows(hits, side, tasks, F.lower).join(broadcast_if_small(_points(questions, side)), ["leg", "needle", *side])
+    scored = scored.groupBy("query_id", "doc_id").agg(F.sum("points").alias("match_count")).join(broadcast_if_small(questions.select("query_id", "n_kw")), "query_id")
+    return scored.select("query_id", "doc_id", "match_count", _similarity(F.col("match_count")).alias("similarity"), F.lit("keyword").alias("retrieval_type"))
+
+
+def _points(questions: DataFrame, side: list[str]) -> DataFrame:
+    """(query_id, leg, needle, points): 0 a word of the question, 1 a document keyword it names."""
+    words = questions.select("query_id", *side, F.lit(0).alias("leg"), F.explode("needles").alias("n")).select("query_id", *side, "leg", "n.needle", "n.points")
+    return words.unionByName(questions.select(
+        "query_id", *side, F.lit(1).alias("leg"), F.explode("named").alias("needle"), F.lit(DOC_KEYWORD_WEIGHT).cast("long").alias("points")))
+
+
+def _placed_rows(hits: DataFrame, side: list[str], tasks: int, spelling: Callable[[Column], Column]) -> DataFrame:
+    """(doc_id, leg, needle): what each text holds, and its own keywords, in `tasks` tasks."""
+    seen = F.transform("terms", lambda t: F.struct(F.lit(0).alias("leg"), t.alias("needle")))
+    owned = F.transform("own", lambda w: F.struct(F.lit(1).alias("leg"), spelling(w).alias("needle")))
+    return hits.repartition(tasks, "doc_id").select("doc_id", *side, F.explode(F.concat(seen, owned)).alias("m")).select("doc_id", *side, "m.leg", "m.needle")
+
+
+def _listed(questions: DataFrame, hits: DataFrame, spellings: DataFrame | None, side: list[str], tasks: int) -> DataFrame:
+    """The rows of `_summed` with matched_keywords.
+
+    The words of a question are numbered, and what a text holds of them is one bit each in `bit_or`: no strings are collected per pair.
+    """
+    legs = _points(questions, side)
+    if spellings is not None:  # keywords are reported as the document spells them
+        legs = legs.where("leg = 0").unionByName(legs.where("leg = 1").join(broadcast_if_small(spellings), "needle").drop("needle").withColumnRenamed("own", "needle"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("leg", "needle")) - 1  # as long as the question
+    places = settled(legs.select("query_id", "leg", "needle").distinct().withColumn("at", place))
+    numbers = range((places.agg(F.max("at")).first()[0] or 0) // BITS + 1)
+    legs = settled(legs.join(places, ["query_id", "leg", "needle"]).withColumn("bit", F.expr(f"shiftleft(1L, at % {BITS})")))
+    part = lambda n: F.when(F.floor(F.col("at") / BITS) == n, F.col("bit")).otherwise(F.lit(0).cast("long"))
+    masks = [F.bit_or(part(n)).alias(f"_m{n}") for n in numbers]
+    asked = questions.withColumn("_row", F.monotonically_increasing_id())
+    marked = legs.select("query_id", "leg", "needle", "at", "bit").distinct()
+    spoken = asked.select("_row", "query_id", F.explode("kws").alias("word")).withColumn("needle", F.lower("word")).join(marked.where("leg = 0"), ["query_id", "needle"])
+    own = asked.select("_row", "query_id").join(marked.where("leg = 1"), "query_id").withColumn("word", F.col("needle"))
+    kept = ["_row", "word", "at", "bit"]
+    words = spoken.select(*kept).unionByName(own.select(*kept)).groupBy("_row", "word").agg(*masks)
+    shown = words.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("word", *[f"_m{n}" for n in numbers]))).alias("_shown"))
+    shown = settled(asked.select("_row", "query_id", "n_kw").join(shown, "_row").drop("_row"))
+    scored = _placed_rows(hits, side, tasks, lambda w: w).join(broadcast_if_small(legs), ["leg", "needle", *side])
+    scored = scored.groupBy("query_id", "doc_id").agg(F.sum("points").alias("match_count"), *masks).join(broadcast_if_small(shown), "query_id")
+    held = F.filter("_shown", lambda w: reduce(Column.__or__, [F.col(f"_m{n}").bitwiseAND(w[f"_m{n}"]) != 0 for n in numbers]))
+    return scored.select("query_id", "doc_id", "match_count", held["word"].alias("matched_keywords"),
+                         _similarity(F.col("match_count")).alias("similarity"), F.lit("keyword").alias("retrieval_type"))
 
 
 def keyword_search(queries: DataFrame, docs: DataFrame, text: str = "question", content: str = "content",
@@ -165,32 +234,18 @@ def keyword_search(queries: DataFrame, docs: DataFrame, text: str = "question",
 
     Each document is scanned once. With `floor` only hits of that similarity, with `k` only the k best per question are made: pairs
     come from words rare enough that no hit can do without all of them (up to `prune_above` questions times documents, from all words, which
-    is cheaper there and gives the same). Without either, the result is every pair that shares a word.
+    is cheaper there and gives the same; beyond PRUNE_ABOVE, if `prune_above` is not given, whichever is cheaper). Without either, the result is every pair that shares a word.
     """
     side = [scope] if scope else []
-    questions, hits = _sides(queries, docs, text, content, doc_keywords, stopwords, side)
-    bounded = k is not None or floor is not None
-    if bounded and many_pairs(queries, docs, prune_above):
-        return _bounded_search(questions, hits, side, floor, k, with_matches)
-    questions, listed = settled(questions), with_matches and not bounded
-    legs = questions.select("query_id", *side, F.lit(0).alias("leg"), F.explode("needles").alias("n")).select("query_id", *side, "leg", "n.needle", "n.points")
-    named = questions.select("query_id", *side, F.lit(1).alias("leg"), F.explode("named").alias("needle"), F.lit(DOC_KEYWORD_WEIGHT).cast("long").alias("points"))
-    seen = F.transform("terms", lambda t: F.struct(F.lit(0).alias("leg"), t.alias("needle"), F.lit(None).cast("string").alias("own")))
-    owned = F.transform("own", lambda w: F.struct(F.lit(1).alias("leg"), F.lower(w).alias("needle"), w.alias("own")))
-    rows = hits.repartition("doc_id").select("doc_id", *side, F.explode(F.concat(seen, owned)).alias("m")).select("doc_id", *side, "m.leg", "m.needle", "m.own")
-    legs = legs.unionByName(named)
-    joined = rows.join(F.broadcast(legs) if fits(legs) else legs, ["leg", "needle", *side])
-    sizes = questions.select("query_id", "n_kw", *(["kws"] if listed else []))
-    measures = [F.sum("points").alias("match_count")]
-    if listed:
-        measures += [F.collect_set(F.when(F.col("leg") == 0, F.col("needle"))).alias("_seen"), F.collect_set("own").alias("_own")]
-    scored = joined.groupBy("query_id", "doc_id").agg(*measures).join(F.broadcast(sizes) if fits(sizes) else sizes, "query_id")
-    scored = scored.withColumn("similarity", _similarity(F.col("match_count"))).withColumn("retrieval_type", F.lit("keyword"))
-    if not listed:
-        return _best(scored.select("query_id", "doc_id", "match_count", "similarity", "retrieval_type"), questions, hits, floor, k, with_matches)
-    spoken = F.filter("kws", lambda w: F.array_contains("_seen", F.lower(w)))
-    matched = F.array_sort(F.array_distinct(F.concat(spoken, "_own"))).alias("matched_keywords")
-    return scored.select("query_id", "doc_id", "match_count", matched, "similarity", "retrieval_type")
+    questions, hits, spellings = _sides(queries, docs, text, content, doc_keywords, stopwords, side)
+    bounded, pairs = k is not None or floor is not None, _count_pairs(queries, docs)
+    tasks = min(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // TASK_PAIRS)), MAX_TASKS)
+    if bounded and pairs > (PRUNE_ABOVE if prune_above is None else prune_above):
+        return _bounded_search(questions, hits, side, floor, k, with_matches, tasks if prune_above is None else None)
+    questions = settled(questions)
+    if with_matches and not bounded:
+        return _listed(questions, hits, spellings, side, tasks)
+    return _best(_summed(questions, hits, side, tasks), questions, hits, floor, k, with_matches)
 
 
 def keyword_pairs(pairs: DataFrame, queries: DataFrame, docs: DataFrame, text: str = "question", content: str = "content",
@@ -198,7 +253,7 @@ def keyword_pairs(pairs: DataFrame, queries: DataFrame, docs: DataFrame, text: s
     """(query_id, doc_id, match_count, similarity) of given pairs, zeros included; nothing else is counted."""
     wanted = settled(pairs.select("query_id", "doc_id").distinct())
     held = docs.join(broadcast_if_small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
-    questions, hits = _sides(queries, held, text, content, doc_keywords, stopwords, [])
+    questions, hits, _ = _sides(queries, held, text, content, doc_keywords, stopwords, [])
     return _pair_rows(wanted, questions, hits, False)
 
 
