@@ -556,3 +556,44 @@ def test_texts_are_scanned_a_few_at_a_time(spark, monkeypatch, keep):
     assert found.columns == ["doc_id", "terms", *(["c"] if keep else [])]
     assert rows(found.select("doc_id", "terms")) == plain
     assert not keep or rows(found.select("doc_id", "c")) == rows(texts)
+
+
+def test_keyword_lists_hold_more_words_than_bits_without_collecting_them(spark, monkeypatch):
+    monkeypatch.setattr(keyword, "TASK_PAIRS", 2)
+    long = " ".join(f"w{i:03d}" for i in range(150))
+    docs = spark.createDataFrame([(1, long, ["W000", "w149"]), (2, "w003 w070 w140", ["Clay", "clay"]), (3, None, None), (4, "red", []), (5, "w149", [])],
+                                 "doc_id long, content string, keywords array<string>")
+    asked = spark.createDataFrame([(1, long + " CLAY W000"), (2, "Red red"), (3, None), (4, "absent")], "query_id long, question string")
+    found = keyword.keyword_search(asked, docs, stopwords=())
+    assert "collect_set" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.rdd.getNumPartitions() >= 10  # 20 pairs, two for a task
+    got = {(r["query_id"], r["doc_id"]): (r["match_count"], r["matched_keywords"]) for r in found.collect()}
+    words = long.split()
+    assert got == {(1, 1): (155, sorted([*words, "W000"])), (1, 2): (7, sorted(["w003", "w070", "w140", "Clay", "clay"])), (1, 5): (1, ["w149"]), (2, 4): (2, ["Red", "red"])}
+
+
+def test_keyword_floor_that_most_pairs_reach_counts_no_pair_by_itself(spark, corpus, monkeypatch):
+    d, q = frames(spark, corpus)
+    d = d.withColumn("keywords", F.array().cast("array<string>"))
+    want = rows(keyword.keyword_search(q, d, stopwords=(), floor=0.1, with_matches=False))
+    monkeypatch.setattr(keyword, "PRUNE_ABOVE", 0)
+
+    def refused(*_):
+        raise AssertionError("pairs are counted one by one")
+
+    monkeypatch.setattr(keyword, "_pair_rows", refused)
+    assert rows(keyword.keyword_search(q, d, stopwords=(), floor=0.1, with_matches=False)) == want
+
+
+def test_candidates_are_summed_in_place_where_few_pairs_could_be_left_out(spark, tmp_path, monkeypatch):
+    docs = [(i, f"alpha{i % 3} beta{i % 5} " * (1 + i % 4) + f"only{i}") for i in range(60)]
+    asked = spark.createDataFrame([(1, "alpha1 beta2 only7"), (2, "alpha2 beta4 only9")], "query_id long, question string")
+    index = lexical.bm25_index(spark.createDataFrame(docs, "doc_id long, content string")).save(str(tmp_path / "index"))
+    assert lexical.term_weights(asked, index).agg(F.min("weight")).first()[0] > 0
+    every = rows(lexical.bm25_matches(asked, index))
+    assert len(lexical.bm25_candidates(asked, index, 1, prune_above=0).collect()) < len(every)
+    monkeypatch.setattr(lexical, "PRUNE_ABOVE", 0)
+    monkeypatch.setattr(lexical, "PAIR_COST", 10**9)
+    assert rows(lexical.bm25_candidates(asked, index, 1)) == every
+    monkeypatch.setattr(lexical, "PAIR_COST", 0)
+    assert len(lexical.bm25_candidates(asked, index, 1).collect()) < len(every)
