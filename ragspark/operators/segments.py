@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.functions.sizing import broadcast_if_small, settled
+from ragspark.functions.sizing import broadcast_if_small, settled, shuffled_over
 from ragspark.operators.lexical import (
     PART_BYTES, Bm25Index, buckets_for, document_frequency, lengths_of, postings_of, read_bucketed, statistics_of_counts, store_bucketed, term_caps,
     text_bytes, token_rows)
@@ -62,8 +62,9 @@ class SegmentedIndex:
         folder = f"{self.path}/segments/{uuid.uuid4().hex}"
         stored = store_bucketed(postings, f"{folder}/postings", self.buckets)
         lengths = store_bucketed(lengths_of(stored), f"{folder}/doc_len", self.buckets)
-        document_frequency(stored).write.parquet(f"{folder}/df")
-        term_caps(stored).write.parquet(f"{folder}/caps")
+        with shuffled_over(self.spark, self.buckets):
+            document_frequency(stored).write.parquet(f"{folder}/df")
+            term_caps(stored).write.parquet(f"{folder}/caps")
         return self._logged(kind, folder, lengths.count())
 
     def _parts_of(self, docs: DataFrame, text: str) -> int:
@@ -122,7 +123,8 @@ class SegmentedIndex:
         folder = f"{self.path}/segments/{uuid.uuid4().hex}"
         stored = store_bucketed(gone, f"{folder}/ids", self.buckets)
         took = [document_frequency(rows.join(stored, "doc_id", "left_semi")) for rows in self._parts("postings")]
-        reduce(DataFrame.unionByName, took).groupBy("term").agg(F.sum("df").alias("df")).write.parquet(f"{folder}/df")
+        with shuffled_over(self.spark, self.buckets):
+            reduce(DataFrame.unionByName, took).groupBy("term").agg(F.sum("df").alias("df")).write.parquet(f"{folder}/df")
         known = broadcast_if_small(stored.withColumn("found", F.lit(True)))
         found = settled(asked.join(known, "doc_id", "left").withColumn("found", F.coalesce("found", F.lit(False))))
         return self._logged("remove", folder, stored.count()), found

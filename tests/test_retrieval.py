@@ -597,3 +597,23 @@ def test_candidates_are_summed_in_place_where_few_pairs_could_be_left_out(spark,
     assert rows(lexical.bm25_candidates(asked, index, 1)) == every
     monkeypatch.setattr(lexical, "PAIR_COST", 0)
     assert len(lexical.bm25_candidates(asked, index, 1).collect()) < len(every)
+
+
+def test_terms_of_a_stored_index_are_dealt_over_as_many_tasks_as_it_has_buckets(spark, corpus, tmp_path):
+    d, _ = frames(spark, corpus)
+    plain = lexical.bm25_index(d)
+    key, partitions = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(key, "false")  # otherwise few rows go back into one task
+    try:
+        index = plain.save(str(tmp_path / "index"), buckets=40)
+    finally:
+        spark.conf.set(key, "true")
+    for got, want in ((index.term_stats, plain.term_stats), (index.caps, plain.caps)):
+        assert len(got.inputFiles()) > 4 * int(partitions)  # a few of 40 may have no term
+        got, want = rows(got), rows(want)
+        assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2:] for r in got] == [pytest.approx(r[2:]) for r in want]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == partitions
+    with pytest.raises(RuntimeError), sizing.shuffled_over(spark, 99):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "99"
+        raise RuntimeError
+    assert spark.conf.get("spark.sql.shuffle.partitions") == partitions
