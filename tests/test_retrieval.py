@@ -617,3 +617,38 @@ def test_terms_of_a_stored_index_are_dealt_over_as_many_tasks_as_it_has_buckets(
         assert spark.conf.get("spark.sql.shuffle.partitions") == "99"
         raise RuntimeError
     assert spark.conf.get("spark.sql.shuffle.partitions") == partitions
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def without_automatic_broadcasts(spark, make):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        df = make()
+        return plan_of(df), rows(df)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_idf_of_query_terms_does_not_move_the_terms_of_the_index(spark, corpus, tmp_path):
+    docs, questions = corpus
+    d, q = frames(spark, corpus)
+    index = lexical.bm25_index(d).save(str(tmp_path / "index"))
+    plan, got = without_automatic_broadcasts(spark, lambda: rerank.query_idf(q, index))
+    assert "SortMergeJoin" not in plan and "LeftSemi" in plan
+    idf = {r.term: r.idf for r in index.term_stats.collect()}
+    want = sorted(((i, t, idf.get(t, 0.0)) for i, text in questions for t in set(tokens(text))), key=repr)
+    assert got == want
+    held = {i: set(tokens(t)) for i, t in docs}
+    pairs = [(i, n) for i, _ in questions for n in (0, 7, 61)] + [(0, 999), (77, 1)]
+    scored = rows(rerank.coverage_scores(spark.createDataFrame(pairs, "query_id long, doc_id long"), q, index))
+    for qid, doc, score in scored:
+        asked = set(tokens(dict(questions).get(qid, "")))
+        found, mass = asked & held.get(doc, set()), sum(idf.get(t, 0) for t in asked)
+        share = sum(idf[t] for t in found) / mass if mass else 0
+        assert score == pytest.approx(len(found) / len(asked) + share if asked else 0, abs=2e-6)
+    assert [s[:2] for s in scored] == sorted(pairs, key=repr)
