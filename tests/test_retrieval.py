@@ -652,3 +652,12 @@ def test_idf_of_query_terms_does_not_move_the_terms_of_the_index(spark, corpus,
         share = sum(idf[t] for t in found) / mass if mass else 0
         assert score == pytest.approx(len(found) / len(asked) + share if asked else 0, abs=2e-6)
     assert [s[:2] for s in scored] == sorted(pairs, key=repr)
+
+
+def test_only_documents_that_were_hit_move_to_their_hits(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)] + [(3, "again"), (None, "none")], "doc_id long, content string")
+    found = spark.createDataFrame([("a", 0, 3, 1.0), ("b", 0, 3, 2.0), ("a", 1, 99, 3.0), ("b", 1, None, 4.0), ("b", 2, 7, 5.0)],
+                                  "source string, query_id long, doc_id long, score double")
+    plan, got = without_automatic_broadcasts(spark, lambda: fusion.with_payload(found, docs))
+    assert re.search(r"BroadcastHashJoin .*LeftSemi", plan) and plan.index("LeftOuter") < plan.index("Exchange") < plan.index("LeftSemi")
+    assert got == rows(found.join(docs, "doc_id", "left"))
