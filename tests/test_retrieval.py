@@ -14,6 +14,7 @@ from ragspark.operators import cells, dense, filters, fusion, keyword, lexical,
 from ragspark.operators.vectorize import hashed_tfidf
 from ragspark.plans.retrieval import retrieve
 from tests.conftest import rows
+from workload import retrieval
 
 WORDS = ["tan", "tango", "go", "red", "Red", "blue", "kiln", "ln", "clay", "glaze", "fire", "silk", "loom", "of"]
 
@@ -661,3 +662,48 @@ def test_only_documents_that_were_hit_move_to_their_hits(spark):
     plan, got = without_automatic_broadcasts(spark, lambda: fusion.with_payload(found, docs))
     assert re.search(r"BroadcastHashJoin .*LeftSemi", plan) and plan.index("LeftOuter") < plan.index("Exchange") < plan.index("LeftSemi")
     assert got == rows(found.join(docs, "doc_id", "left"))
+
+
+def test_common_words_are_looked_up_only_where_lookups_are_far_fewer_than_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "PRUNE_ABOVE", 0)
+    rnd = random.Random(8)
+    common = [f"c{i}" for i in range(10)]  # each in two of five documents: light words that every pair would look up
+    texts = [[c for c in common if rnd.random() < 0.4] + [f"only{i}"] for i in range(600)]
+    many = [(i, " ".join(t + ["rare"] * 3 * (i < 25) + ["scarce"] * 3 * (25 <= i < 29))) for i, t in enumerate(texts)]
+    index = lexical.bm25_index(spark.createDataFrame(many, "doc_id long, content string")).save(str(tmp_path / "index"))
+    order = [F.desc("score"), F.asc("doc_id")]
+
+    def candidates(word):
+        asked = spark.createDataFrame([(1, " ".join([word, *common]))], "query_id long, question string")
+        every = lexical.bm25_matches(asked, index)
+        found = lexical.bm25_candidates(asked, index, 2)
+        assert rows(ranking.top_k(found, ["query_id"], order, 2)) == rows(ranking.top_k(every, ["query_id"], order, 2))
+        return found.count(), every.count(), lexical.term_weights(asked, index).agg(F.sum("df")).first()[0]
+
+    found, every, load = candidates("scarce")
+    assert found == 4 < every
+    found, every, load = candidates("rare")
+    assert 25 * lexical.PAIR_COST < load < 25 * len(common) * lexical.PAIR_COST  # few pairs, but many words to look up
+    assert found == every
+
+
+@pytest.mark.parametrize("query", [retrieval.score_minmax])
+def test_lists_are_searched_once_before_their_scores_are_normalised(spark, corpus, tmp_path, query):
+    docs, questions = corpus
+    rnd = random.Random(9)
+    vectors = [(i, [rnd.random() for _ in range(4)], i % 3) for i in range(40)]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in docs], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(questions, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = query(spark, str(tmp_path))
+    assert "MapInArrow" not in plan_of(got) and "PythonMapInArrow" not in plan_of(got)
+    hits = retrieval._lists(spark, str(tmp_path)).toPandas()
+    assert "MapInArrow" in plan_of(retrieval._lists(spark, str(tmp_path)))
+    want = []
+    for (source, asked), rows_of in hits.groupby(["source", "query_id"]):
+        score = rows_of["score"]
+        base, spread = (score.min(), score.max() - score.min()) if query is retrieval.score_minmax else (score.mean(), score.std() if len(score) > 1 else 1.0)
+        want += [(source, asked, d, s if spread == 0 else (s - base) / spread) for d, s in zip(rows_of["doc_id"], score)]
+    scored = {tuple(r[:3]): r[3] for r in got.select("source", "query_id", "doc_id", "score").collect()}
+    assert len(scored) == got.count() == len(hits) and {w[:3] for w in want} == set(scored)
+    assert all(scored[w[:3]] == pytest.approx(w[3], abs=2e-6) for w in want)
