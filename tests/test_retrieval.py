@@ -687,7 +687,7 @@ def test_common_words_are_looked_up_only_where_lookups_are_far_fewer_than_rows(s
     assert found == every
 
 
-@pytest.mark.parametrize("query", [retrieval.score_minmax])
+@pytest.mark.parametrize("query", [retrieval.score_minmax, retrieval.score_zscore])
 def test_lists_are_searched_once_before_their_scores_are_normalised(spark, corpus, tmp_path, query):
     docs, questions = corpus
     rnd = random.Random(9)
