@@ -100,6 +100,27 @@ def test_all_scores_account_for_every_document(spark, corpus):
     assert {tuple(r) for r in total} == {(i, 90) for i in range(14)}
 
 
+def test_all_scores_have_a_row_for_every_query_and_document(spark, tmp_path, monkeypatch):
+    docs = [(1, "red clay"), (2, "blue paint"), (3, ""), (4, None), (5, "clay clay wheel"), (None, "red wheel"), (2, "blue paint")]
+    asked = [(7, "clay"), (8, "nothing here"), (9, None), (7, "clay"), (None, "wheel")]
+    q = spark.createDataFrame(asked, "query_id long, question string")
+    index = lexical.bm25_index(spark.createDataFrame(docs, "doc_id long, content string")).save(str(tmp_path / "ix"), 4)
+    ids = {1, 2, 3, 4, 5, None}
+    found = lexical.bm25_scores(q, index)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan.split("BroadcastExchange")[0]
+    got = rows(found)
+    pairs = [r[:2] for r in got]
+    assert sorted(pairs, key=repr) == sorted(((a, b) for a in (7, 8, 9, None) for b in ids), key=repr)
+    assert {r[3] for r in got} == {1} and all(r[2] is not None for r in got)
+    positive = {(r.query_id, r.doc_id): r.score for r in lexical.bm25_matches(q, index).collect()}
+    assert len(positive) == 4 and {r[:2]: r[2] for r in got if r[2] != 0} == {k: v for k, v in positive.items() if v != 0}
+    monkeypatch.setattr(lexical, "fits", lambda df: False)  # too many queries for a broadcast
+    assert rows(lexical.bm25_scores(q, index)) == got
+    nothing = spark.createDataFrame([(1, ""), (2, None)], "doc_id long, content string")
+    assert rows(lexical.bm25_scores(q.where("query_id = 7"), lexical.bm25_index(nothing))) == [(7, 1, 0.0, 1), (7, 2, 0.0, 1)]
+
+
 def test_stored_index_scores_without_a_shuffle_of_postings(spark, corpus, tmp_path):
     d, q = frames(spark, corpus)
     index = lexical.bm25_index(d)
