@@ -86,3 +86,15 @@ def test_tasks_of_the_gram_build_grow_with_the_texts(spark, tmp_path, monkeypatc
     assert files("many") > files("few")
     terms = spark.createDataFrame([("common",), ("number0007",), ("er0",)], "term string")
     assert rows(few.hits(terms)) == rows(many.hits(terms)) and few.hits(terms).where("term = 'common'").count() == 200
+
+
+def test_postings_and_candidates_are_not_shuffled(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"common words and number{i:04d}") for i in range(200)], "doc_id long, content string")
+    index = GramIndex.build(docs, str(tmp_path), slots=8)
+    files = spark.read.parquet(f"{tmp_path}/postings").select(F.input_file_name().alias("f"), F.spark_partition_id().alias("p"), "doc_id")
+    assert files.groupBy("doc_id").agg(F.count_distinct("f").alias("n")).agg(F.max("n")).first()[0] == 1  # a document lies in one bucket
+    assert files.select("f").distinct().count() <= index.buckets  # and a bucket is one file
+    terms = spark.createDataFrame([("common",), ("number0007",), ("er0",), ("s",)], "term string")
+    plan = index.candidates(terms)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in plan and "hashpartitioning(gram" not in plan
+    assert index.hits(terms).count() == 200 + 1 + 200 + 200
