@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ragspark.functions.containment import term_hits
 from ragspark.functions.ranking import rank_rows
-from ragspark.functions.sizing import broadcast_if_small, settled
+from ragspark.functions.sizing import broadcast_if_small, fits, settled, stored
 from ragspark.functions.text import label_of
 from ragspark.lexicons import (
     NODE_COLORS,
@@ -181,12 +181,64 @@ def _paths_to_targets(pairs: DataFrame, links: DataFrame, max_length: int) -> Da
     return result
 
 
-def find_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, max_length: int = 3, two_sided_above: int = TWO_SIDED_ABOVE) -> DataFrame:
+def _steps_back(targets: DataFrame, links: DataFrame, max_length: int) -> tuple[DataFrame, list[DataFrame]] | None:
+    """(closing, walks): closing (_node, target) are the links into targets, walks[r] (_node, target) the nodes with a walk of r + 1 links to a target, up to one link less than `max_length`.
+
+    Links are only read for it, not shuffled. None where that does not go: a front is too large for a broadcast, or a step makes more rows than there are links.
+    """
+    if not fits(targets):
+        return None
+    into = links.join(F.broadcast(targets.withColumnRenamed("target", "_to")), "_to", "left_semi")
+    closing = settled(into.select(F.col("_from").alias("_node"), F.col("_to").alias("target")))
+    walks, total = [closing.distinct()], links.count()
+    while len(walks) < max_length - 1:
+        if not fits(walks[-1]):
+            return None
+        front = F.broadcast(walks[-1].withColumnRenamed("_node", "_to"))
+        each = F.broadcast(walks[-1].groupBy(F.col("_node").alias("_to")).agg(F.count(F.lit(1)).alias("_n")))
+        if (links.join(each, "_to").agg(F.sum("_n")).first()[0] or 0) > total:
+            return None
+        step = links.join(front, "_to").select(F.col("_from").alias("_node"), "target")
+        walks.append(settled(step.where(F.col("_node") != F.col("target")).distinct()))
+    return closing, walks
+
+
+def _paths_along(pairs: DataFrame, links: DataFrame, max_length: int, closing: DataFrame, walks: list[DataFrame]) -> DataFrame:
+    """The paths by steps from the sources into nodes that can still reach the pair's target, by `_steps_back`.
+
+    Where those nodes are few enough, links lose the others by a broadcast and only what is left is shuffled, to meet the partial paths.
+    Many of them may be ends that no link leads to (sources, mostly); those are taken out first.
+    """
+    closing = broadcast_if_small(closing)
+    front = pairs.select("source", "target", F.col("source").alias("_node"), F.array("source").alias("path"))
+    result = []
+    for left in range(max_length - 1, -1, -1):
+        found = front.join(closing, ["_node", "target"])
+        result.append(found.select("source", "target", F.concat("path", F.array("target")).alias("path")))
+        if not left:
+            break
+        ahead = reduce(DataFrame.unionByName, walks[:left]).distinct().withColumnRenamed("_node", "_to")
+        if not fits(ahead):
+            ahead = settled(ahead.join(links.select("_to").distinct(), "_to", "left_semi"))
+        useful = links.join(broadcast_if_small(ahead), "_to").select(F.col("_from").alias("_node"), "target", "_to")
+        front = (
+            front.join(useful, ["_node", "target"])
+            .where((F.col("_to") != F.col("target")) & ~F.array_contains("path", F.col("_to")))
+            .select("source", "target", F.col("_to").alias("_node"), F.concat("path", F.array("_to")).alias("path"))
+        )
+        if left > 1:  # closed, and taken a step further
+            front = stored(front, "front")
+    return reduce(DataFrame.unionByName, result)
+
+
+def find_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, max_length: int = 3, two_sided_above: int | None = None) -> DataFrame:
     """All simple directed paths of at most `max_length` edges, (source, target, path).
 
     Walks start from the sources and from the targets and meet in a node; a path is put together from two halves, whose nodes all lie
     on the way to a meeting of a wanted pair. Up to `two_sided_above` edges times targets, which bounds the rows of a step back from the
-    targets, one plan without stored steps is faster and gives the same. Pairs with an unknown end, or with equal ends, have no path.
+    targets, one plan without stored steps is faster and gives the same. Where the bound is not given, TWO_SIDED_ABOVE is, and beyond it the steps back are tried
+    first: while their fronts fit a broadcast they need no shuffle of the edges, and steps from the sources then go only where a target can be
+    reached. Pairs with an unknown end, or with equal ends, have no path.
     """
     ids = nodes.select("id")
     links = edges.select(F.col("source").alias("_from"), F.col("target").alias("_to"))
@@ -195,8 +247,11 @@ def find_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, max_length:
         .join(ids.withColumnRenamed("id", "source"), "source", "left_semi")
         .join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
     )
-    if links.count() * pairs.select("target").distinct().count() <= two_sided_above:
+    targets = pairs.select("target").distinct()
+    if links.count() * targets.count() <= (TWO_SIDED_ABOVE if two_sided_above is None else two_sided_above):
         return _paths_to_targets(pairs, links, max_length)
+    if two_sided_above is None and (back := _steps_back(targets, links, max_length)) is not None:
+        return _paths_along(pairs, links, max_length, *back)
     ahead, behind = path_fronts(pairs, links, max_length)
     lengths = {n: max(0, n - len(behind) + 1) for n in range(1, max_length + 1)}  # edges before the meeting, by edges in all
     met = []

@@ -103,6 +103,31 @@ def test_paths_equal_brute_force(spark, length, bound):
     assert got == want
 
 
+@pytest.mark.parametrize("length", [1, 2, 3, 4])
+def test_paths_of_few_targets_follow_steps_back_that_do_not_shuffle_the_edges(spark, monkeypatch, length):
+    rng = random.Random(length + 7)
+    names = [f"n{i}" for i in range(9)]
+    edges = sorted({(rng.choice(names), rng.choice(names)) for _ in range(26)})
+    n, e = make(spark, [(x, x, "t") for x in names], [(a, b, "r") for a, b in edges] + [("n0", "n5", "r"), ("n0", "n5", "r")])
+    asked = [(a, b) for a in names[:4] for b in names[4:6]] + [("n0", "n0"), ("n0", "missing"), ("missing", "n5")]
+    pairs = spark.createDataFrame(asked, "source string, target string")
+    want = sorted(p for p in (p for a, b in asked if a != b and "missing" not in (a, b) for p in brute_paths(set(edges) | {("n0", "n5")}, a, b, length)))
+    times = lambda p: 2 + (("n0", "n5") in edges) if ("n0", "n5") in zip(p, p[1:]) else 1
+    monkeypatch.setattr(G, "TWO_SIDED_ABOVE", 0)
+    two_sided = sorted(tuple(r.path) for r in G.find_paths(pairs, n, e, length, 0).collect())
+    monkeypatch.setattr(G, "path_fronts", None)  # not needed where the steps back are small
+    monkeypatch.setattr(G, "_cost", None)
+    monkeypatch.setattr(G, "_steps_back", lambda targets, links, m, f=G._steps_back: f(targets, links.unionByName(spark.range(99).select(F.lit("x").alias("_from"), F.lit("y").alias("_to"))), m))
+    got = sorted(tuple(r.path) for r in G.find_paths(pairs, n, e, length).collect())
+    assert got == two_sided == sorted(p for p in want for _ in range(times(p)))
+    links = e.select(F.col("source").alias("_from"), F.col("target").alias("_to"))
+    there = pairs.where("source <> target AND source <> 'missing' AND target <> 'missing'")
+    back = G._steps_back(there.select("target").distinct(), links, length)
+    monkeypatch.setattr(G, "fits", lambda df: False)  # nodes that reach a target are too many: ends without a link to them go first
+    assert back is not None and sorted(tuple(r.path) for r in G._paths_along(there, links, length, *back).collect()) == got
+    assert G._steps_back(there.select("target").distinct(), links, length) is None
+
+
 @pytest.mark.parametrize("hub_at_source", [True, False])
 def test_paths_step_on_the_side_of_fewer_rows(spark, hub_at_source):
     """A hub with dead ends on one side is never stepped through, and half paths keep to the nodes that lead to a meeting."""
