@@ -10,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ragspark.functions import containment, ranking, sizing
-from ragspark.operators import cells, dense, filters, fusion, keyword, lexical, maintain, rerank, rewrite
+from ragspark.functions.ranking import top_k
+from ragspark.operators import cells, dense, filters, fusion, keyword, lexical, maintain, rerank, rewrite, vectorize
 from ragspark.operators.vectorize import hashed_tfidf
+from ragspark.plans import retrieval as plans
 from ragspark.plans.retrieval import retrieve
 from tests.conftest import rows
 from workload import retrieval
@@ -146,6 +148,37 @@ def test_hashed_vectors_are_unit_and_equal_for_copies(spark, corpus):
     assert all(np.allclose(got[3], got[i]) for i in range(60, 90))
 
 
+def test_hashed_vectors_from_an_index_equal_those_from_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "red clay red"), (2, "Blue paint, 工艺品 paint"), (3, ""), (4, None), (5, "clay"), (5, "clay wheel"), (None, "red wheel"), (2, "Blue paint, 工艺品 paint")],
+                                 "doc_id long, content string")
+    index = lexical.bm25_index(docs)
+    plain = rows(hashed_tfidf(docs, 16))
+    monkeypatch.setattr(vectorize, "tokenize", None)  # texts are not cut into tokens again
+    assert rows(hashed_tfidf(docs, 16, postings=index.postings)) == plain and len(plain) == 8
+    assert rows(vectorize.bucket_idf(docs, 16, postings=index.postings)) != []
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_graph_arm_counts_in_blocks_without_a_row_for_every_pair(spark, monkeypatch, kind):
+    rng = random.Random(11)
+    words = [f"w{i}x" for i in range(12)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(60)] + [(7, "w1x w2x"), (None, "w1x w3x"), (None, "w3x"), (61, None), (62, "")]
+    asked = [(i, " ".join(rng.sample(words, 3))) for i in range(9)] + [(20, "none"), (21, None), (None, "w1x w2x")]
+    d = spark.createDataFrame(docs, "doc_id long, content string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    q = spark.createDataFrame(asked, "query_id long, question string")
+    nodes = spark.createDataFrame([(w, w) for w in words], "id string, name string")
+    edges = spark.createDataFrame([(a, b) for a in words for b in rng.sample(words, 4)], "source string, target string")
+    every = plans.graph_retrieve(q, nodes, edges, d, nodes)
+    monkeypatch.setattr(plans, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(plans, "BLOCK_QUERIES", 4)
+    for k in (1, 5, 200):
+        want = top_k(every, ["query_id"], [F.desc("score"), F.asc("doc_id")], k).select("query_id", "doc_id", "score", F.col("rank").cast("long"))
+        found = plans.graph_retrieve(q, nodes, edges, d, nodes, k)
+        assert rows(found) == rows(want)
+        assert "explode(terms" not in found._jdf.queryExecution().executedPlan().toString()
+    assert plans.graph_retrieve(q.limit(0), nodes, edges, d, nodes, 5).count() == plans.graph_retrieve(q, nodes, edges, d.limit(0), nodes, 5).count() == 0
+
+
 def test_index_add_and_remove_equal_a_rebuild(spark, corpus):
     d, _ = frames(spark, corpus)
     half = lexical.bm25_index(d.where("doc_id < 40"))
